@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.text import folded, letters
-from waymark.llm import distinct, mixing, packing, terms, together
+from waymark.llm import distinct, langid, mixing, packing, terms, together
 from waymark.llm.tokens import TOKEN_RE2, token_count
 from waymark.sources.tables import table
 
@@ -225,3 +225,22 @@ QUERIES = {
     "p9_found": p9_found, "p9_plan": p9_plan, "p9_documents": p9_documents, "p9_shares": p9_shares,
 }
 SQL = {**P3_SQL, **P6_SQL, **P7_SQL, **P8_SQL, **P9_SQL}
+
+
+def _language_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return docs, langid.segments(docs, langid.fit(docs))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Languages of documents with a missing or wrong label or in several languages."""
+    docs, segs = _language_rows(spark, d)
+    return langid.doubtful(docs, langid.languages(segs))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch in one language with its confidence."""
+    return _language_rows(spark, d)[1].withColumn("confidence", F.round("confidence", 6))
+
+
+QUERIES |= {"p10_found": p10_found, "p10_segments": p10_segments}
