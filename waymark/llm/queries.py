@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.text import folded, letters
-from waymark.llm import distinct, langid, mixing, packing, terms, together
+from waymark.llm import clusters, distinct, langid, mixing, packing, terms, together
 from waymark.llm.tokens import TOKEN_RE2, token_count
 from waymark.sources.tables import table
 
@@ -244,3 +244,33 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p10_found": p10_found, "p10_segments": p10_segments}
+
+SURROUNDINGS = [*range(6, 15), *range(18, 31)]
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.vectors(table(spark, d, "venue_feature"), "venue_id", "f", 31, SURROUNDINGS)
+
+
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.clusters(_vectors(spark, d), len(SURROUNDINGS), 0.2, 5)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The further venues of each cluster beside its smallest one."""
+    return _clusters(spark, d).where("item <> cluster").select(F.col("cluster").alias("venue_a"), F.col("item").alias("venue_b")).distinct()
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical venues of each cluster."""
+    return clusters.described(_clusters(spark, d), len(SURROUNDINGS))
+
+
+def p2_venues(spark: SparkSession, d: str) -> DataFrame:
+    """Every venue with a vector and its cluster (the smallest venue of it), null for none."""
+    rows = _vectors(spark, d).select(F.col("item").alias("venue_id")).distinct()
+    own = _clusters(spark, d).groupBy(F.col("item").alias("venue_id")).agg(F.min("cluster").alias("cluster"))
+    return rows.join(own, "venue_id", "left")
+
+
+QUERIES |= {"p2_found": p2_found, "p2_clusters": p2_clusters, "p2_venues": p2_venues}
