@@ -143,6 +143,22 @@ def great_circle_m(lng1, lat1, lng2, lat2) -> np.ndarray:
     return 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(1.0, h)))
 
 
+def _boxes(points: DataFrame, radius_m: float, keep: list[str]) -> DataFrame:
+    """The search box around each point; one that crosses the antimeridian comes once on each side of it."""
+    angle = radius_m / EARTH_RADIUS_M
+    dy = math.degrees(angle) * (1 + 1e-9) + 1e-12
+    reach = math.sin(min(angle, math.pi / 2))
+    top = F.radians(F.least(F.lit(90.0), F.abs("lat") + dy))
+    dx = F.when(F.cos(top) > reach, F.degrees(F.asin(F.lit(reach) / F.cos(top))) * (1 + 1e-9) + 1e-12).otherwise(360.0)
+    shift = F.array(F.lit(0.0), F.when(F.col("lng") - dx < -180, 360.0), F.when(F.col("lng") + dx > 180, -360.0))
+    moved = points.withColumn("_d", F.explode(F.filter(F.array_distinct(shift), lambda d: d.isNotNull())))
+    return moved.select(
+        *keep, F.col("lng").alias("bx"), F.col("lat").alias("by"),
+        (F.col("lng") - dx + F.col("_d")).alias("x0"), (F.col("lng") + dx + F.col("_d")).alias("x1"),
+        (F.col("lat") - dy).alias("y0"), (F.col("lat") + dy).alias("y1"),
+    )
+
+
 def near_spots(points: DataFrame, radius_m: float, per_cell: int = 20_000) -> DataFrame:
     """Pairs of different spots at most ``radius_m`` apart: lng_a, lat_a, lng_b, lat_b, metres.
 
@@ -153,21 +169,7 @@ def near_spots(points: DataFrame, radius_m: float, per_cell: int = 20_000) -> Da
     """
     spots = located(points.select("lng", "lat")).distinct()
     grid = build_grid(spots, per_cell)
-    angle = radius_m / EARTH_RADIUS_M
-    dy = math.degrees(angle) * (1 + 1e-9) + 1e-12
-    top = F.radians(F.least(F.lit(90.0), F.abs("lat") + dy))
-    dx = F.when(
-        F.cos(top) > math.sin(min(angle, math.pi / 2)), F.degrees(F.asin(F.lit(math.sin(min(angle, math.pi / 2))) / F.cos(top))) * (1 + 1e-9) + 1e-12
-    ).otherwise(360.0)
-    shift = F.array(
-        F.lit(0.0), F.when(F.col("lng") - dx < -180, 360.0), F.when(F.col("lng") + dx > 180, -360.0)
-    )
-    boxes = spots.withColumn("_d", F.explode(F.filter(F.array_distinct(shift), lambda d: d.isNotNull())))
-    boxes = boxes.select(
-        F.col("lng").alias("bx"), F.col("lat").alias("by"),
-        (F.col("lng") - dx + F.col("_d")).alias("x0"), (F.col("lng") + dx + F.col("_d")).alias("x1"),
-        (F.col("lat") - dy).alias("y0"), (F.col("lat") + dy).alias("y1"),
-    )
+    boxes = _boxes(spots, radius_m, [])
     placed = _cells_of_points(spots.withColumn("_id", F.col("lng")), grid, "_id").drop("_id")
     schema = "lng_a double, lat_a double, lng_b double, lat_b double, metres double"
 
@@ -209,6 +211,46 @@ def near_rows(points: DataFrame, key: str, radius_m: float, per_cell: int = 20_0
     return apart.unionByName(same.select(F.col("p.k").alias("a"), F.col("q.k").alias("b"))).distinct()
 
 
+def ball_sums(centres: DataFrame, points: DataFrame, radius_m: float, scale: float | None = None, per_cell: int = 50_000) -> DataFrame:
+    """(key, bin, near, weight): for each centre and bin the points at most ``radius_m`` away.
+
+    ``centres``: key, lng, lat; ``points``: lng, lat, bin (an int) and n (how many
+    there are). near is the sum of n, weight the sum of n * exp(-d^2 / scale) with
+    d in metres (n itself without ``scale``). Equal (position, bin) points are
+    added up first, and only sums per centre, bin and cell leave a task, never
+    pairs. Nulls and impossible positions are left out; a centre without
+    neighbours gives no row.
+    """
+    spots = located(points.dropna(subset=["lng", "lat", "bin", "n"]))
+    spots = spots.groupBy("lng", "lat", "bin").agg(F.sum("n").cast("double").alias("n"))
+    middles = located(centres.select("key", "lng", "lat").dropna()).distinct()
+    grid = build_grid(spots.select("lng", "lat"), per_cell)
+    cells = _cells_of_boxes(_boxes(middles, radius_m, ["key"]), grid)
+    placed = _cells_of_points(spots.withColumn("_by", F.struct("lng", "lat", "bin")), grid, "_by").drop("_by")
+    placed = placed.join(cells.select("_cell").distinct(), "_cell", "left_semi")
+    kind = centres.schema["key"].dataType.simpleString()
+
+    def sweep(pts: pd.DataFrame, bxs: pd.DataFrame) -> pd.DataFrame:
+        pts = pts.sort_values("lng", kind="stable", ignore_index=True)
+        px, py, qx, qy, n = (c.to_numpy() for c in (pts["lng"], pts["lat"], bxs["bx"], bxs["by"], pts["n"]))
+        bins, code = np.unique(pts["bin"].to_numpy(), return_inverse=True)
+        near, weight = np.zeros(len(bxs) * len(bins)), np.zeros(len(bxs) * len(bins))
+        for p, b in _sweep(pts, bxs):
+            metres = great_circle_m(px[p], py[p], qx[b], qy[b])
+            ok = metres <= radius_m
+            p, b, metres = p[ok], b[ok], metres[ok]
+            at = b * len(bins) + code[p]
+            near += np.bincount(at, n[p], len(near))
+            weight += np.bincount(at, n[p] * (np.exp(-metres * metres / scale) if scale else 1.0), len(near))
+        hit = np.flatnonzero(near)
+        return pd.DataFrame({"key": bxs["key"].to_numpy()[hit // len(bins)], "bin": bins[hit % len(bins)], "near": near[hit], "weight": weight[hit]})
+
+    parts = placed.groupBy("_cell").cogroup(cells.groupBy("_cell")).applyInPandas(
+        lambda p, b: sweep(p, b), f"key {kind}, bin int, near double, weight double"
+    )
+    return parts.groupBy("key", "bin").agg(F.sum("near").cast("bigint").alias("near"), F.sum("weight").alias("weight"))
+
+
 def inside_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
     """Even-odd test of points against one ring of (lng, lat), closed here if open."""
     inside = np.zeros(len(x), dtype=bool)
