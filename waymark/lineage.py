@@ -32,3 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """The session's shuffle partitions, used to size range partitionings."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new attribute ids, so that a frame can be cogrouped with one it shares lineage with."""
+    return df.select(*[df[c].alias(c) for c in df.columns])
