@@ -46,8 +46,12 @@ def components(data: DataFrame, key: str, vector: str, k: int) -> DataFrame:
 
 
 def topics(records: DataFrame, tags: str, k: int = 80, least: float = 30, most: float = 0.4, passes: int = 5, seed: int = 1, words: int = 10) -> DataFrame:
-    """(topic, word, weight, rank) of a topic model over the tags of records; words on fewer than ``least`` or more than the share ``most`` are left out."""
-    counter = CountVectorizer(inputCol=tags, outputCol="features", minDF=least, maxDF=most).fit(records)
+    """(topic, word, weight, rank) of a topic model over the tags of records; words on fewer than ``least`` or more than the share ``most`` are left out; without any other the result is empty."""
+    upper = max(least, most * records.count())
+    held = records.select(F.explode(F.array_distinct(tags)).alias("t")).groupBy("t").count().where(F.col("count").between(least, upper))
+    if not held.limit(1).count():
+        return records.sparkSession.createDataFrame([], "topic int, word string, weight double, rank int")
+    counter = CountVectorizer(inputCol=tags, outputCol="features", minDF=least, maxDF=upper).fit(records)
     data = counter.transform(records).select("features")
     model = LDA(k=k, maxIter=passes, seed=seed, optimizer="online").fit(data)
     top = model.describeTopics(words)

@@ -22,6 +22,8 @@ from waymark.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict = {}
+#: The top category of passing events, which are no places.
+EVENTS = "Happenings"
 
 
 def query(sql: str | None = None):
@@ -124,14 +126,14 @@ def tag_topics(spark: SparkSession, d: str) -> DataFrame:
 def venue_features_built(spark: SparkSession, d: str) -> DataFrame:
     """The 31 features of each venue with visits, from the raw tables: counts, entropies, density, surroundings, focus, photogeny, profiles."""
     cats = table(spark, d, "category")
-    tops = [r["id"] for r in cats.where("depth = 1").orderBy("id").collect()]
+    tops = [r["id"] for r in cats.where("depth = 1").where(F.col("name") != EVENTS).orderBy("id").collect()]
     code = F.create_map(*[F.lit(x) for i, t in enumerate(tops) for x in (t, i)])
     order = F.create_map(*[F.lit(x) for i, r in enumerate(cats.orderBy("id").select("id").collect()) for x in (r["id"], i)])
     v = table(spark, d, "venue").groupBy(F.col("_id").alias("venue")).agg(
         F.max("likes").alias("likes"), F.max("usersCount").alias("users"), F.max("checkinsCount").alias("checkins"), F.max(folded(F.col("cat"))).alias("cat")
     )
     path = cats.select(F.col("id").alias("cat"), F.get("path", 0).alias("top"))
-    v = v.join(path, "cat").withColumn("t", F.try_element_at(code, F.col("top")))
+    v = v.join(path, "cat").withColumn("t", F.try_element_at(code, F.col("top"))).where("t is not null")
     where = places(spark, d, "lng", "lat").withColumnRenamed("id", "venue")
     here = proximity.located(where.dropna().join(v.select("venue", "t"), "venue"))
     centres = here.select(F.col("venue").alias("key"), "lng", "lat")
