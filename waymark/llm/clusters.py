@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.lineage import cut
+from waymark.operators.graph import components
 
 #: Rows compared with each other in one task, and entries of a distance block.
 BLOCK_ROWS = 4_096
@@ -113,21 +114,6 @@ def cell_links(cells: DataFrame, axes: int, radius: float) -> DataFrame:
     return spread.select("owner", "cell", "lo", "hi", "home").groupBy("owner").applyInPandas(link, "a bigint, b bigint").distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(cell, label): minimum labels propagated along the links to convergence, with pointer jumping."""
-    both = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(nodes.select("cell", F.col("cell").alias("label")))
-    while True:
-        offered = both.join(labels.select(F.col("cell").alias("a"), "label"), "a").groupBy(F.col("b").alias("cell")).agg(F.min("label").alias("offer"))
-        new = labels.join(offered, "cell", "left").select("cell", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
-        jump = new.select(F.col("cell").alias("label"), F.col("label").alias("next"))
-        new = cut(new.join(jump, "label", "left").select("cell", "old", F.least("label", "next").alias("label")))
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("cell", "label")
-        if not changed:
-            return labels
-
-
 def _neighbourhoods(rows: DataFrame, radius: float) -> DataFrame:
     """(id, near, print): for each row the number of rows of its component within ``radius`` and their fingerprint.
 
@@ -179,7 +165,7 @@ def clusters(rows: DataFrame, width: int, radius: float, least: int, axes: int =
     hi = F.array(*[F.max(F.get("v", i)) for i in range(width)])
     cells = placed.groupBy("coarse", "fine").agg(F.count(F.lit(1)).alias("n"), lo.alias("lo"), hi.alias("hi"))
     cells = cut(cells.withColumn("cell", F.monotonically_increasing_id()))
-    labels = components(cells, cell_links(cells, axes, radius))
+    labels = components(cells.select(F.col("cell").alias("node")), cell_links(cells, axes, radius)).withColumnRenamed("node", "cell")
     large = labels.join(cells.select("cell", "n"), "cell").groupBy("label").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least)
     known = cells.select("coarse", "fine", "cell").join(labels.join(large.select("label"), "label", "left_semi"), "cell")
     members = cut(placed.join(known, ["coarse", "fine"]).select("item", "v", "cell", "label"))
