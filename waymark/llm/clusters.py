@@ -30,7 +30,7 @@ BLOCK_ENTRIES = 4_000_000
 
 def vectors(df: DataFrame, item: str, f: str, length: int, dims: list[int]) -> DataFrame:
     """(item, v): different rows whose array has ``length`` entries and finite numbers in ``dims``."""
-    picked = F.transform(F.array(*[F.lit(i) for i in dims]), lambda i: F.get(F.col(f), i))
+    picked = F.array(*[F.get(F.col(f), i) for i in dims])
     rows = df.where(F.col(item).isNotNull() & (F.size(f) == length)).select(F.col(item).alias("item"), picked.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(finite).select("item", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).distinct()
