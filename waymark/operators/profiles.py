@@ -133,3 +133,37 @@ def category_summary(venues: DataFrame, categories: DataFrame, depth: int) -> Da
     names = categories.select(F.col("id").alias("category"), "name")
     whole = Window.partitionBy()
     return rows.join(names, "category", "left").withColumn("share", F.col("venues") / F.sum("venues").over(whole))
+
+
+def sampled(df: DataFrame, n: int, seed: int, keys: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """n random rows, of each ``keys`` group if given; the same rows for the same seed and values.
+
+    The order is a seeded hash of ``by`` (all columns by default), so no state of
+    the cluster enters; the top n are kept per task before anything is shuffled.
+    """
+    order = [F.xxhash64(F.lit(seed), *(by or df.columns)), *[F.col(c) for c in (by or [])]]
+    if not keys:
+        return df.orderBy(*order).limit(n)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def tag_rows(rows: DataFrame, tag: str | None = None, start: Column | None = None, end: Column | None = None, user: str | None = None, city: str | None = None) -> DataFrame:
+    """Rows of a tag, a half-open time range, a user and a city, each if given: plain filters that reach the files."""
+    for given, test in (
+        (tag, F.col("tag") == tag), (user, F.col("uid") == user), (city, F.col("city") == city),
+    ):
+        if given is not None:
+            rows = rows.where(test)
+    if start is not None:
+        rows = rows.where(F.col("t") >= start)
+    return rows if end is None else rows.where(F.col("t") < end)
+
+
+def score_table(scores: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:
+    """Mean ``value`` by row and column, with the mean of each row's means, best rows first, ties by name."""
+    wide = scores.groupBy(row).pivot(column, columns).agg(F.avg(value))
+    named = [F.col(f"`{c}`") for c in columns]
+    have = F.filter(F.array(*named), lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate(have, F.lit(0.0), lambda s, x: s + x), F.size(have))
+    return wide.withColumn("mean", mean).orderBy(F.desc("mean"), row)

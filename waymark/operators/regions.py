@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.lineage import cut
 from waymark.operators.graph import components
 from waymark.operators.proximity import ball_sums, located, near_spots
 
@@ -21,7 +22,7 @@ def density_clusters(points: DataFrame, eps_m: float, least: int) -> DataFrame:
     smallest core spot (by lng, then lat); a border spot joins the smallest cluster
     of its core neighbours. Neighbour counts are sums, not pairs; only pairs of spots are linked.
     """
-    rows = located(points.select("lng", "lat").dropna())
+    rows = cut(located(points.select("lng", "lat").dropna()))
     spots = rows.distinct().withColumn("key", F.concat_ws(",", "lng", "lat"))
     one = rows.select("lng", "lat", F.lit(0).alias("bin"), F.lit(1).alias("n"))
     near = ball_sums(spots, one, eps_m)

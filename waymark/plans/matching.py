@@ -12,7 +12,8 @@ from waymark.functions.stats import jensen_shannon
 from waymark.functions.text import letters
 from waymark.lineage import cut, fresh
 from waymark.operators import features as ft
-from waymark.operators import knn, proximity, regions, transport
+from waymark.operators import grids, knn, proximity, regions, scan, transport
+from waymark.operators.profiles import score_table
 from waymark.plans.common import places, with_
 from waymark.sources.tables import table
 
@@ -253,7 +254,7 @@ def _query_region(spark: SparkSession, d: str, members: DataFrame) -> str:
 def region_circle_search(spark: SparkSession, d: str) -> DataFrame:
     """The five best disjoint circles of 500 m in each city by the divergence of their feature histograms from a gold region's."""
     z = _z(spark, d)
-    m = _members(spark, d)
+    m = cut(_members(spark, d))
     region = _query_region(spark, d, m)
     flat = z.select("venue", F.posexplode("z").alias("dim", "x"))
     support = F.broadcast(flat.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
@@ -280,7 +281,7 @@ def region_circle_search(spark: SparkSession, d: str) -> DataFrame:
 def region_search(spark: SparkSession, d: str) -> DataFrame:
     """The five best disjoint venue sets of each city for a gold region: neighbours in feature space, density clusters of them, grown hulls, earth mover's distance."""
     z = _z(spark, d)
-    m = _members(spark, d)
+    m = cut(_members(spark, d))
     region = _query_region(spark, d, m)
     wanted = m.where(F.col("region") == region).select(F.col("venue").alias("id"), "v").distinct()
     asked = [np.array(r["v"]) for r in wanted.orderBy("id").collect()]
@@ -327,3 +328,60 @@ def region_search(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame([(pdf["city"].iloc[0], names[list(mk)].tolist(), dist, i + 1) for i, (dist, mk) in enumerate(kept)], columns=cols)
 
     return here.groupBy("city").cogroup(grown.groupBy("city")).applyInPandas(lambda a, b: score(a, b), "city string, venues array<string>, distance double, rank int")
+
+
+def _candidates(spark: SparkSession, d: str, z: DataFrame) -> DataFrame:
+    """(city, venue): the 60 nearest venues of every city to each venue of the query region."""
+    m = cut(_members(spark, d))
+    wanted = m.where(F.col("region") == _query_region(spark, d, m)).select(F.col("venue").alias("id"), "v").distinct()
+    cities = F.broadcast(table(spark, d, "city_box").select("city").distinct())
+    near = knn.nearest(wanted.join(cities), z.select("city", F.col("venue").alias("id"), F.col("z").alias("v")), ["city"], 60)
+    return cut(near.select("city", F.col("t").alias("venue")).distinct())
+
+
+@query()
+def discrepancy_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Regions where candidate venues are denser than the others: a scan of candidates against the rest on 50 x 50 cells per city, merged."""
+    z = _z(spark, d)
+    good = _candidates(spark, d, z)
+    spots = z.select("city", "venue").join(places(spark, d, "lng", "lat").withColumnRenamed("id", "venue"), "venue")
+    cells = grids.placed(spots, table(spark, d, "city_box"), "city", 50)
+    marked = cells.join(good.withColumn("g", F.lit(1)), ["city", "venue"], "left")
+    two = grids.both(grids.frequency(marked.where("g = 1"), ["city"]), grids.frequency(marked, ["city"]), ["city"])
+    found = scan.merge(scan.rectangles(two, ["city"], 50, 10, 8, 500), ["city"], 50)
+    return found.select("city", "region_no", F.round("value", 6).alias("value"), "parts", F.size("cells").alias("size"))
+
+
+@query()
+def density_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Density clusters of the candidate venues: eight within 150 m."""
+    z = _z(spark, d)
+    good = _candidates(spark, d, z).select("venue").distinct()
+    spots = places(spark, d, "lng", "lat").withColumnRenamed("id", "venue").join(good, "venue", "left_semi")
+    found = regions.density_clusters(spots, 150.0, 8).where("cluster is not null")
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("spots"), F.sum(F.col("core").cast("int")).alias("core"))
+
+
+@query(with_(_Z) + f""", q as (select * from w where city = '{FROM}'), t as (select * from w where city = '{TO}'), nm as (select _id as id, max(regexp_extract(name, '(\\S+)$', 1)) as brand from venue where _id is not null group by _id),
+k as (select q.venue as q, t.venue as t, row_number() over (partition by q.venue order by round(list_distance(q.v, t.v), 9), t.venue) as rank from q join t on t.top = q.top),
+b as (select q, min(rank) as first from k join nm a on a.id = q join nm c on c.id = t where rank <= 20 and a.brand = c.brand group by q)
+select q, cast(first as int) as first from b""")
+def brand_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Rank of the first neighbour that carries the same last name word, among the 20 nearest in the category."""
+    a, b = _sides(spark, d)
+    near = knn.nearest(a.select("top", "id", "v"), b.select("top", "id", "v"), ["top"], 20)
+    word = F.max(F.regexp_extract("name", r"(\S+)$", 1)).alias("brand")
+    names = table(spark, d, "venue").dropna(subset=["_id"]).groupBy("_id").agg(word)
+    left, right = names.select(F.col("_id").alias("q"), F.col("brand").alias("x")), names.select(F.col("_id").alias("t"), F.col("brand").alias("y"))
+    return near.join(left, "q").join(right, "t").where("x = y").groupBy("q").agg(F.min("rank").alias("first"))
+
+
+@query(_K + """, s5 as (select top, rank, distance from k where rank <= 3), m as (select cast(top as varchar) as top, avg(case when rank = 1 then distance end) as a, avg(case when rank = 2 then distance end) as b, avg(case when rank = 3 then distance end) as c from s5 group by top)
+select top, round(a, 4) as "1", round(b, 4) as "2", round(c, 4) as "3", round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / (cast(a is not null as int) + cast(b is not null as int) + cast(c is not null as int)), 4) as mean from m""")
+def knn_score_table(spark: SparkSession, d: str) -> DataFrame:
+    """Mean distance of the first three neighbours by top category, as a table."""
+    a, b = _sides(spark, d)
+    near = knn.nearest(a.select("top", "id", "v"), b.select("top", "id", "v"), ["top"], 3)
+    scores = near.select(F.col("top").cast("string").alias("top"), F.col("rank").cast("string").alias("rank"), "distance")
+    out = score_table(scores, "top", "rank", "distance", ["1", "2", "3"])
+    return out.select("top", *[F.round(F.col(f"`{c}`"), 4).alias(c) for c in ("1", "2", "3", "mean")])

@@ -216,3 +216,28 @@ def local_projection(spark: SparkSession, d: str) -> DataFrame:
     v = proximity.located(v.dropna()).join(table(spark, d, "city_box"), "city")
     east, north = geo.local_xy(F.col("lat"), F.col("lng"), (F.col("lat_bl") + F.col("lat_ur")) / 2, (F.col("lng_bl") + F.col("lng_ur")) / 2)
     return v.select("venue", F.round(east, 3).alias("east"), F.round(north, 3).alias("north")).distinct()
+
+
+def _tag_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The best rectangles of every tag of a city against all its photos, on a K x K grid."""
+    boxes = table(spark, d, "city_box")
+    tags = grids.frequency(grids.placed(tagged(spark, d, "city", "lng", "lat"), boxes, "city", K), ["city", "tag"])
+    known = tags.groupBy("city", "tag").agg(F.sum("n").alias("_t")).where("_t >= 20").select("city", "tag")
+    every = _freq(spark, d, shots, K).join(known, "city")
+    two = grids.both(tags.join(known, ["city", "tag"], "left_semi"), every, ["city", "tag"])
+    return scan.rectangles(two, ["city", "tag"], K, 4, 20, 20, stripes=1)
+
+
+@query()
+def tag_scan_best(spark: SparkSession, d: str) -> DataFrame:
+    """The most unusual region of every tag with at least twenty photos in a city, best tags first."""
+    best = _tag_regions(spark, d).where("rank = 1").select("city", "tag", F.round("value", 6).alias("value"), "x0", "x1", "y0", "y1", "m", "b")
+    return best.orderBy(F.desc("value"), "city", "tag")
+
+
+@query()
+def tags_of_centre(spark: SparkSession, d: str) -> DataFrame:
+    """Tags of the largest city whose merged best region covers most of its four middle cells."""
+    merged = scan.merge(_tag_regions(spark, d).where("city = 'vellmare'"), ["tag"], K)
+    middle = [(x, y) for x in (K // 2 - 1, K // 2) for y in (K // 2 - 1, K // 2)]
+    return scan.tags_of_area(merged, "tag", middle).withColumn("value", F.round("value", 6))
