@@ -112,7 +112,7 @@ def pack(df: DataFrame, item: str, size: str, capacity: int, per_partition: int
     like an item. ``start`` is the offset inside the container. The result is
     the same for the same rows in any order. An empty input gives no rows.
     """
-    split = pieces(df, item, size, capacity)
+    split = cut(pieces(df, item, size, capacity))
     kind = split.schema["item"].dataType.simpleString()
     schema = f"item {kind}, piece int, size bigint, cut boolean, container string, start bigint, bound bigint, used bigint"
     name = F.concat_ws("-", F.lit("full"), F.col("item").cast("string"), "piece")
