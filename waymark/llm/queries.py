@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.text import folded, letters
+from waymark.lineage import cut
 from waymark.llm import clusters, distinct, langid, mixing, packing, terms, together
 from waymark.llm.tokens import TOKEN_RE2, token_count
 from waymark.sources.tables import table
@@ -88,7 +89,8 @@ def _term_sets(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     parts = []
-    for field, recs in _term_sets(spark, d):
+    for field, found in _term_sets(spark, d):
+        recs = cut(found)
         total = recs.agg(F.count(F.lit(1)).alias("_n"))
         freq = terms.frequencies(recs).crossJoin(F.broadcast(total))
         parts.append(terms.marked(freq, F.col("_n")).select(F.lit(field).alias("field"), "term", "in_records", "occurrences", "mark"))
