@@ -126,7 +126,7 @@ P6_SQL = {
 
 def _pairs(spark: SparkSession, d: str, least: int) -> DataFrame:
     sets = [("photos.tags", "photos"), ("venue.tags", "venue")]
-    parts = [together.pairs(terms.records(table(spark, d, t), "_id", "tags"), least).withColumn("field", F.lit(f)) for f, t in sets]
+    parts = [together.pairs(cut(terms.records(table(spark, d, t), "_id", "tags")), least).withColumn("field", F.lit(f)) for f, t in sets]
     return parts[0].unionByName(parts[1])
 
 
