@@ -198,7 +198,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = _doc_tokens(spark, d)
+    docs = cut(_doc_tokens(spark, d))
     plan = mixing.plan(docs, _targets(spark, d), ["source"])
     return plan, mixing.select(docs, plan, ["source"], "doc_id")
 
