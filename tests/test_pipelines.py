@@ -241,3 +241,16 @@ def test_models(spark):
     bags = spark.createDataFrame([(["a", "b"],), (["a", "c"],), (["b", "c"],), (["rare"],)], "tags array<string>")
     words = {r["word"] for r in models.topics(bags, "tags", k=2, least=2, most=1.0, passes=2).collect()}
     assert words <= {"a", "b", "c"} and words
+
+
+def test_sampling_and_tables(spark):
+    df = spark.createDataFrame([(k, i) for k in "ab" for i in range(20)], "k string, i int")
+    one = {tuple(r) for r in profiles.sampled(df, 3, 7, ["k"], ["i"]).collect()}
+    assert len(one) == 6 and one == {tuple(r) for r in profiles.sampled(df.orderBy(F.desc("i")), 3, 7, ["k"], ["i"]).collect()}
+    assert profiles.sampled(df, 5, 1).count() == 5 and profiles.sampled(df.limit(0), 5, 1).count() == 0
+    rows = spark.createDataFrame([("x", "a", 1.0), ("x", "a", 3.0), ("x", "b", 5.0), ("y", "a", 9.0)], "city string, metric string, v double")
+    got = [(r["city"], r["a"], r["b"], r["mean"]) for r in profiles.score_table(rows, "city", "metric", "v", ["a", "b"]).collect()]
+    assert got == [("y", 9.0, None, 9.0), ("x", 2.0, 5.0, 3.5)]
+    t = spark.createDataFrame([("u", "p", "s", datetime(2014, 1, 1)), ("u", "q", "s", datetime(2014, 1, 2))], "uid string, city string, tag string, t timestamp_ntz")
+    assert profiles.tag_rows(t, "s", start=F.lit("2014-01-02").cast("timestamp_ntz"), user="u", city="q").count() == 1
+    assert profiles.tag_rows(t, end=F.lit("2014-01-02").cast("timestamp_ntz")).count() == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,11 +88,11 @@ def candidates(found: DataFrame, at_least: int, at_most: int, per_query: int) ->
     return best.orderBy("distance", "t").limit(wanted)
 
 
-def loops(forward: DataFrame, backward: DataFrame, longest: int = 50) -> DataFrame:
+def loops(forward: DataFrame, backward: DataFrame) -> DataFrame:
     """(start, steps, length): alternate nearest neighbours there and back until a venue comes again.
 
     ``forward`` and ``backward``: q, t, distance of the single nearest neighbours.
-    All starts walk at the same time, one join pair per step; length is the mean distance of the steps.
+    All starts walk at the same time, one join per step, until the last has ended; length is the mean distance of the steps.
     """
     there = forward.select(F.col("q").alias("at"), F.col("t").alias("over"), F.col("distance").alias("d1"))
     back = backward.select(F.col("q").alias("over"), F.col("t").alias("next"), F.col("distance").alias("d2"))
@@ -98,10 +100,9 @@ def loops(forward: DataFrame, backward: DataFrame, longest: int = 50) -> DataFra
     hop = checkpointed(hop)
     walk = hop.select(F.col("at").alias("start"), F.col("at"), F.array("at").alias("seen"), F.lit(0.0).alias("sum"))
     done = None
-    for step in range(1, longest + 1):
+    for step in count(1):
         moved = walk.join(hop, "at").select("start", F.col("next").alias("at"), "seen", (F.col("sum") + F.col("d")).alias("sum"))
-        again = F.array_contains("seen", F.col("at")) | F.lit(step == longest)
-        moved = checkpointed(moved.withColumn("again", again))
+        moved = checkpointed(moved.withColumn("again", F.array_contains("seen", F.col("at"))))
         over = moved.where("again").select("start", F.lit(step).alias("steps"), (F.col("sum") / (2 * step)).alias("length"))
         done = over if done is None else done.unionByName(over)
         walk = moved.where("not again").select("start", "at", F.concat("seen", F.array("at")).alias("seen"), "sum")

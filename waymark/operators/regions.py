@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.lineage import cut
@@ -138,25 +138,24 @@ def close_circles(x1, y1, r1, x2, y2, r2) -> bool:
     return math.hypot(x1 - x2, y1 - y2) < 1.3 * (r1 + r2)
 
 
-def disjoint_circles(ranked: DataFrame, keys: list[str], top: int = 5, first: int = 200) -> DataFrame:
+def disjoint_circles(ranked: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
     """Greedy choice of circles that are not close to a better one; ``ranked``: keys, key, x, y, radius, distance (metres).
 
-    The ``first`` best of each key (a top-k report) take part; ties by key.
+    Ties by key. A group holds the circles laid over one area, whose number does
+    not depend on the data.
     """
-    order = Window.partitionBy(*keys).orderBy("distance", "key")
-    some = ranked.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= first)
     kinds = {f.name: f.dataType.simpleString() for f in ranked.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "key", "x", "y", "radius", "distance"]) + ", rank int"
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list = []
-        for row in pdf.sort_values("_r").itertuples(index=False):
+        for row in pdf.sort_values(["distance", "key"]).itertuples(index=False):
             if len(kept) < top and not any(close_circles(row.x, row.y, row.radius, o.x, o.y, o.radius) for o in kept):
                 kept.append(row)
         out = pd.DataFrame(kept, columns=pdf.columns)[[*keys, "key", "x", "y", "radius", "distance"]]
         return out.assign(rank=range(1, len(out) + 1))
 
-    return some.groupBy(*keys).applyInPandas(pick, schema)
+    return ranked.groupBy(*keys).applyInPandas(pick, schema)
 
 
 def dcg(rel: Column, rank: Column) -> Column:

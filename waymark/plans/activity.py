@@ -195,10 +195,10 @@ def season_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(season.alias("season")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select c.city, date_trunc('hour', t) as utc_hour, count(*) as n from (select distinct _id, nullif(regexp_replace(lower(city), '[^a-z]', '', 'g'), '') as city, "time" as lt from checkin where _id is not null) v
+@query("""select c.city, strftime(t, '%Y-%m-%d %H') as utc_hour, count(*) as n from (select distinct _id, nullif(regexp_replace(lower(city), '[^a-z]', '', 'g'), '') as city, "time" as lt from checkin where _id is not null) v
 join city_box c on c.city = v.city, lateral (select lt - interval 1 minute * utc_offset_min as t) where lt is not null group by all""")
 def utc_hours(spark: SparkSession, d: str) -> DataFrame:
     rows = visits(spark, d, "city", "t").join(table(spark, d, "city_box").select("city", "utc_offset_min"), "city").dropna()
     zone = F.format_string("%s%02d:%02d", F.when(F.col("utc_offset_min") < 0, "-").otherwise("+"), F.floor(F.abs("utc_offset_min") / 60).cast("int"), F.abs("utc_offset_min") % 60)
-    return rows.groupBy("city", F.date_trunc("hour", clock.to_utc(F.col("t"), zone)).alias("utc_hour")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("city", F.substring(clock.to_utc(F.col("t"), zone).cast("string"), 1, 13).alias("utc_hour")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -41,7 +41,8 @@ def updated(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 def dated_json(df: DataFrame, time: str) -> Column:
     """A row as JSON text with its time wrapped as {"$date": ISO}."""
-    wrapped = F.struct(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("$date"))
+    text = F.col(time).cast("string")  # without any zone, whatever the session's
+    wrapped = F.struct(F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), F.lit("Z")).alias("$date"))
     return F.to_json(F.struct(*[wrapped.alias(c) if c == time else F.col(c) for c in df.columns]))
 
 
