@@ -17,7 +17,7 @@ CAPACITY = 1_024
 def _visits(spark: SparkSession, d: str) -> DataFrame:
     """One row per check-in record: id, day, city, lid, uid."""
     return table(spark, d, "checkin").select(
-        F.col("_id").alias("id"), F.date_format("time", "yyyy-MM-dd").alias("day"), letters(F.col("city")).alias("city"),
+        F.col("_id").alias("id"), F.to_date("time").cast("string").alias("day"), letters(F.col("city")).alias("city"),
         folded(F.col("lid")).alias("lid"), "uid",
     ).where(F.col("id").isNotNull()).distinct()
 
@@ -57,7 +57,7 @@ def p3_returning(spark: SparkSession, d: str) -> DataFrame:
     """Users seen in a city both on a day and on the day before: an AND of two bitmaps."""
     rows = _visits(spark, d).dropna(subset=["city", "day", "uid"])
     maps = distinct.bitmaps(rows, ["city", "day"], "uid", distinct.dictionary(rows, "uid"))
-    earlier = maps.withColumn("day", F.date_format(F.date_add(F.to_date("day"), 1), "yyyy-MM-dd"))
+    earlier = maps.withColumn("day", F.date_add(F.to_date("day"), 1).cast("string"))
     return distinct.common(maps, earlier, ["city", "day"]).select("city", "day", F.col("members").alias("users"))
 
 
