@@ -24,7 +24,7 @@ def _visits(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Days and cities with many records of few users."""
-    rows = _visits(spark, d).select("id", "day", "city", "uid").dropna()
+    rows = cut(_visits(spark, d).select("id", "day", "city", "uid").dropna())
     n = rows.groupBy("city", "day").agg(F.count(F.lit(1)).alias("records")).where("records >= 30")
     users = distinct.count(distinct.bitmaps(rows, ["city", "day"], "uid", distinct.dictionary(rows, "uid")), ["city", "day"])
     return n.join(users, ["city", "day"]).where(F.col("members") * 4 < F.col("records")).select("city", "day")
