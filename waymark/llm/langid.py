@@ -66,12 +66,16 @@ LEAST_LETTERS = 8
 STEP_CHARS = 150_000
 
 END = re.compile(r"[.!?…]+[\"”»’'“)\]*_]*(?=\s|$)|[。！？]+[”」』)]*")
+#: Letters of scripts without spaces.
+_UNSPACED = r"\u0e00-\u0eff\u3005\u3040-\u30ff\u3400-\u9fff\uff66-\uff9f"
+# Tokens that spaces alone would end are ASCII or end at such a letter; a tag of these letters must stand alone.
 NOISE = re.compile(
-    r"https?://\S+|www\.\S+|<[^<>]{1,200}>|\[\d+:\d+\]|[@#]\S+|\S*\d\S{20,}"
+    rf"https?://[^\s{_UNSPACED}]+|www\.[^\s{_UNSPACED}]+|<[^<>]{{1,200}}>|\[\d+:\d+\]"
+    rf"|[@#](?:[^\s{_UNSPACED}]+|[{_UNSPACED}]{{1,20}}(?=[\s@#]|$))|[!-~]*[0-9][!-~]{{20,}}"
     r"|[\"“«„(][^\"“”»„().!?。]{1,80}[\"”»“)]"
 )
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-UNSPACED = re.compile(r"[฀-໿぀-ヿ㐀-鿿]")
+UNSPACED = re.compile(rf"[{_UNSPACED}]")
 # Letters without a canonical decomposition.
 PLAIN = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 
