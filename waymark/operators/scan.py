@@ -29,11 +29,12 @@ def _prefix(ix: np.ndarray, iy: np.ndarray, n: np.ndarray, k: int) -> np.ndarray
     return grid.cumsum(0).cumsum(1)
 
 
-def rectangles(two: DataFrame, keys: list[str], k: int, max_side: int, support: int, top: int, stripes: int = 4) -> DataFrame:
+def rectangles(two: DataFrame, keys: list[str], k: int, max_side: int, support: int | None, top: int, stripes: int = 4) -> DataFrame:
     """(keys, value, x0, x1, y0, y1, m, b): the ``top`` rectangles of each group, cells inclusive.
 
     ``two`` has keys, ix, iy, m, b with 0 <= ix, iy < k; sides are at most
-    ``max_side`` cells. Equal values (to nine digits) are ordered by x0, y0, x1, y1.
+    ``max_side`` cells. Without ``support`` each group has that of its measured
+    total, see ``support_of``. Equal values (to nine digits) are ordered by x0, y0, x1, y1.
     Groups without measured or background events give nothing.
     """
     spread = two.withColumn("_stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
@@ -43,20 +44,23 @@ def rectangles(two: DataFrame, keys: list[str], k: int, max_side: int, support:
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ix, iy = pdf["ix"].to_numpy(), pdf["iy"].to_numpy()
         pm, pb = (_prefix(ix, iy, pdf[c].to_numpy(), k) for c in ("m", "b"))
-        out = []
+        total_m, total_b = pm[-1, -1], pb[-1, -1]
+        least = support_of(int(total_m)) if support is None else support
+        best = np.empty((0, 7))
         for w in range(1 + int(pdf["_stripe"].iloc[0]), max_side + 1, stripes):
+            out = [best]
             for h in range(1, max_side + 1):
-                m, b = (p[w:, h:] - p[:-w, h:] - p[w:, :-h] + p[:-w, :-h] for p in (pm, pb))
-                d = np.round(statistic(m, b, pm[-1, -1], pb[-1, -1], support), 9) if pm[-1, -1] and pb[-1, -1] else np.full(m.shape, -np.inf)
-                flat = d.ravel()
-                keep = np.flatnonzero(flat > -np.inf)
+                m, b = ((p[w:, h:] - p[:-w, h:] - p[w:, :-h] + p[:-w, :-h]).ravel() for p in (pm, pb))
+                keep = np.flatnonzero((m >= least) & (b >= least) & (total_m * total_b > 0))
+                d = np.round(statistic(m[keep], b[keep], total_m, total_b, least), 9)
+                keep, d = keep[d > -np.inf], d[d > -np.inf]
                 if len(keep) > top:
-                    least = np.partition(flat[keep], len(keep) - top)[len(keep) - top]
-                    keep = keep[flat[keep] >= least]
-                x, y = np.divmod(keep, d.shape[1])
-                out.append(np.column_stack([flat[keep], x, x + w - 1, y, y + h - 1, m.ravel()[keep], b.ravel()[keep]]))
-        best = np.concatenate(out) if out else np.empty((0, 7))
-        best = best[np.lexsort((best[:, 4], best[:, 2], best[:, 3], best[:, 1], -best[:, 0]))][:top]
+                    some = d >= np.partition(d, len(d) - top)[len(d) - top]
+                    keep, d = keep[some], d[some]
+                x, y = np.divmod(keep, k + 1 - h)
+                out.append(np.column_stack([d, x, x + w - 1, y, y + h - 1, m[keep], b[keep]]))
+            best = np.concatenate(out)
+            best = best[np.lexsort((best[:, 4], best[:, 2], best[:, 3], best[:, 1], -best[:, 0]))][:top]
         rows = pd.DataFrame(best, columns=["value", "x0", "x1", "y0", "y1", "m", "b"]).astype({c: int for c in ("x0", "x1", "y0", "y1", "m", "b")})
         for i, c in enumerate(keys):
             rows.insert(i, c, pdf[c].iloc[0])

@@ -218,26 +218,31 @@ def local_projection(spark: SparkSession, d: str) -> DataFrame:
     return v.select("venue", F.round(east, 3).alias("east"), F.round(north, 3).alias("north")).distinct()
 
 
-def _tag_regions(spark: SparkSession, d: str) -> DataFrame:
-    """The best rectangles of every tag of a city against all its photos, on a K x K grid."""
+#: The survey's scan (SPA-04): cells per side, longest side of a rectangle, rectangles kept of each tag.
+SCAN_K, SCAN_SIDE, SCAN_TOP = 80, 20, 2_000
+
+
+def _tag_regions(spark: SparkSession, d: str, top: int, city: str | None = None) -> DataFrame:
+    """The best rectangles of every tag of a city (of one city, if named) against all its photos; the support follows the tag's total."""
     boxes = table(spark, d, "city_box")
-    tags = grids.frequency(grids.placed(tagged(spark, d, "city", "lng", "lat"), boxes, "city", K), ["city", "tag"])
+    boxes = boxes.where(F.col("city") == city) if city else boxes
+    tags = grids.frequency(grids.placed(tagged(spark, d, "city", "lng", "lat"), boxes, "city", SCAN_K), ["city", "tag"])
     known = tags.groupBy("city", "tag").agg(F.sum("n").alias("_t")).where("_t >= 20").select("city", "tag")
-    every = _freq(spark, d, shots, K).join(known, "city")
+    every = _freq(spark, d, shots, SCAN_K).join(known, "city")
     two = grids.both(tags.join(known, ["city", "tag"], "left_semi"), every, ["city", "tag"])
-    return scan.rectangles(two, ["city", "tag"], K, 4, 20, 20, stripes=1)
+    return scan.rectangles(two, ["city", "tag"], SCAN_K, SCAN_SIDE, None, top, stripes=1)
 
 
 @query()
 def tag_scan_best(spark: SparkSession, d: str) -> DataFrame:
-    """The most unusual region of every tag with at least twenty photos in a city, best tags first."""
-    best = _tag_regions(spark, d).where("rank = 1").select("city", "tag", F.round("value", 6).alias("value"), "x0", "x1", "y0", "y1", "m", "b")
+    """The most unusual region of every tag with at least twenty photos in a city, best tags first; cells of an 80 x 80 grid."""
+    best = _tag_regions(spark, d, 1).select("city", "tag", F.round("value", 6).alias("value"), "x0", "x1", "y0", "y1", "m", "b")
     return best.orderBy(F.desc("value"), "city", "tag")
 
 
 @query()
 def tags_of_centre(spark: SparkSession, d: str) -> DataFrame:
-    """Tags of the largest city whose merged best region covers most of its four middle cells."""
-    merged = scan.merge(_tag_regions(spark, d).where("city = 'vellmare'"), ["tag"], K)
-    middle = [(x, y) for x in (K // 2 - 1, K // 2) for y in (K // 2 - 1, K // 2)]
-    return scan.tags_of_area(merged, "tag", middle).withColumn("value", F.round("value", 6))
+    """Tags of the largest city of which a merged region covers most of the middle tenth of each side."""
+    merged = scan.merge(_tag_regions(spark, d, SCAN_TOP, "vellmare"), ["tag"], SCAN_K)
+    near = range(SCAN_K // 2 - SCAN_K // 20, SCAN_K // 2 + SCAN_K // 20)
+    return scan.tags_of_area(merged, "tag", [(x, y) for x in near for y in near]).withColumn("value", F.round("value", 6))
