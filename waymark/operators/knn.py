@@ -67,6 +67,53 @@ def nearest(queries: DataFrame, targets: DataFrame, group: list[str], k: int, qu
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
+def first_same(queries: DataFrame, targets: DataFrame, group: list[str], label: str, query_block: int = QUERY_BLOCK, target_block: int = TARGET_BLOCK) -> DataFrame:
+    """(group, q, first, size): the rank, among all ``size`` targets of its group, of the nearest target with the query's label.
+
+    Both sides have group columns, id, v and ``label``. The nearest target of the label is found
+    first, then the targets before it (nearer, or as near with a smaller id) are counted
+    in blocks as in ``nearest``; only a count per query and block leaves a task. A query
+    whose group has no target of its label, or whose label is null, gives no row.
+    """
+    known = nearest(queries, targets, [*group, label], 1, query_block, target_block).select(*group, "q", F.col("t").alias("_id"), F.col("distance").alias("_d"))
+    size = targets.groupBy(*group).agg(F.count(F.lit(1)).alias("size"))
+    asked = checkpointed(queries.select(*group, F.col("id").alias("q"), "v").join(known, [*group, "q"]))
+    nq = asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("_qn"))
+    blocks = nq.join(size.select(*group, F.ceil(F.col("size") / target_block).cast("int").alias("_tn")), group)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    a = asked.join(blocks, group).withColumn("_q", block("q", "_qn")).withColumn("_t", spread("_tn")).select(*group, "_q", "_t", "q", "v", "_id", "_d")
+    b = targets.join(blocks, group).withColumn("_t", block("id", "_tn")).withColumn("_q", spread("_qn")).select(*group, "_q", "_t", "id", "v")
+    b = fresh(b)
+    by = [*group, "_q", "_t"]
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in group] + [f"q {kinds['id']}, n bigint"])
+
+    def count_before(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x):
+            return pd.DataFrame(columns=[*group, "q", "n"], dtype=object)
+        n = np.zeros(len(x), dtype=np.int64)
+        if len(y):
+            p, q, ids = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy()), y["id"].to_numpy()
+            first, edge, norm = x["_id"].to_numpy(), x["_d"].to_numpy(), (q * q).sum(1)
+            step = max(1, 4_000_000 // len(q))
+            for at in range(0, len(p), step):
+                part = p[at : at + step]
+                rough = (part * part).sum(1)[:, None] + norm - 2 * part @ q.T
+                square = edge[at : at + step, None] ** 2
+                slack = 1e-6 * (1 + square + norm)
+                n[at : at + step] = (rough < square - slack).sum(1)
+                for i in range(len(part)):
+                    near = np.flatnonzero(np.abs(rough[i] - square[i]) <= slack[i])
+                    d = np.round(np.sqrt(((q[near] - part[i]) ** 2).sum(1)), 9)
+                    n[at + i] += ((d < edge[at + i]) | ((d == edge[at + i]) & (ids[near] < first[at + i]))).sum()
+        return pd.DataFrame({**{c: [x[c].iloc[0]] * len(x) for c in group}, "q": x["q"].to_numpy(), "n": n})
+
+    found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(lambda x, y: count_before(x, y), schema)
+    rank = found.groupBy(*group, "q").agg((F.sum("n") + 1).cast("int").alias("first"))
+    return rank.join(size, group).select(*group, "q", "first", "size")
+
+
 def explained(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> DataFrame:
     """(q, t, dim, percent): each dimension's share of the squared distance of a pair; 0 for equal vectors."""
     x = pairs.select("q", "t").join(queries.select(F.col("id").alias("q"), F.col("v").alias("_a")), "q")

@@ -367,7 +367,7 @@ k as (select q.venue as q, t.venue as t, row_number() over (partition by q.venue
 b as (select q, min(rank) as first from k join nm a on a.id = q join nm c on c.id = t where rank <= 20 and a.brand = c.brand group by q)
 select q, cast(first as int) as first from b""")
 def brand_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Rank of the first neighbour that carries the same last name word, among the 20 nearest in the category."""
+    """Rank of the first neighbour that carries the same last name word, among the 20 nearest in the category; see ``brand_rank_whole``."""
     a, b = _sides(spark, d)
     near = knn.nearest(a.select("top", "id", "v"), b.select("top", "id", "v"), ["top"], 20)
     word = F.max(F.regexp_extract("name", r"(\S+)$", 1)).alias("brand")
@@ -376,6 +376,18 @@ def brand_rank(spark: SparkSession, d: str) -> DataFrame:
     return near.join(left, "q").join(right, "t").where("x = y").groupBy("q").agg(F.min("rank").alias("first"))
 
 
+@query(with_(_Z) + f""", q as (select * from w where city = '{FROM}'), t as (select * from w where city = '{TO}'), nm as (select _id as id, max(regexp_extract(name, '(\\S+)$', 1)) as brand from venue where _id is not null group by _id),
+k as (select q.venue as q, t.venue as t, row_number() over (partition by q.venue order by round(list_distance(q.v, t.v), 9), t.venue) as rank, count(*) over (partition by q.venue) as size from q join t on t.top = q.top)
+select q, cast(min(rank) as int) as first, max(size) as size from k join nm a on a.id = q join nm c on c.id = t where a.brand = c.brand group by q""")
+def brand_rank_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Rank of the first neighbour that carries the same last name word among all venues of the category, and how many these are."""
+    a, b = _sides(spark, d)
+    word = F.max(F.regexp_extract("name", r"(\S+)$", 1)).alias("brand")
+    names = table(spark, d, "venue").dropna(subset=["_id"]).groupBy(F.col("_id").alias("id")).agg(word)
+    left, right = (cut(x.select("top", "id", "v").join(names, "id", "left")) for x in (a, b))
+    return knn.first_same(left, right, ["top"], "brand").select("q", "first", "size")
+
+
 @query(_K + """, s5 as (select top, rank, distance from k where rank <= 3), m as (select cast(top as varchar) as top, avg(case when rank = 1 then distance end) as a, avg(case when rank = 2 then distance end) as b, avg(case when rank = 3 then distance end) as c from s5 group by top)
 select top, round(a, 4) as "1", round(b, 4) as "2", round(c, 4) as "3", round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / (cast(a is not null as int) + cast(b is not null as int) + cast(c is not null as int)), 4) as mean from m""")
 def knn_score_table(spark: SparkSession, d: str) -> DataFrame:
