@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import local_xy
@@ -186,7 +186,7 @@ p as (select city, sum(case when i = 1 and j = 1 then d end) as a, sum(case when
  sum(case when i = 3 and j = 1 then d end) as h, sum(case when i = 3 and j = 2 then d end) as k, sum(case when i = 3 and j = 3 then d end) as l from d group by city)
 select city, round(least(a + f + l, a + g + k, b + e + l, b + g + h, c + e + k, c + f + h) / 3, 6) as distance from p where '{FROM}' in (select city from n)""")
 def cluster_centroid_distance(spark: SparkSession, d: str) -> DataFrame:
-    """Cheapest assignment of three category centroids of one city to those of every city."""
+    """Cheapest assignment of three category centroids of one city to those of every city; see ``cluster_kmeans_distance`` for all venues."""
     z = _z(spark, d).where("top in (1, 2, 3)").select("city", "top", F.posexplode("z").alias("dim", "x"))
     c = z.groupBy("city", "top", "dim").agg(F.avg("x").alias("m"))
     full = c.select("city", "top").distinct().groupBy("city").count().where("count = 3").select("city")
@@ -201,6 +201,69 @@ def cluster_centroid_distance(spark: SparkSession, d: str) -> DataFrame:
     return cost.groupBy("city").applyInPandas(assign, "city string, distance double").withColumn("distance", F.round("distance", 6))
 
 
+def _nearest_centroid(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((v[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
+
+
+def kmeans_centroids(rows: DataFrame, k: int = 3, steps: int = 5, tries: int = 5, seed: int = 1) -> dict[str, np.ndarray]:
+    """City to (k, dimensions): weighted means of the k clusters of all its vectors; ``rows``: city, id, v, w.
+
+    Clusters are found without weights, in ``steps`` rounds from k vectors with the smallest
+    seeded hash; a city with an empty cluster, or one of no weight, is tried again with other seeds and is left out
+    after ``tries``. Only sums per city and cluster leave a task.
+    """
+    rows, done = cut(rows.select("city", "id", "v", F.col("w").cast("double"))), {}
+
+    def sums(centres: dict[str, np.ndarray], weighted: bool) -> dict[str, np.ndarray]:
+        def part(batches):
+            for b in batches:
+                out = []
+                for city, own in b[b["city"].isin(list(centres))].groupby("city"):
+                    v, w = np.stack(own["v"].to_numpy()), own["w"].to_numpy() if weighted else np.ones(len(own))
+                    label = _nearest_centroid(v, centres[city])
+                    for c in np.unique(label):
+                        mine = label == c
+                        out += [(city, int(c), i, float(x)) for i, x in enumerate([w[mine].sum(), *(w[mine, None] * v[mine]).sum(0)])]
+                yield pd.DataFrame(out, columns=["city", "c", "i", "x"])
+
+        got = rows.mapInPandas(part, "city string, c int, i int, x double").groupBy("city", "c", "i").agg(F.sum("x").alias("x")).collect()
+        every = {city: np.zeros((k, centres[city].shape[1] + 1)) for city in centres}
+        for r in got:
+            every[r["city"]][r["c"], r["i"]] = r["x"]
+        return every
+
+    for n in range(tries):
+        order = Window.partitionBy("city").orderBy(F.xxhash64(F.lit(seed + n), F.col("id")), "id")
+        first = rows.where(~F.col("city").isin(list(done))).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).collect()
+        by: dict[str, list] = {}
+        for r in sorted(first, key=lambda r: (r["city"], r["_k"])):
+            by.setdefault(r["city"], []).append(r["v"])
+        centres = {c: np.array(v) for c, v in by.items() if len(v) == k}
+        if not centres:
+            break
+        for _ in range(steps):
+            s = sums(centres, False)
+            centres = {c: np.where(s[c][:, :1] > 0, s[c][:, 1:] / np.maximum(s[c][:, :1], 1), m) for c, m in centres.items()}
+        s, plain = sums(centres, True), sums(centres, False)
+        done |= {c: s[c][:, 1:] / s[c][:, :1] for c in centres if (plain[c][:, 0] > 0).all() and (s[c][:, 0] > 0).all()}
+    return done
+
+
+@query()
+def cluster_kmeans_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Cheapest assignment of the weighted centroids of three k-means clusters of all venues of one city to those of every city; weights are shares of the scaled fifth root of the venues' users."""
+    z = _z(spark, d).select("city", F.col("venue").alias("id"), F.col("z").alias("v"))
+    users = _features(spark, d).select("city", F.col("venue").alias("id"), F.pow(F.greatest(F.get("f", 1), F.lit(0.0)), 0.2).alias("u"))
+    bounds = users.groupBy("city").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.sum("u").alias("s"), F.count(F.lit(1)).alias("n"))
+    share = F.greatest(F.coalesce(F.try_divide(F.col("u") - F.col("lo"), F.col("s") - F.col("n") * F.col("lo")), F.lit(0.0)), F.lit(1e-6))
+    weights = users.join(F.broadcast(bounds), "city").select("city", "id", share.alias("w"))
+    c = kmeans_centroids(z.join(weights, ["city", "id"]))
+    if FROM not in c:
+        return spark.createDataFrame([], "city string, distance double")
+    cost = lambda b: transport.best_assignment(transport.euclidean(c[FROM], b))
+    return spark.createDataFrame([(n, round(float(cost(b)), 6)) for n, b in sorted(c.items())], "city string, distance double")
+
+
 def _members(spark: SparkSession, d: str) -> DataFrame:
     """(region, district, venue, z) of the venues in each gold region that have features."""
     gold = table(spark, d, "gold_region").select(F.concat_ws("/", "district", "city", "region_no").alias("region"), "ring")
