@@ -248,7 +248,7 @@ def test_clusters_as_brute_force(spark, monkeypatch, block):
     bad = [("n", None), ("s", [1.0]), ("z", [float("nan")] * 6), ("inf", [float("inf")] * 6), (None, [0.0] * 6), ("null", [None] * 6)]
     df = df.unionByName(spark.createDataFrame([(a, v, "c", 3) for a, v in bad], df.schema))
     vec = clusters.vectors(df, "venue", "f", 6, list(range(6)))
-    found = clusters.clusters(vec, 6, 0.2, 5, axes=2)
+    found = clusters.clusters(vec, 6, 0.2, 5, axes=2, levels=2)
     got = {(r["cluster"], r["item"]) for r in found.collect()}
     want = brute_clusters(rows, 0.2, 5)
     assert got == want and any(a.startswith("five") for a, _ in got) and not any(a.startswith("four") for a, _ in got)

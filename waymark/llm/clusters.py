@@ -1,12 +1,14 @@
-"""Clusters of mutually similar vectors by density on a grid.
-
-Vectors are quantised twice: coarsely along a few principal axes, and finely in
-every dimension. The fine cells are counted (however many rows share a cell, it is
-one row from here on) and keep their bounding boxes. Cells whose boxes come
-within the similarity radius are linked; only cells in the same or in adjacent
-coarse cells can be, since a rotation keeps distances. Minimum labels run along
-the links to convergence. Rows of different components are never similar, so a
-component is a cluster if all its rows are within half the radius of
+"""Clusters of mutually similar vectors by density on a grid, in SQL.
+
+Vectors are turned to their principal axes and quantised there, a few axes at a
+time. At each level the cells are counted (however many rows share a cell, it is one
+row from here on) and keep their bounding boxes over all dimensions. Adjacent cells are
+joined by equal keys: the children of two linked cells are linked if they differ
+by at most one step in every axis of the level and their boxes come within the
+similarity radius. A rotation keeps distances, so no two similar rows lie in cells that
+are not linked; cells with too few rows around them are dropped. Minimum labels run along
+the last level's links to convergence. Rows of different components are never similar,
+so a component is a cluster if all its rows are within half the radius of
 its centre; for the others the exact neighbourhoods of their rows decide.
 """
 
@@ -26,6 +28,8 @@ from waymark.operators.graph import components
 #: Rows compared with each other in one task, and entries of a distance block.
 BLOCK_ROWS = 4_096
 BLOCK_ENTRIES = 4_000_000
+#: Axes quantised at one level, and levels; a set no wider than the radius meets at most 2 ** (axes * levels) cells.
+AXES, LEVELS = 3, 3
 
 
 def vectors(df: DataFrame, item: str, f: str, length: int, dims: list[int]) -> DataFrame:
@@ -60,65 +64,60 @@ def _along(axis: np.ndarray) -> Column:
     return sum((F.get("v", i) * F.lit(float(c)) for i, c in enumerate(axis)), F.lit(0.0))
 
 
-def _links(lo: np.ndarray, hi: np.ndarray, home: np.ndarray, radius: float) -> np.ndarray:
-    """The smallest member of each cell's local component; links need at least one home cell."""
-    n = len(lo)
-    label = np.arange(n)
-    centre, reach = (lo + hi) / 2, np.sqrt(((hi - lo) ** 2).sum(1)) / 2
-    norm = (centre**2).sum(1)
-    at = np.flatnonzero(home)
-    step = max(1, BLOCK_ENTRIES // max(1, n))
-    for k in range(0, len(at), step):
-        a = at[k : k + step]
-        apart = np.sqrt(np.maximum(0, norm[a][:, None] + norm - 2 * centre[a] @ centre.T))
-        i, j = np.nonzero(apart <= radius + reach[a][:, None] + reach + 1e-5)
-        i = a[i]
-        edges = []
-        for p in range(0, len(i), 200_000):
-            x, y = i[p : p + 200_000], j[p : p + 200_000]
-            gap = np.maximum(0, np.maximum(lo[x] - hi[y], lo[y] - hi[x]))
-            near = (gap**2).sum(1) <= (radius + 1e-6) ** 2
-            edges.append((x[near], y[near]))
-        if edges:
-            x, y = (np.concatenate(c) for c in zip(*edges))
-            while True:
-                least = np.minimum(label[x], label[y])
-                new = label.copy()
-                np.minimum.at(new, label[x], least)
-                np.minimum.at(new, label[y], least)
-                new = new[new]
-                if (new == label).all():
-                    break
-                label = new
-    while (label[label] != label).any():
-        label = label[label]
-    return label
-
-
-def cell_links(cells: DataFrame, axes: int, radius: float) -> DataFrame:
-    """(a, b): cell ids such that the connected components equal those of all cells with boxes within ``radius``."""
-    offsets = [o for o in itertools.product((-1, 0, 1), repeat=axes) if o >= (0,) * axes]
-    owner = F.array(*[F.array(*[F.get("coarse", i) - o for i, o in enumerate(off)]) for off in offsets])
-    spread = cells.select("cell", "coarse", "lo", "hi", F.explode(owner).alias("owner"))
-    spread = spread.join(cells.select(F.col("coarse").alias("owner")).distinct(), "owner", "left_semi")
-    spread = spread.withColumn("home", F.col("owner") == F.col("coarse"))
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell", ignore_index=True)
-        ids = pdf["cell"].to_numpy()
-        lo, hi = (np.stack(pdf[c].to_numpy()).astype(np.float64) for c in ("lo", "hi"))
-        label = _links(lo, hi, pdf["home"].to_numpy(), radius)
-        moved = label != np.arange(len(label))
-        return pd.DataFrame({"a": ids[label[moved]], "b": ids[moved]})
-
-    return spread.select("owner", "cell", "lo", "hi", "home").groupBy("owner").applyInPandas(link, "a bigint, b bigint").distinct()
-
-
-def _neighbourhoods(rows: DataFrame, radius: float) -> DataFrame:
-    """(id, near, print): for each row the number of rows of its component within ``radius`` and their fingerprint.
-
-    Components are split into blocks of at most about BLOCK_ROWS rows and pairs
-    of blocks compared in separate tasks; only sums leave a task.
+def _gap(width: int) -> Column:
+    """The square of the distance between the boxes (lo_a, hi_a) and (lo_b, hi_b)."""
+    zero = F.lit(0.0)
+    apart = [F.greatest(zero, F.get("lo_a", i) - F.get("hi_b", i), F.get("lo_b", i) - F.get("hi_a", i)) for i in range(width)]
+    return sum((x * x for x in apart), zero)
+
+
+def _dense(cells: DataFrame, links: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The cells that have ``least`` rows in themselves and their linked cells, and the links between such."""
+    sizes = cells.select(F.col("cell").alias("b"), "n")
+    around = links.join(sizes, "b").groupBy(F.col("a").alias("cell")).agg(F.sum("n").alias("_n")).where(F.col("_n") >= least).select("cell")
+    kept = cut(cells.join(around, "cell", "left_semi"))
+    ends = kept.select("cell")
+    for end in ("a", "b"):
+        links = links.join(ends.withColumnRenamed("cell", end), end, "left_semi")
+    return kept, links.select("a", "b")
+
+
+def linked_cells(rows: DataFrame, width: int, radius: float, least: int, axes: int = AXES, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with their cell, cells, links): the dense cells of the last level and both directions of their links, a cell with itself included.
+
+    ``rows`` has item and v. A level joins each linked pair of the level before with its
+    children by equal keys, one per offset of the level's axes. What two cells of one
+    parent can be paired with is bounded by the offsets, not by the rows.
+    """
+    turned = principal_axes(rows, width, min(width, axes * levels))
+    steps = [turned[:, k : k + axes] for k in range(0, turned.shape[1], axes)]
+    keys = [F.array(*[F.floor(_along(s[:, k]) / radius).cast("int") for k in range(s.shape[1])]).alias(f"q{n}") for n, s in enumerate(steps)]
+    placed = cut(rows.select("item", "v", *keys, F.lit(0).cast("bigint").alias("cell")))
+    links = rows.sparkSession.createDataFrame([(0, 0)], "a bigint, b bigint")
+    lo = F.array(*[F.min(F.get("v", i)) for i in range(width)]).alias("lo")
+    hi = F.array(*[F.max(F.get("v", i)) for i in range(width)]).alias("hi")
+    for n, step in enumerate(steps):
+        q = F.col(f"q{n}")
+        cells = placed.groupBy(F.col("cell").alias("parent"), q.alias("q")).agg(F.count(F.lit(1)).alias("n"), lo, hi)
+        cells = cut(cells.withColumn("cell", F.monotonically_increasing_id() + 1))
+        left = cells.select(F.col("parent").alias("pa"), F.col("cell").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), "q")
+        offsets = itertools.product((-1, 0, 1), repeat=step.shape[1])
+        beside = F.array(*[F.array(*[F.get("q", i) + o for i, o in enumerate(off)]) for off in offsets])
+        left = left.withColumn("q", F.explode(beside)).join(links.select(F.col("a").alias("pa"), F.col("b").alias("pb")), "pa")
+        right = cells.select(F.col("parent").alias("pb"), F.col("cell").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), "q")
+        pairs = left.join(right, ["pb", "q"]).where(_gap(width) <= (radius + 1e-6) ** 2)
+        pairs = cut(pairs.select("a", "b"))
+        found = placed.withColumnRenamed("cell", "parent").withColumn("q", q)
+        cells, links = _dense(cells, pairs, least)
+        placed = found.join(cells.select("parent", "q", "cell"), ["parent", "q"]).drop("parent", "q")
+    return placed.select("item", "v", "cell"), cells, links
+
+
+def _near_counts(rows: DataFrame, radius: float) -> DataFrame:
+    """(id, near, first): for each row (label, id, v) the number of rows of its label within ``radius`` and the smallest of them.
+
+    Labels are split into blocks of at most about BLOCK_ROWS rows and pairs
+    of blocks compared in separate tasks; only counts leave a task.
     """
     size = rows.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_blocks"))
     placed = rows.join(size, "label").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
@@ -128,26 +127,42 @@ def _neighbourhoods(rows: DataFrame, radius: float) -> DataFrame:
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
-        b, ids, x = pdf["_b"].to_numpy(), pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy())
-        near, code = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
-        for mine, other in {(first, second), (second, first)}:
-            p, q = np.flatnonzero(b == mine), np.flatnonzero(b == other)
+        blocks, ids, x = pdf["_b"].to_numpy(), pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy())
+        near, first = np.zeros(len(ids), dtype=np.int64), ids.copy()
+        i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
+        for mine, other in {(i, j), (j, i)}:
+            p, q = np.flatnonzero(blocks == mine), np.flatnonzero(blocks == other)
+            q = q[np.argsort(ids[q])]
             step = max(1, BLOCK_ENTRIES // max(1, len(q) * x.shape[1]))
             for k in range(0, len(p), step):
                 r = p[k : k + step]
                 close = ((x[r][:, None, :] - x[q][None, :, :]) ** 2).sum(2) <= radius * radius
                 near[r] += close.sum(1)
-                with np.errstate(over="ignore"):
-                    code[r] += (close * ids[q]).sum(1)
-        return pd.DataFrame({"id": ids, "near": near, "code": code})
+                if len(q):
+                    first[r] = np.where(close.any(1), np.minimum(first[r], ids[q][close.argmax(1)]), first[r])
+        return pd.DataFrame({"id": ids, "near": near, "first": first})
+
+    parts = spread.groupBy("label", "_i", "_j").applyInPandas(compare, "id bigint, near bigint, first bigint")
+    return parts.groupBy("id").agg(F.sum("near").alias("near"), F.min("first").alias("first"))
 
-    parts = spread.groupBy("label", "_i", "_j").applyInPandas(compare, "id bigint, near bigint, code bigint")
-    return parts.groupBy("id").agg(F.sum("near").alias("near"), F.bit_xor("code").alias("code"))
 
+def _cliques(rows: DataFrame, radius: float) -> DataFrame:
+    """The rows (label, id, v, ...) of sets that are mutually within ``radius`` and have no other row of their label near, with their ``group``.
+
+    All rows of such a set have the same smallest neighbour and as many neighbours
+    as the set has rows. Sets that pass this are compared once more inside themselves: if
+    all their pairs are near, each row's neighbours are exactly the set.
+    """
+    known = cut(rows.join(_near_counts(rows, radius), "id").withColumn("group", F.concat_ws("/", "label", "first", "near")))
+    sizes = known.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), F.first("near").alias("_k")).where("_n = _k").select("group", "_n")
+    maybe = known.join(sizes, "group").drop("near", "first")
+    inside = _near_counts(maybe.select(F.col("group").alias("label"), "id", "v"), radius).select("id", "near")
+    whole = maybe.join(inside, "id").groupBy("group").agg(F.min(F.col("near") - F.col("_n")).alias("_lack")).where("_lack = 0").select("group")
+    return maybe.join(whole, "group", "left_semi").drop("_n")
 
-def clusters(rows: DataFrame, width: int, radius: float, least: int, axes: int = 3) -> DataFrame:
-    """(item, v, cell, cluster): the rows of every cluster; cluster is its smallest item.
+
+def clusters(rows: DataFrame, width: int, radius: float, least: int, axes: int = AXES, levels: int = LEVELS) -> DataFrame:
+    """(item, v, cell, cluster, group): the rows of every cluster; cluster is its smallest item.
 
     ``rows`` has item and v (``width`` finite numbers, see ``vectors``). A cluster
     is a set of rows that are mutually within ``radius`` (Euclidean), of at least
@@ -155,43 +170,22 @@ def clusters(rows: DataFrame, width: int, radius: float, least: int, axes: int =
     them. Exact: cells, boxes and the ball test only decide what needs no comparison of
     rows. Rows in no cluster are left out; an empty input gives none.
     """
-    axis = principal_axes(rows, width, axes)
-    coarse = F.array(*[F.floor(_along(axis[:, k]) / radius).cast("int") for k in range(axes)])
-    fine = F.transform("v", lambda x: F.floor(x / radius).cast("int"))
-    placed = cut(rows.withColumn("coarse", coarse).withColumn("fine", fine))
-    dense = _dense(placed, axes, least)
-    placed = placed.join(dense, "coarse", "left_semi")
-    lo = F.array(*[F.min(F.get("v", i)) for i in range(width)])
-    hi = F.array(*[F.max(F.get("v", i)) for i in range(width)])
-    cells = placed.groupBy("coarse", "fine").agg(F.count(F.lit(1)).alias("n"), lo.alias("lo"), hi.alias("hi"))
-    cells = cut(cells.withColumn("cell", F.monotonically_increasing_id()))
-    labels = components(cells.select(F.col("cell").alias("node")), cell_links(cells, axes, radius)).withColumnRenamed("node", "cell")
+    placed, cells, links = linked_cells(rows, width, radius, least, axes, levels)
+    labels = components(cells.select(F.col("cell").alias("node")), links.where("a < b")).withColumnRenamed("node", "cell")
     large = labels.join(cells.select("cell", "n"), "cell").groupBy("label").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least)
-    known = cells.select("coarse", "fine", "cell").join(labels.join(large.select("label"), "label", "left_semi"), "cell")
-    members = cut(placed.join(known, ["coarse", "fine"]).select("item", "v", "cell", "label"))
+    members = cut(placed.join(labels.join(large.select("label"), "label", "left_semi"), "cell").withColumn("id", F.monotonically_increasing_id()))
     centre = members.groupBy("label").agg(F.array(*[F.avg(F.get("v", i)) for i in range(width)]).alias("centre"))
-    off = F.sqrt(F.aggregate(F.zip_with("v", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    tight = members.join(centre, "label").groupBy("label").agg(F.max(off).alias("off")).where(F.col("off") <= radius / 2 - 1e-9)
-    sure = members.join(tight, "label", "left_semi").withColumn("group", F.col("label").cast("string"))
-    open_ = cut(members.join(tight, "label", "left_anti").withColumn("id", F.xxhash64("item", "v")))
-    exact = open_.join(_neighbourhoods(open_, radius), "id").withColumn("group", F.concat_ws("/", "label", "code"))
-    counts = exact.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), F.max("near").alias("_most"), F.min("near").alias("_fewest"))
-    cliques = counts.where((F.col("_n") == F.col("_most")) & (F.col("_n") == F.col("_fewest")))
+    off = F.sqrt(sum(((F.get("v", i) - F.get("centre", i)) ** 2 for i in range(width)), F.lit(0.0)))
+    widest = members.join(centre, "label").groupBy("label").agg(F.max(off).alias("off"))
+    tight = widest.where(F.col("off") <= radius / 2 - 1e-9)
     columns = ["item", "v", "cell", "group"]
-    found = sure.select(columns).unionByName(exact.join(cliques, "group", "left_semi").select(columns))
+    sure = members.join(tight, "label", "left_semi").withColumn("group", F.col("label").cast("string"))
+    exact = _cliques(cut(members.join(tight, "label", "left_anti")), radius)
+    found = sure.select(columns).unionByName(exact.select(columns))
     named = found.select("group", "item").distinct().groupBy("group").agg(F.min("item").alias("cluster"), F.count(F.lit(1)).alias("_k"))
     return found.join(named.where(F.col("_k") >= least), "group").select("item", "v", "cell", "cluster", "group")
 
 
-def _dense(placed: DataFrame, axes: int, least: int) -> DataFrame:
-    """Coarse cells whose own and adjacent cells hold at least ``least`` rows."""
-    counts = placed.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"))
-    offsets = list(itertools.product((-1, 0, 1), repeat=axes))
-    around = F.array(*[F.array(*[F.get("coarse", i) + o for i, o in enumerate(off)]) for off in offsets])
-    spread = counts.select(F.explode(around).alias("coarse"), "n").groupBy("coarse").agg(F.sum("n").alias("n"))
-    return counts.select("coarse").join(spread, "coarse").where(F.col("n") >= least).select("coarse")
-
-
 def described(found: DataFrame, width: int, typical: int = 3) -> DataFrame:
     """One row per cluster: cluster, rows, items, densest (rows of its densest cell), typical (members of that cell).
 

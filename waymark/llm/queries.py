@@ -264,7 +264,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Size and most typical venues of each cluster."""
+    """Size of each cluster: rows and different venues."""
+    return p2_typical(spark, d).select("cluster", "rows", "items")
+
+
+def p2_typical(spark: SparkSession, d: str) -> DataFrame:
+    """Size, rows of the densest cell and most typical venues of each cluster."""
     return clusters.described(_clusters(spark, d), len(SURROUNDINGS))
 
 
@@ -275,4 +280,17 @@ def p2_venues(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(own, "venue_id", "left")
 
 
-QUERIES |= {"p2_found": p2_found, "p2_clusters": p2_clusters, "p2_venues": p2_venues}
+_ROWS_SQL = f"""
+with r as materialized (select venue_id as item, v, row_number() over () as id from (select distinct venue_id, list_transform({[i + 1 for i in SURROUNDINGS]}, lambda i: f[i]) as v from venue_feature where len(f) = 31 and venue_id is not null)
+  where len(list_filter(v, lambda x: x is not null and not isnan(x) and not isinf(x))) = len(v)),
+w as (select a.id, a.item, list(b.id order by b.id) as near from r a join r b on list_distance(a.v, b.v) <= 0.2 group by a.id, a.item),
+g as (select near, min(item) as cluster, count(distinct item) as items, count(*) as "rows" from w group by near having count(*) = len(near) and count(distinct item) >= 5)
+"""
+P2_SQL = {
+    "p2_found": _ROWS_SQL + "select distinct cluster as venue_a, item as venue_b from w join g using (near) where item <> cluster",
+    "p2_clusters": _ROWS_SQL + """select cluster, "rows", items from g""",
+    "p2_venues": _ROWS_SQL + "select item as venue_id, min(cluster) as cluster from w left join g using (near) group by item",
+}
+
+QUERIES |= {"p2_found": p2_found, "p2_clusters": p2_clusters, "p2_typical": p2_typical, "p2_venues": p2_venues}
+SQL |= P2_SQL
