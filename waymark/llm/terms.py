@@ -1,15 +1,21 @@
-"""Exact frequencies of terms: heavy terms in local counters, the others by shuffle.
+"""Exact frequencies of terms: heavy terms in local counter arrays, the others by shuffle.
 
 A mergeable frequent-items sketch over all rows names the terms that may hold
 more than one in ``HEAVY_PART`` of the occurrences; there can be at most a few
-thousand. They get small integers, which are broadcast, and every task counts
-them locally: what leaves it is one counter row per heavy term. Only the light
-terms are shuffled by their text. Both counts are exact, whichever terms the
+thousand. They get small integers, which are broadcast. Every task then goes over its
+occurrences once: heavy ones raise two integer arrays, of which one row per heavy
+term leaves the task at its end; light ones are added up batch by batch and go on
+to the shuffle by their text. Both counts are exact, whichever terms the
 sketch names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,16 +59,39 @@ def heavy_terms(occ: DataFrame) -> DataFrame:
     return spark.createDataFrame([(t, i) for i, t in enumerate(sorted(named))], "term string, slot int")
 
 
+def _counter(slots: int):
+    """A pass over (term, slot, first) batches: counter arrays of the ``slots`` heavy terms, light terms added up per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records, every = np.zeros(slots, dtype=np.int64), np.zeros(slots, dtype=np.int64)
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            light = pc.is_null(rows["slot"])
+            heavy = rows.filter(pc.invert(light))
+            slot, first = heavy["slot"].to_numpy(), heavy["first"].to_numpy()
+            every += np.bincount(slot, minlength=slots)
+            records += np.bincount(slot[first > 0], minlength=slots)
+            added = rows.filter(light).group_by("term").aggregate([("first", "sum"), ("first", "count")])
+            if added.num_rows:
+                none = pa.nulls(added.num_rows, pa.int32())
+                yield from pa.table({"slot": none, "term": added["term"], "r": added["first_sum"], "o": added["first_count"]}).to_batches()
+        at = np.flatnonzero(every)
+        if len(at):
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int32()), "term": pa.nulls(len(at), pa.string()), "r": records[at], "o": every[at]})
+
+    return run
+
+
 def frequencies(recs: DataFrame) -> DataFrame:
-    """(term, in_records, occurrences) of every term of ``records`` output, exact."""
+    """(term, in_records, occurrences) of every term of ``records`` output, exact; one pass after that of the sketch."""
     occ = occurrences(recs)
     slots = heavy_terms(occ)
-    tagged = occ.join(F.broadcast(slots), "term", "left")
-    counts = [F.sum("first").alias("in_records"), F.count(F.lit(1)).alias("occurrences")]
-    heavy = tagged.where(F.col("slot").isNotNull()).groupBy("slot").agg(*counts)
-    heavy = heavy.join(F.broadcast(slots), "slot").select("term", "in_records", "occurrences")
-    light = tagged.where(F.col("slot").isNull()).groupBy("term").agg(*counts)
-    return heavy.unionByName(light)
+    named = F.broadcast(slots)
+    tagged = occ.join(named, "term", "left").select(F.when(F.col("slot").isNull(), F.col("term")).alias("term"), "slot", F.col("first").cast("bigint").alias("first"))
+    parts = tagged.mapInArrow(_counter(max(1, slots.count())), "slot int, term string, r bigint, o bigint")
+    counts = parts.groupBy("slot", "term").agg(F.sum("r").alias("in_records"), F.sum("o").alias("occurrences"))
+    whole = counts.join(named.withColumnRenamed("term", "_heavy"), "slot", "left")
+    return whole.select(F.coalesce("term", "_heavy").alias("term"), "in_records", "occurrences")
 
 
 def marked(freq: DataFrame, n_records: Column, least: int = 3, most_share: tuple[int, int] = (1, 10)) -> DataFrame:
