@@ -79,8 +79,9 @@ def test_terms_empty(spark):
 
 # ---- pairs
 
-@pytest.mark.parametrize("least", [1, 4])
-def test_pairs_as_brute_force(spark, least):
+@pytest.mark.parametrize(("least", "few"), [(1, 100_000), (4, 100_000), (1, 5)])
+def test_pairs_as_brute_force(spark, monkeypatch, least, few):
+    monkeypatch.setattr(together, "BROADCAST_ITEMS", few)
     rng = random.Random(3)
     rows = [(f"r{i}", [f"t{int(rng.random() ** 2 * 12)}" for _ in range(rng.randrange(1, 7))]) for i in range(150)]
     rows += [("big", [f"t{i}" for i in range(60)] * 2)]
@@ -98,6 +99,7 @@ def test_pairs_as_brute_force(spark, least):
         cells = [r["n_ab"], r["n_a"] - r["n_ab"], r["n_b"] - r["n_ab"], n - r["n_a"] - r["n_b"] + r["n_ab"]]
         sides = [(r["n_a"], r["n_b"]), (r["n_a"], n - r["n_b"]), (n - r["n_a"], r["n_b"]), (n - r["n_a"], n - r["n_b"])]
         llr = 2 * sum(k * math.log(k * n / (x * y)) for k, (x, y) in zip(cells, sides) if k)
+        assert r["significant"] == (llr >= together.SIGNIFICANT and r["lift"] > 1)
         assert abs(r["llr"] - llr) < 1e-6 and abs(r["lift"] - r["n_ab"] * n / (r["n_a"] * r["n_b"])) < 1e-9
 
 

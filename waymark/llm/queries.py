@@ -131,14 +131,17 @@ def _pairs(spark: SparkSession, d: str, least: int) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Tag pairs on at least 20 records and at least five times as often as by chance."""
-    out = _pairs(spark, d, 20).where(F.col("n_ab") * F.col("n") >= F.lit(5) * F.col("n_a") * F.col("n_b"))
+    """Tag pairs on at least 20 records and at least five times as often as by chance, beyond what chance explains.
+
+    Such a pair's log-likelihood ratio is 32 at least (20 records against 4 expected), so the test of significance removes none.
+    """
+    out = _pairs(spark, d, 20).where("significant").where(F.col("n_ab") * F.col("n") >= F.lit(5) * F.col("n_a") * F.col("n_b"))
     return out.select("field", "item_a", "item_b")
 
 
 def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair of tags that stand together, with lift and log-likelihood ratio."""
-    return _pairs(spark, d, 1).select("field", "item_a", "item_b", "n_ab", F.round("lift", 4).alias("lift"), F.round("llr", 3).alias("llr"))
+    """Every pair of tags that stand together, with lift, log-likelihood ratio and significance."""
+    return _pairs(spark, d, 1).select("field", "item_a", "item_b", "n_ab", F.round("lift", 4).alias("lift"), F.round("llr", 3).alias("llr"), "significant")
 
 
 _PAIRS_SQL = """
@@ -153,7 +156,15 @@ k as (select field, t, count(*) as k from o group by field, t),
 ab as (select a.field, a.t as item_a, b.t as item_b, count(*) as n_ab from o a join o b on a.field = b.field and a.id = b.id and a.t < b.t group by all),
 p as (select ab.*, x.k as n_a, y.k as n_b, n.n from ab join k x on x.field = ab.field and x.t = item_a join k y on y.field = ab.field and y.t = item_b join n on n.field = ab.field)
 """
-P7_SQL = {"p7_found": _PAIRS_SQL + "select field, item_a, item_b from p where n_ab >= 20 and n_ab * n >= 5 * n_a * n_b"}
+_PAIRS_SQL += """,
+x as (select *, cast(n_ab as double) as k1, cast(n_a - n_ab as double) as k2, cast(n_b - n_ab as double) as k3, cast(n - n_a - n_b + n_ab as double) as k4, cast(n_a as double) as a, cast(n_b as double) as b, cast(n as double) as s from p),
+y as (select *, k1 * s / (a * b) as lift, 2 * (case when k1 > 0 then k1 * ln(k1 * s / (a * b)) else 0 end + case when k2 > 0 then k2 * ln(k2 * s / (a * (s - b))) else 0 end
+ + case when k3 > 0 then k3 * ln(k3 * s / ((s - a) * b)) else 0 end + case when k4 > 0 then k4 * ln(k4 * s / ((s - a) * (s - b))) else 0 end) as llr from x)
+"""
+P7_SQL = {
+    "p7_found": _PAIRS_SQL + "select field, item_a, item_b from p where n_ab >= 20 and n_ab * n >= 5 * n_a * n_b",
+    "p7_pairs": _PAIRS_SQL + "select field, item_a, item_b, n_ab, round(lift, 4) as lift, round(llr, 3) as llr, llr >= 10.828 and lift > 1 as significant from y",
+}
 
 
 def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
