@@ -5,11 +5,15 @@ feasible functions give each partition a lower bound of its container
 count; a partition that meets it is finished. The others keep their full
 containers and give up those with gaps; the documents of the gaps are
 exchanged, that is hashed anew to fewer partitions, and packed again, until
-the bound is met, one partition is left, or a round no longer helps.
+the bound is met, one partition is left, or a round no longer helps: its
+partitions together waste as many containers as those of the round before, and no fewer
+documents lie in gaps. ``certificate`` tells which of these ended a container's round.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +22,6 @@ from pyspark.sql import functions as F
 from waymark.lineage import cut
 
 PER_PARTITION = 20_000
-MAX_ROUNDS = 6
 
 
 def lower_bound(count: np.ndarray, capacity: int) -> int:
@@ -65,28 +68,23 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _pack_partition(pdf: pd.DataFrame, capacity: int, r: int, last: bool) -> pd.DataFrame:
-    """Packs one partition; container is null for what goes into the exchange."""
+def _pack_partition(pdf: pd.DataFrame, capacity: int, r: int) -> pd.DataFrame:
+    """Packs one partition; ``gap`` marks the containers that may go into the exchange."""
     pdf = pdf.sort_values(["size", "item", "piece"], ascending=[False, True, True], ignore_index=True)
     size = pdf["size"].to_numpy()
     bins = best_fit_decreasing(size, capacity)
     used = int(bins.max()) + 1
     bound = lower_bound(np.bincount(size, minlength=capacity + 1), capacity)
-    fill = np.bincount(bins, weights=size, minlength=used)
-    final = np.ones(used, dtype=bool)
-    if used > bound and not last:
-        gap = capacity - fill
-        final = gap <= gap.mean() / 4
+    left = capacity - np.bincount(bins, weights=size, minlength=used)
+    gap = (left > left.mean() / 4) & (used > bound)
     names = np.array([f"r{r}-{int(pdf['_p'].iloc[0])}-{b}" for b in range(used)], dtype=object)
     start = pd.Series(size).groupby(bins).cumsum().to_numpy() - size
-    return pdf[["item", "piece", "size", "cut"]].assign(
-        container=np.where(final[bins], names[bins], None), start=start, bound=bound, used=used
-    )
+    return pdf[["item", "piece", "size", "cut", "_p"]].assign(container=names[bins], start=start, gap=gap[bins], bound=bound, used=used)
 
 
-def _packer(capacity: int, r: int, last: bool):
+def _packer(capacity: int, r: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack_partition(pdf, capacity, r, last)
+        return _pack_partition(pdf, capacity, r)
 
     return run
 
@@ -103,50 +101,65 @@ def pieces(df: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     )
 
 
-def pack(df: DataFrame, item: str, size: str, capacity: int, per_partition: int = PER_PARTITION, rounds: int = MAX_ROUNDS) -> DataFrame:
-    """Every item's container: item, piece, size, cut, container, start.
+def pack(df: DataFrame, item: str, size: str, capacity: int, per_partition: int = PER_PARTITION) -> DataFrame:
+    """Every item's container: item, piece, size, cut, container, start, certificate.
 
     ``item`` must be unique; items of no size (null, zero, negative) need no
     container and are left out. An item is cut only if it exceeds the capacity:
     into full pieces, each a container of its own, and one rest that is packed
-    like an item. ``start`` is the offset inside the container. The result is
-    the same for the same rows in any order. An empty input gives no rows.
+    like an item. ``start`` is the offset inside the container. ``certificate`` is ``full``
+    for such a piece, ``bound`` in a partition that meets its lower bound, ``kept`` for a container
+    without much of a gap in another one, ``single`` in the only partition left and ``no gain``
+    where a round no longer helped. The result is the same for the same rows in any order.
+    An empty input gives no rows.
     """
     split = cut(pieces(df, item, size, capacity))
     kind = split.schema["item"].dataType.simpleString()
-    schema = f"item {kind}, piece int, size bigint, cut boolean, container string, start bigint, bound bigint, used bigint"
+    schema = f"item {kind}, piece int, size bigint, cut boolean, _p int, container string, start bigint, gap boolean, bound bigint, used bigint"
     name = F.concat_ws("-", F.lit("full"), F.col("item").cast("string"), "piece")
-    columns = ["item", "piece", "size", "cut", "container", "start"]
-    done = split.where(F.col("size") == capacity).withColumn("container", name).withColumn("start", F.lit(0).cast("bigint"))
+    columns = ["item", "piece", "size", "cut", "container", "start", "certificate"]
+    full = split.where(F.col("size") == capacity)
+    done = full.withColumns({"container": name, "start": F.lit(0).cast("bigint"), "certificate": F.lit("full")}).select(columns)
     open_ = split.where(F.col("size") < capacity)
-    for r in range(rounds):
-        parts = -(-open_.count() // per_partition)
-        if not parts:
-            break
-        last = parts == 1 or r == rounds - 1
+    items, wasted = open_.count(), None
+    for r in count():
+        if not items:
+            return done
+        parts = -(-items // per_partition)
         key = F.pmod(F.xxhash64("item", "piece", F.lit(r)), F.lit(parts)).cast("int")
-        packed = cut(open_.withColumn("_p", key).groupBy("_p").applyInPandas(_packer(capacity, r, last), schema))
-        done = done.select(columns).unionByName(packed.where(F.col("container").isNotNull()).select(columns))
-        if last:
-            break
-        open_ = packed.where(F.col("container").isNull()).select("item", "piece", "size", "cut")
-    return done.select(columns)
+        packed = cut(open_.withColumn("_p", key).groupBy("_p").applyInPandas(_packer(capacity, r), schema))
+        per = packed.groupBy("_p").agg(F.max(F.col("used") - F.col("bound")).alias("w"), F.sum(F.col("gap").cast("bigint")).alias("g"))
+        now = per.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).first()
+        stop = "single" if parts == 1 else "no gain" if wasted is not None and now[0] >= wasted and now[1] >= items else None
+        certificate = F.when(F.col("used") == F.col("bound"), "bound").when(F.col("gap"), stop).otherwise("kept")
+        packed = packed.withColumn("certificate", certificate)
+        final = packed if stop else packed.where(~F.col("gap"))
+        done = done.unionByName(final.select(columns))
+        if stop:
+            return done
+        open_, items, wasted = packed.where("gap").select("item", "piece", "size", "cut"), now[1], now[0]
+
+
+def size_counts(packed: DataFrame, capacity: int) -> np.ndarray:
+    """The number of pieces of each size 0 ... capacity."""
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for size, n in packed.groupBy("size").count().collect():
+        counts[size] = n
+    return counts
 
 
 def report(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: containers, pieces, tokens, the certified least number of containers, the share of space used.
+    """One row: containers, pieces, tokens, fullest, overfull, least_containers, used_share.
 
-    The certificate is ``lower_bound`` over the counts of all piece sizes, at
-    most ``capacity`` rows.
+    least_containers is the certified least number: ``lower_bound`` over the counts
+    of all piece sizes, at most ``capacity`` rows. overfull counts containers above the capacity, so it is 0.
     """
-    count = np.zeros(capacity + 1, dtype=np.int64)
-    for size, n in packed.groupBy("size").count().collect():
-        count[size] = n
     per = packed.groupBy("container").agg(F.sum("size").alias("used"), F.count(F.lit(1)).alias("k"))
     total = per.agg(
-        F.count(F.lit(1)).alias("containers"), F.sum("k").alias("pieces"), F.sum("used").alias("tokens"), F.max("used").alias("fullest")
+        F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("k"), F.lit(0)).alias("pieces"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"),
+        F.max("used").alias("fullest"), F.count(F.when(F.col("used") > capacity, 1)).alias("overfull"),
     )
     return total.withColumns({
-        "least_containers": F.lit(lower_bound(count, capacity)).cast("bigint"),
+        "least_containers": F.lit(lower_bound(size_counts(packed, capacity), capacity)).cast("bigint"),
         "used_share": F.col("tokens") / (F.col("containers") * capacity),
     })

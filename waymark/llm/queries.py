@@ -171,10 +171,13 @@ def _doc_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", folded(F.col("source")).alias("source"), token_count(F.col("text")).alias("tokens"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_doc_tokens(spark, d), "doc_id", "tokens", CAPACITY)
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """The container and offset of every document (of each piece of a cut one)."""
-    packed = packing.pack(_doc_tokens(spark, d), "doc_id", "tokens", CAPACITY)
-    return packed.select(F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), "cut", "container", "start")
+    return _packed(spark, d).select(F.col("item").alias("doc_id"), "piece", F.col("size").alias("tokens"), "cut", "container", "start", "certificate")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -182,15 +185,36 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_containers(spark, d).where("cut").select("doc_id").distinct()
 
 
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """What lies in the containers of each document: pieces, tokens, containers, whether it was cut."""
+    per = _packed(spark, d).groupBy(F.col("item").alias("doc_id"))
+    return per.agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("tokens"), F.count_distinct("container").alias("containers"), F.bool_or("cut").alias("cut"))
+
+
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used against the certified least number."""
-    return packing.report(packing.pack(_doc_tokens(spark, d), "doc_id", "tokens", CAPACITY), CAPACITY)
+    """Pieces and tokens packed, containers above their capacity, the certified least number, and whether those used exceed it by less than 1 %."""
+    r = packing.report(cut(_packed(spark, d)), CAPACITY)
+    return r.select("pieces", "tokens", "overfull", "least_containers", (F.col("containers") * 100 < F.col("least_containers") * 101 + 100).alias("tight"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used and the share of their space filled."""
+    return packing.report(cut(_packed(spark, d)), CAPACITY).select("containers", "least_containers", "fullest", F.round("used_share", 6).alias("used_share"))
 
 
 _TOKENS_SQL = f"""
 with t as (select doc_id, nullif(lower(trim(source)), '') as source, coalesce(len(regexp_extract_all("text", '{TOKEN_RE2}')), 0) as tokens from documents)
 """
-P8_SQL = {"p8_found": _TOKENS_SQL + "select doc_id from t where tokens > 1024"}
+_SIZES_SQL = _TOKENS_SQL + """,
+c as (select case when i < tokens // 1024 then 1024 else tokens % 1024 end as s, count(*) as n from t, range(0, 100000) r(i) where i < tokens // 1024 + cast(tokens % 1024 > 0 as int) group by 1),
+e as (select max(ceil(b / 1024.0)) as b from (select e, sum(n * case when s > 1024 - e then 1024 when s < e then 0 else s end) as b from c, range(0, 513) r(e) group by e)),
+k as (select max(ceil(b / (1024.0 * k))) as b from (select k, sum(n * case when (k + 1) * s % 1024 = 0 then s * k else (k + 1) * s // 1024 * 1024 end) as b from c, range(1, 33) r(k) group by k))
+"""
+P8_SQL = {
+    "p8_found": _TOKENS_SQL + "select doc_id from t where tokens > 1024",
+    "p8_pieces": _TOKENS_SQL + "select doc_id, cast(ceil(tokens / 1024.0) as bigint) as pieces, tokens, cast(ceil(tokens / 1024.0) as bigint) as containers, tokens > 1024 as cut from t where tokens > 0",
+    "p8_report": _SIZES_SQL + "select cast(sum(n) as bigint) as pieces, cast(sum(n * s) as bigint) as tokens, cast(0 as bigint) as overfull, cast(greatest((select b from e), (select b from k)) as bigint) as least_containers, true as tight from c",
+}
 
 
 def _targets(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +258,7 @@ select source from z where weight * (select sum(size) from z) > max_repeat * siz
 QUERIES = {
     "p3_found": p3_found, "p3_counts": p3_counts, "p3_venues": p3_venues, "p3_returning": p3_returning,
     "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pairs": p7_pairs,
-    "p8_found": p8_found, "p8_containers": p8_containers, "p8_report": p8_report,
+    "p8_found": p8_found, "p8_containers": p8_containers, "p8_pieces": p8_pieces, "p8_report": p8_report, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_plan": p9_plan, "p9_documents": p9_documents, "p9_shares": p9_shares,
 }
 SQL = {**P3_SQL, **P6_SQL, **P7_SQL, **P8_SQL, **P9_SQL}
