@@ -172,19 +172,64 @@ def test_packing_empty(spark):
 
 # ---- mixing
 
-def test_fill_passes_shortages_on():
-    assert mixing.fill(100, [0.5, 0.3, 0.2], [10, 1000, 1000]) == pytest.approx([10, 54, 36])
-    assert mixing.fill(100, [1, 1], [20, 30]) == pytest.approx([20, 30])
-    assert mixing.fill(0, [1], [5]) == [0] and mixing.fill(5, [], []) == []
-
-
-def test_siblings_before_ancestors():
-    leaves = [dict(domain="x", source="a", weight=0.3, cap=10.0), dict(domain="x", source="b", weight=0.3, cap=1000.0), dict(domain="y", source="c", weight=0.4, cap=1000.0)]
-    got = {v["source"]: v["budget"] for v in mixing.budgets(leaves, ["domain", "source"], 100.0)}
-    assert got == pytest.approx({"a": 10, "b": 50, "c": 40})
-    leaves[1]["cap"] = 20.0
-    got = {v["source"]: v["budget"] for v in mixing.budgets(leaves, ["domain", "source"], 100.0)}
-    assert got == pytest.approx({"a": 10, "b": 20, "c": 70})
+def fill(budget, weights, caps):
+    """Shares by weight up to the caps; what is over is shared anew among the others."""
+    got, room = [0.0] * len(caps), {i for i, c in enumerate(caps) if c > 0 and weights[i] > 0}
+    left = min(budget, sum(caps[i] for i in room))
+    while room and left > 1e-9:
+        total = sum(weights[i] for i in room)
+        short = {i for i in room if left * weights[i] / total >= caps[i]}
+        for i in short or room:
+            got[i] = caps[i] if short else left * weights[i] / total
+        left -= sum(got[i] for i in short) if short else left
+        room -= short
+    return got
+
+
+def fill_tree(leaves, depth, levels, budget):
+    if depth == levels:
+        return {leaves[0][0]: budget}
+    nodes = {}
+    for leaf in leaves:
+        nodes.setdefault(leaf[0][depth], []).append(leaf)
+    shares = fill(budget, [sum(v[1] for v in n) for n in nodes.values()], [sum(v[2] for v in n if v[1] > 0) for n in nodes.values()])
+    return {k: v for n, s in zip(nodes.values(), shares) for k, v in fill_tree(n, depth + 1, levels, s).items()}
+
+
+def leaf_plan(spark, leaves):
+    """Budgets of leaves (path, weight, size, max_repeat) of a total of 100."""
+    docs = spark.createDataFrame([(*p, n) for p, _, n, _ in leaves], "domain string, language string, source string, tokens int")
+    goal = spark.createDataFrame([(*p, w, m) for p, w, _, m in leaves], "domain string, language string, source string, weight double, max_repeat int")
+    rows = mixing.plan(docs, goal, ["domain", "language", "source"], 100).collect()
+    return {(r["domain"], r["language"], r["source"]): r["budget"] for r in rows}
+
+
+def test_siblings_before_ancestors(spark):
+    leaves = [(("x", "e", "a"), 0.3, 10, 1), (("x", "e", "b"), 0.3, 1000, 1), (("y", "e", "c"), 0.4, 1000, 1)]
+    assert leaf_plan(spark, leaves) == pytest.approx({("x", "e", "a"): 10, ("x", "e", "b"): 50, ("y", "e", "c"): 40})
+    leaves[1] = (("x", "e", "b"), 0.3, 10, 2)
+    assert leaf_plan(spark, leaves) == pytest.approx({("x", "e", "a"): 10, ("x", "e", "b"): 20, ("y", "e", "c"): 70})
+    # a short source inside a language, and a language that is short as a whole
+    leaves = [(("x", "e", "a"), 0.2, 5, 1), (("x", "e", "b"), 0.1, 99, 1), (("x", "f", "a"), 0.3, 4, 2), (("y", "e", "c"), 0.4, 1000, 1)]
+    assert leaf_plan(spark, leaves) == pytest.approx({("x", "e", "a"): 5, ("x", "e", "b"): 47, ("x", "f", "a"): 8, ("y", "e", "c"): 40})
+
+
+def test_budgets_as_brute_force(spark):
+    rng = random.Random(12)
+    paths = [(d, x, s) for d in "xyz" for x in "efg" for s in "abcd"]
+    for _ in range(3):
+        weights = [rng.choice([0, 1, 2, 5]) for _ in paths]
+        leaves = [(p, w / sum(weights), rng.choice([0, 1, 3, 20]), rng.choice([0, 1, 3])) for p, w in zip(paths, weights)]
+        want = fill_tree([(p, w, float(n * m)) for p, w, n, m in leaves], 0, 3, 100.0)
+        assert leaf_plan(spark, leaves) == pytest.approx(want, abs=1e-6)
+
+
+def test_spread_divides_targets_by_size(spark):
+    docs = spark.createDataFrame([("e", "a", 30), ("f", "a", 10), (None, "a", 10), ("e", None, 5)], "language string, source string, tokens int")
+    goal = spark.createDataFrame([("a", 0.5, 2), ("gone", 0.5, 3)], "source string, weight double, max_repeat int")
+    got = {(r["language"], r["source"]): (r["weight"], r["max_repeat"]) for r in mixing.spread(docs, goal, ["language", "source"]).collect()}
+    want = {("e", "a"): (0.3, 2), ("f", "a"): (0.1, 2), ("none", "a"): (0.1, 2), ("none", "gone"): (0.5, 3)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
 def test_mixture(spark):

@@ -9,88 +9,87 @@ its documents in a seeded order, epoch after epoch, up to its budget.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the target table that the driver accepts; it holds one row per leaf.
-MAX_LEAVES = 100_000
+from waymark.lineage import cut
+
 BUCKETS = 4_096
+#: Plans up to this many leaves are broadcast (some 10 MB).
+BROADCAST_LEAVES = 100_000
+
+
+def spread(docs: DataFrame, targets: DataFrame, levels: list[str]) -> DataFrame:
+    """(levels, weight, max_repeat): ``targets``, which lack some of the ``levels``, divided over the branches ``docs`` have.
+
+    A target's weight is divided in proportion to the tokens of its branches, its max_repeat
+    holds in each. A target without tokens is one leaf, ``none`` in the missing levels. A null level of a document is ``none`` too,
+    unless the target names the level: such documents belong to no target.
+    """
+    have = [c for c in levels if c in targets.columns]
+    missing = [c for c in levels if c not in targets.columns]
+    named = docs.dropna(subset=have).withColumns({c: F.coalesce(F.col(c), F.lit("none")) for c in missing})
+    sizes = named.groupBy(*levels).agg(F.sum("tokens").alias("_s")).where("_s > 0")
+    rows = targets.join(sizes, have, "left").withColumns({c: F.coalesce(F.col(c), F.lit("none")) for c in missing})
+    part = F.col("_s") / F.sum("_s").over(Window.partitionBy(*have))
+    return rows.withColumn("weight", F.col("weight") * F.coalesce(part, F.lit(1.0))).select(*levels, "weight", "max_repeat")
+
+
+def _filled(nodes: DataFrame, path: list[str]) -> DataFrame:
+    """Adds ``budget`` to the nodes (_w, _cap) below each ``path``, whose budget is ``_parent``.
+
+    Sorted by capacity over weight, the first i nodes being full leaves the level
+    (budget - their capacity) / (other weight) to the rest; it rises while nodes fill up and falls
+    after, so its largest value is the true one: min(capacity, weight * level).
+    """
+    room = (F.col("_w") > 0) & (F.col("_cap") > 0)
+    whole = Window.partitionBy(*path)
+    order = whole.orderBy(F.when(room, F.col("_cap") / F.col("_w")).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+
+    def inside(c: str) -> Column:
+        return F.when(room, F.col(c)).otherwise(0.0)
 
+    def before(c: str) -> Column:
+        return F.coalesce(F.sum(inside(c)).over(order), F.lit(0.0))
 
-def fill(budget: float, weights: list[float], caps: list[float]) -> list[float]:
-    """``budget`` shared by weight, no share above its cap, shortages passed on by weight."""
-    got, room = [0.0] * len(caps), {i for i, c in enumerate(caps) if c > 0 and weights[i] > 0}
-    left = min(budget, sum(caps[i] for i in room))
-    while room and left > 1e-9:
-        total = sum(weights[i] for i in room)
-        short = [i for i in room if got[i] + left * weights[i] / total >= caps[i]]
-        if not short:
-            for i in room:
-                got[i] += left * weights[i] / total
-            break
-        # shares of those that stay below their cap are set anew from what is left
-        for i in short:
-            left -= caps[i] - got[i]
-            got[i] = caps[i]
-        room -= set(short)
-    return got
-
-
-def budgets(leaves: list[dict], levels: list[str], total: float) -> list[dict]:
-    """Adds want and budget (tokens) to each leaf of {levels..., weight, cap}; weights are shares of the whole."""
-
-    def down(members: list[dict], depth: int, budget: float) -> None:
-        if depth == len(levels):
-            # leaves with one path share by weight
-            for leaf, got in zip(members, fill(budget, [m["weight"] for m in members], [m["cap"] for m in members])):
-                leaf["budget"] = got
-            return
-        groups: dict = {}
-        for leaf in members:
-            groups.setdefault(leaf[levels[depth]], []).append(leaf)
-        parts = list(groups.values())
-        shares = fill(budget, [sum(m["weight"] for m in g) for g in parts], [sum(m["cap"] for m in g if m["weight"] > 0) for g in parts])
-        for g, got in zip(parts, shares):
-            down(g, depth + 1, got)
-
-    for leaf in leaves:
-        leaf["want"] = leaf["weight"] * total
-    down(leaves, 0, min(total, sum(x["want"] for x in leaves)))
-    return leaves
+    left = F.least(F.col("_parent"), F.sum(inside("_cap")).over(whole)) - before("_cap")
+    rows = nodes.withColumn("_level", F.when(room, left / (F.sum(inside("_w")).over(whole) - before("_w"))))
+    level = F.greatest(F.max("_level").over(whole), F.lit(0.0))
+    return rows.withColumn("budget", F.when(room, F.least(F.col("_cap"), F.col("_w") * level)).otherwise(0.0)).drop("_level")
 
 
 def plan(docs: DataFrame, targets: DataFrame, levels: list[str], total: int | None = None) -> DataFrame:
     """One row per leaf: levels, weight, max_repeat, size, cap, want, budget, short.
 
     ``docs`` has the levels and tokens; ``targets`` the levels, weight and
-    max_repeat (fixed, at most MAX_LEAVES rows). ``total`` defaults to the size of
+    max_repeat. ``total`` defaults to the size of
     all leaves. size is exact over all documents, 0 for a leaf without any. A
     leaf is short if want > cap = max_repeat * size. Null or negative weights and
     repetitions count as 0. Documents of other leaves, and of a null level,
     are not part of the mixture. Repeated target rows of one leaf are a
-    ValueError.
+    ValueError. One pass per level of the tree; nothing comes to the driver.
     """
-    spark = docs.sparkSession
     goal = targets.groupBy(*levels).agg(
         F.max(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("weight"),
         F.max(F.greatest(F.coalesce("max_repeat", F.lit(0)), F.lit(0))).alias("max_repeat"),
         F.count(F.lit(1)).alias("_k"),
     )
     sizes = docs.dropna(subset=levels).groupBy(*levels).agg(F.sum(F.greatest(F.col("tokens"), F.lit(0))).alias("size"))
-    rows = goal.join(sizes, levels, "left").limit(MAX_LEAVES + 1).collect()
-    if len(rows) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} target rows")
-    if any(r["_k"] > 1 for r in rows):
+    leaves = cut(goal.join(sizes, levels, "left").withColumn("size", F.coalesce("size", F.lit(0)).cast("bigint")))
+    if leaves.where("_k > 1").limit(1).count():
         raise ValueError("a leaf has several target rows")
-    leaves = [{**{k: r[k] for k in levels}, "weight": r["weight"], "max_repeat": r["max_repeat"], "size": r["size"] or 0} for r in rows]
-    leaves.sort(key=lambda x: [str(x[k]) for k in levels])
-    whole = sum(x["size"] for x in leaves) if total is None else total
-    for x in leaves:
-        x["cap"] = float(x["max_repeat"] * x["size"])
-    budgets(leaves, levels, float(whole))
-    data = [(*[x[k] for k in levels], x["weight"], x["max_repeat"], x["size"], x["cap"], x["want"], x["budget"], x["want"] > x["cap"]) for x in leaves]
-    names = ", ".join(f"`{k}` string" for k in levels)
-    return spark.createDataFrame(data, f"{names}, weight double, max_repeat int, size bigint, cap double, want double, budget double, short boolean")
+    leaves = leaves.drop("_k").withColumn("cap", (F.col("max_repeat") * F.col("size")).cast("double"))
+    whole = leaves.agg(F.coalesce(F.sum("size") if total is None else F.lit(total), F.lit(0)).cast("double").alias("_total"))
+    leaves = leaves.join(F.broadcast(whole)).withColumn("want", F.col("weight") * F.col("_total"))
+    above = leaves.agg(F.least(F.max("_total"), F.sum("want")).alias("_parent"))
+    for k in range(len(levels)):
+        path = levels[: k + 1]
+        useful = F.when(F.col("weight") > 0, F.col("cap")).otherwise(0.0)
+        nodes = leaves.groupBy(*path).agg(F.sum("weight").alias("_w"), F.sum(useful).alias("_cap"))
+        nodes = nodes.join(F.broadcast(above)) if k == 0 else nodes.join(above, levels[:k])
+        above = _filled(nodes, levels[:k]).select(*path, F.col("budget").alias("_parent"))
+    planned = leaves.join(above.withColumnRenamed("_parent", "budget"), levels)
+    return cut(planned.select(*levels, "weight", "max_repeat", "size", "cap", "want", "budget", (F.col("want") > F.col("cap")).alias("short")))
 
 
 def select(docs: DataFrame, planned: DataFrame, levels: list[str], key: str, seed: int = 7) -> DataFrame:
@@ -102,7 +101,8 @@ def select(docs: DataFrame, planned: DataFrame, levels: list[str], key: str, see
     ``BUCKETS`` hash ranges tell which range holds the end, and only that range is
     ordered. Documents without tokens are never taken.
     """
-    leaves = F.broadcast(planned.select(*levels, "size", "budget"))
+    leaves = planned.select(*levels, "size", "budget")
+    leaves = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
     epochs = F.when(F.col("size") > 0, F.floor((F.col("budget") + 1e-6) / F.col("size"))).otherwise(0)
     rows = docs.select(*levels, F.col(key).alias("_key"), "tokens").where("tokens > 0").join(leaves, levels)
     rows = rows.withColumn("_full", epochs).withColumn("_rest", F.col("budget") - F.col("_full") * F.col("size"))
@@ -122,7 +122,7 @@ def select(docs: DataFrame, planned: DataFrame, levels: list[str], key: str, see
 
 
 def report(planned: DataFrame, chosen: DataFrame, levels: list[str]) -> DataFrame:
-    """The plan with taken tokens, the share really reached, and the largest repetition."""
+    """The plan with taken tokens, the share really reached, and the largest repetition; null shares if nothing was taken."""
     took = chosen.groupBy(*levels).agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"))
     rows = planned.join(took, levels, "left").withColumns({"taken": F.coalesce("taken", F.lit(0)), "most_copies": F.coalesce("most_copies", F.lit(0))})
-    return rows.withColumn("share", F.col("taken") / F.sum("taken").over(Window.partitionBy()))
+    return rows.withColumn("share", F.try_divide("taken", F.sum("taken").over(Window.partitionBy())))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.text import folded, letters
@@ -30,33 +32,38 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return n.join(users, ["city", "day"]).where(F.col("members") * 4 < F.col("records")).select("city", "day")
 
 
+def _levels(base: DataFrame, keys: list[str], of: str) -> DataFrame:
+    """The sizes of ``base``'s sets for every choice of its keys; a key that is added up is ``*``."""
+    out = None
+    for n in range(len(keys) + 1):
+        for to in combinations(keys, n):
+            maps = base if n == len(keys) else distinct.merge(base, keys, list(to))
+            sizes = distinct.count(maps, list(to)).select(*[(F.col(k) if k in to else F.lit("*")).alias(k) for k in keys], F.lit(of).alias("of"), "members")
+            out = sizes if out is None else out.unionByName(sizes)
+    return out
+
+
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Different users and venues for days, cities, both, and overall, added up from one set of bitmaps."""
-    rows = _visits(spark, d)
-    keys = ["city", "day"]
+    """Different users of days, cities, venues and all combinations, and different venues of days, cities and both, added up from two sets of bitmaps."""
+    rows = cut(_visits(spark, d))
     out = []
-    for what in ("uid", "lid"):
-        base = distinct.bitmaps(rows.dropna(subset=[what]), keys, what, distinct.dictionary(rows, what))
-        levels = [(keys, base), (["city"], None), (["day"], None), ([], None)]
-        for to, maps in levels:
-            n = distinct.count(distinct.merge(base, keys, to) if maps is None else maps, to)
-            out.append(n.select(*[(F.col(k) if k in to else F.lit("*")).alias(k) for k in keys], F.lit(what).alias("of"), "members"))
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result
+    for what, keys in (("uid", ["city", "day", "lid"]), ("lid", ["city", "day"])):
+        base = cut(distinct.bitmaps(rows.dropna(subset=[what]), keys, what, distinct.dictionary(rows, what)))
+        out.append(_levels(base, keys, what))
+    return out[0].unionByName(out[1].withColumn("lid", F.lit("*")))
 
 
 def p3_venues(spark: SparkSession, d: str) -> DataFrame:
-    """Different users of each venue."""
-    rows = _visits(spark, d).dropna(subset=["lid", "uid"])
-    return distinct.count(distinct.bitmaps(rows, ["lid"], "uid", distinct.dictionary(rows, "uid")), ["lid"]).select("lid", F.col("members").alias("users"))
+    """Different users of each venue, added up from those of its days."""
+    rows = cut(_visits(spark, d).select("id", "day", "lid", "uid").dropna(subset=["lid", "uid"]))
+    base = distinct.bitmaps(rows, ["day", "lid"], "uid", distinct.dictionary(rows, "uid"))
+    return distinct.count(distinct.merge(base, ["day", "lid"], ["lid"]), ["lid"]).select("lid", F.col("members").alias("users"))
 
 
 def p3_returning(spark: SparkSession, d: str) -> DataFrame:
     """Users seen in a city both on a day and on the day before: an AND of two bitmaps."""
-    rows = _visits(spark, d).dropna(subset=["city", "day", "uid"])
-    maps = distinct.bitmaps(rows, ["city", "day"], "uid", distinct.dictionary(rows, "uid"))
+    rows = cut(_visits(spark, d).select("id", "day", "city", "uid").dropna())
+    maps = cut(distinct.bitmaps(rows, ["city", "day"], "uid", distinct.dictionary(rows, "uid")))
     earlier = maps.withColumn("day", F.date_add(F.to_date("day"), 1).cast("string"))
     return distinct.common(maps, earlier, ["city", "day"]).select("city", "day", F.col("members").alias("users"))
 
@@ -70,10 +77,10 @@ P3_SQL = {
 select city, day from v where city is not null and day is not null and uid is not null
 group by city, day having count(distinct id) >= 30 and count(distinct uid) * 4 < count(distinct id)""",
     "p3_counts": _VISITS_SQL + """, r as (
-select city, day, grouping(city) as gc, grouping(day) as gd, 'uid' as of, count(distinct uid) as members from v group by grouping sets ((city, day), (city), (day), ())
+select city, day, lid, grouping(city) as gc, grouping(day) as gd, grouping(lid) as gl, 'uid' as of, count(distinct uid) as members from v group by cube (city, day, lid)
 union all
-select city, day, grouping(city), grouping(day), 'lid', count(distinct lid) from v group by grouping sets ((city, day), (city), (day), ()))
-select case when gc = 1 then '*' else city end as city, case when gd = 1 then '*' else day end as day, of, members from r where members > 0""",
+select city, day, null, grouping(city), grouping(day), 1, 'lid', count(distinct lid) from v group by cube (city, day))
+select case when gc = 1 then '*' else city end as city, case when gd = 1 then '*' else day end as day, case when gl = 1 then '*' else lid end as lid, of, members from r where members > 0""",
     "p3_venues": _VISITS_SQL + "select lid, count(distinct uid) as users from v where lid is not null and uid is not null group by lid",
     "p3_returning": _VISITS_SQL + """
 , u as (select distinct city, day, uid from v where city is not null and day is not null and uid is not null)
@@ -217,49 +224,119 @@ P8_SQL = {
 }
 
 
-def _targets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "mix_target").select(folded(F.col("source")).alias("source"), "weight", "max_repeat").dropna(subset=["source"])
+# The tree above the sources: kinds of text, and inside them the languages of the labels.
+DOMAINS = {
+    "note": ["tip", "caption", "notice"], "talk": ["review", "forum", "transcript"], "story": ["guide", "diary", "archive"],
+}
+LEVELS = ["domain", "language", "source"]
 
 
-def p9_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Size, wanted tokens, budget after redistribution and shortage of each source."""
-    plan = mixing.plan(_doc_tokens(spark, d), _targets(spark, d), ["source"])
-    return plan.select("source", "size", F.round("want", 3).alias("want"), F.round("budget", 3).alias("budget"), "short")
+def _domain(source: Column) -> Column:
+    named = F.create_map(*[F.lit(x) for domain, names in DOMAINS.items() for n in names for x in (n, domain)])
+    return F.coalesce(F.try_element_at(named, source), F.lit("other"))
 
 
-def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources that fall short even at their cap."""
-    return mixing.plan(_doc_tokens(spark, d), _targets(spark, d), ["source"]).where("short").select("source")
+def _leaf_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document: doc_id, domain, language, source, tokens."""
+    docs = table(spark, d, "documents").select(
+        "doc_id", folded(F.col("source")).alias("source"), F.coalesce(langid.label_code(F.col("lang")), F.lit("none")).alias("language"), token_count(F.col("text")).alias("tokens")
+    )
+    return cut(docs.withColumn("domain", _domain(F.col("source"))))
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    goal = table(spark, d, "mix_target").select(folded(F.col("source")).alias("source"), "weight", "max_repeat").dropna(subset=["source"])
+    return goal.withColumn("domain", _domain(F.col("source")))
+
+
+def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = _leaf_tokens(spark, d)
+    return docs, mixing.plan(docs, mixing.spread(docs, _targets(spark, d), LEVELS), LEVELS)
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = cut(_doc_tokens(spark, d))
-    plan = mixing.plan(docs, _targets(spark, d), ["source"])
-    return plan, mixing.select(docs, plan, ["source"], "doc_id")
+def p9_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Size, wanted tokens, budget after redistribution and shortage of each leaf of the tree."""
+    return _tree(spark, d)[1].select(*LEVELS, "size", F.round("want", 2).alias("want"), F.round("budget", 2).alias("budget"))
 
 
 def p9_documents(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mixture and how often each is taken."""
-    return _mixture(spark, d)[1]
+    docs, plan = _tree(spark, d)
+    return mixing.select(docs, plan, LEVELS, "doc_id")
 
 
-def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """The shares really reached."""
-    plan, chosen = _mixture(spark, d)
-    return mixing.report(plan, chosen, ["source"]).select("source", "weight", "size", F.round("budget", 3).alias("budget"), "taken", "most_copies", "share", "short")
+def _by_source(spark: SparkSession, d: str) -> DataFrame:
+    """One row per source of the targets: its plan and what was really drawn."""
+    docs, plan = _tree(spark, d)
+    leaves = mixing.report(plan, mixing.select(docs, plan, LEVELS, "doc_id"), LEVELS)
+    per = leaves.groupBy("domain", "source").agg(
+        F.sum("size").alias("size"), F.sum("budget").alias("budget"), F.sum("taken").alias("taken"), F.max("most_copies").alias("most_copies"), F.sum("share").alias("share"),
+    )
+    rows = _targets(spark, d).join(per, ["domain", "source"])
+    total = rows.agg(F.sum("size").alias("_total"))
+    return rows.join(F.broadcast(total)).withColumn("short", F.col("weight") * F.col("_total") > F.col("max_repeat") * F.col("size")).drop("_total")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that fall short even at their cap."""
+    return _by_source(spark, d).where("short").select("source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each source really reached, and what it is made of."""
+    return _by_source(spark, d).select("domain", "source", "weight", "size", F.round("budget", 2).alias("budget"), "taken", "most_copies", F.round("share", 6).alias("share"), "short")
+
+
+def p9_reached(spark: SparkSession, d: str) -> DataFrame:
+    """Budget of each source, and whether what was drawn stays inside it and its repetitions and, but for the end of each leaf, fills it."""
+    longest = _leaf_tokens(spark, d).agg(F.max("tokens").alias("_longest"), F.count_distinct("language").alias("_languages"))
+    rows = _by_source(spark, d).join(F.broadcast(longest))
+    inside = (F.col("taken") <= F.col("budget") + 0.01) & (F.col("most_copies") <= F.col("max_repeat"))
+    filled = F.col("budget") - F.col("taken") <= F.col("_longest") * F.col("_languages")
+    return rows.select("domain", "source", "size", F.round("budget", 2).alias("budget"), "short", (inside & filled).alias("kept"))
+
+
+def _filled_sql(name: str, above: str, path: list[str]) -> str:
+    """SQL of one level of the tree: ``name`` has the path and its budget g, from ``above`` with the parent's."""
+    keys, up = ", ".join(path), ", ".join(path[:-1])
+    over = f"partition by {up}" if up else ""
+    return f"""
+{name}0 as (select {keys}, sum(weight) as w, sum(case when weight > 0 then cap else 0 end) as cap from leaf group by {keys}),
+{name}1 as (select n.*, u.g as b from {name}0 n join {above} u {f"using ({up})" if up else "on true"} where w > 0 and cap > 0),
+{name}2 as (select *, sum(w) over ({over}) as tw, sum(cap) over ({over}) as tc, coalesce(sum(w) over ({over} order by cap / w, {path[-1]} rows between unbounded preceding and 1 preceding), 0) as pw,
+ coalesce(sum(cap) over ({over} order by cap / w, {path[-1]} rows between unbounded preceding and 1 preceding), 0) as pc from {name}1),
+{name}3 as (select *, max((least(b, tc) - pc) / (tw - pw)) over ({over}) as level from {name}2),
+{name} as (select {", ".join("x." + c for c in path)}, coalesce(least(y.cap, y.w * greatest(y.level, 0)), 0) as g from {name}0 x left join {name}3 y using ({keys}))"""
+
+
+_DOMAIN_SQL = "case " + " ".join(f"when source in ({', '.join(repr(n) for n in names)}) then '{domain}'" for domain, names in DOMAINS.items()) + " else 'other' end"
+_NAMES_SQL = ", ".join(f"('{n}', '{code}')" for code, three, name, _ in langid.LANGUAGES for n in (code, *three.split(), name))
+_TREE_SQL = f"""
+with t as (select doc_id, nullif(lower(trim(source)), '') as source, coalesce(n.code, 'none') as language, coalesce(len(regexp_extract_all("text", '{TOKEN_RE2}')), 0) as tokens
+ from documents left join (values {_NAMES_SQL}) n(name, code) on n.name = regexp_extract(lower(trim(lang)), '^[a-z]+')),
+m as (select *, {_DOMAIN_SQL} as domain from (select lower(trim(source)) as source, weight, max_repeat from mix_target)),
+z as (select source, language, sum(tokens) as size from t where source is not null group by all having sum(tokens) > 0),
+leaf as (select domain, coalesce(language, 'none') as language, source, coalesce(size, 0) as size, max_repeat * coalesce(size, 0) as cap, weight * coalesce(size / sum(size) over (partition by source), 1) as weight from m left join z using (source)),
+tot as (select sum(size) as total from leaf), root as (select least(total, (select sum(weight) from leaf) * total) as g from tot),
+{_filled_sql("da", "root", ["domain"])},
+{_filled_sql("db", "da", ["domain", "language"])},
+{_filled_sql("dc", "db", ["domain", "language", "source"])},
+plan as (select domain, language, source, cast(size as bigint) as size, weight * total as want, g as budget from leaf join dc using (domain, language, source), tot)
+"""
 P9_SQL = {
     "p9_found": _TOKENS_SQL + """
 , z as (select m.source, m.weight, m.max_repeat, coalesce(sum(tokens), 0) as size from (select lower(trim(source)) as source, weight, max_repeat from mix_target) m left join t on t.source = m.source group by all)
 select source from z where weight * (select sum(size) from z) > max_repeat * size""",
+    "p9_plan": _TREE_SQL + "select domain, language, source, size, round(want, 2) as want, round(budget, 2) as budget from plan",
+    "p9_reached": _TREE_SQL + """select domain, source, cast(sum(p.size) as bigint) as size, round(sum(budget), 2) as budget, any_value(m.weight * total > m.max_repeat * s.size) as short, true as kept
+from plan p join m using (domain, source) join (select source, sum(size) as size from leaf group by source) s using (source), tot group by domain, source""",
 }
 
 QUERIES = {
     "p3_found": p3_found, "p3_counts": p3_counts, "p3_venues": p3_venues, "p3_returning": p3_returning,
     "p6_found": p6_found, "p6_terms": p6_terms, "p7_found": p7_found, "p7_pairs": p7_pairs,
     "p8_found": p8_found, "p8_containers": p8_containers, "p8_pieces": p8_pieces, "p8_report": p8_report, "p8_fill": p8_fill,
-    "p9_found": p9_found, "p9_plan": p9_plan, "p9_documents": p9_documents, "p9_shares": p9_shares,
+    "p9_found": p9_found, "p9_plan": p9_plan, "p9_documents": p9_documents, "p9_shares": p9_shares, "p9_reached": p9_reached,
 }
 SQL = {**P3_SQL, **P6_SQL, **P7_SQL, **P8_SQL, **P9_SQL}
 
