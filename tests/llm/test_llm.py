@@ -340,15 +340,18 @@ def test_languages(spark):
     extra = spark.createDataFrame([(*r, "?", "x") for r in mixed], df.schema)
     docs = df.unionByName(extra)
     model = langid.fit(df)
-    langs = langid.languages(langid.segments(docs, model))
-    found = {}
+    langs = langid.languages(langid.segments(docs.withColumnRenamed("lang", "label"), model, ["label"]), ["label"])
+    found, lettered = {}, set()
     for r in langs.collect():
-        found.setdefault(r["doc_id"], set()).add(r["lang"])
+        lettered.add(r["doc_id"])
+        if r["sentences"]:
+            found.setdefault(r["doc_id"], set()).add(r["lang"])
         assert 0 < r["confidence"] <= 1
+    assert lettered == {r[0] for r in rows} | {r[0] for r in mixed} - {1004, 1005, 1006}
     assert sum(found[k] == {truth} for k, _, _, truth, _ in rows) >= 0.98 * len(rows)
     assert found[1000] == {"de", "ru"} and found[1001] == {"en"} and found[1002] == {"nl"} and found[1003] == {"de"} and found[1008] == {"nl"}
     assert not {1004, 1005, 1006, 1007} & set(found)
-    out = {(r["doc_id"], r["lang"]) for r in langid.doubtful(docs, langs).collect()}
+    out = {(r["doc_id"], r["lang"]) for r in langid.doubtful(langs).collect()}
     assert {(1000, "de"), (1000, "ru"), (1003, "de"), (1008, "nl")} <= out and not {1001, 1002} & {k for k, _ in out}
     wrong = {(k, truth) for k, _, label, truth, _ in rows if label in (None, "en") and (label is None or truth != "en")}
     assert len(wrong - out) <= 2

@@ -1,6 +1,7 @@
 """Languages of documents and of the stretches inside them.
 
-Texts are cut into sentences. A sentence gets its language in two steps: a set
+Texts are cut into pieces: whole sentences, and the fragments between or after them (titles,
+cut-off lines, short cries). A piece gets its language in two steps: a set
 of one-versus-one linear support vector machines chooses the language family,
 a second set the language within the family. Both are trained here, on a bounded
 sample of the rows' own labels; since labels may be wrong, sentences whose label is
@@ -52,9 +53,8 @@ DIMENSIONS = 4_096
 ORDERS = (1, 2, 3, 4)
 SENTENCES_PER_DOCUMENT = 3
 #: Strengths of the regularisation, against the mean squared length of a text's features: of the fits that judge labels, and of the last.
-JUDGING_RIDGES = (1.0, 0.3)
+JUDGING_RIDGES = (1.0, 0.3, 0.3)
 RIDGE = 0.02
-LEAST_JUDGED = 12
 SENTENCE_CHARS = 1_000
 FOLDS = 3
 #: Steepness of the confidence in the margin.
@@ -65,7 +65,10 @@ LEAST_LETTERS = 8
 #: Characters hashed in one NumPy step.
 STEP_CHARS = 150_000
 
-END = re.compile(r"[.!?…]+[\"”»’'“)\]*_]*(?=\s|$)|[。！？]+[”」』)]*")
+# Sentence ends. Latin and related; full-width; Indic; Arabic and Urdu; the Greek question mark; the end of a line of Thai or Lao.
+END = re.compile(
+    r"[.!?…]+[\"”»’'“)\]*_]*(?=\s|$)|[。！？]+[”」』)]*|[।॥]+|[؟۔]+|(?:\u037e|(?<=[\u0370-\u03ff\u1f00-\u1fff]);)(?=\s|$)|(?<=[\u0e00-\u0eff])\s*(?:\n|$)"
+)
 #: Letters of scripts without spaces.
 _UNSPACED = r"\u0e00-\u0eff\u3005\u3040-\u30ff\u3400-\u9fff\uff66-\uff9f"
 # Tokens that spaces alone would end are ASCII or end at such a letter; a tag of these letters must stand alone.
@@ -74,7 +77,8 @@ NOISE = re.compile(
     rf"|[@#](?:[^\s{_UNSPACED}]+|[{_UNSPACED}]{{1,20}}(?=[\s@#]|$))|[!-~]*[0-9][!-~]{{20,}}"
     r"|[\"“«„(][^\"“”»„().!?。]{1,80}[\"”»“)]"
 )
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What a text must contain for NOISE to match.
+MAYBE_NOISE = re.compile(r"[<\[@#\"“«„(0-9]|https?:|www\.")
 UNSPACED = re.compile(rf"[{_UNSPACED}]")
 # Letters without a canonical decomposition.
 PLAIN = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
@@ -87,37 +91,62 @@ def label_code(lang: Column) -> Column:
     return F.try_element_at(table, F.regexp_extract(folded(lang), r"^[a-z]+", 0))
 
 
+class _Plain(dict):
+    """Code point to plain letters: lower case without accents, what is neither letter nor mark as a space."""
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", chr(code).casefold().translate(PLAIN))
+        kept = [c if unicodedata.category(c)[0] in "LM" else " " for c in parts if c not in "\u3099\u309a" and not "\u0300" <= c <= "\u036f"]
+        self[code] = "".join(kept)
+        return self[code]
+
+
+_PLAIN = _Plain()
+
+
 def plain(text: str) -> str:
-    """Lower-case letters without accents, other runs as one space."""
-    text = text.casefold().translate(PLAIN)
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return NOT_LETTERS.sub(" ", text).strip()
+    """Lower-case letters without accents, other runs as one space; marks that are vowels or tones of their script stay."""
+    return " ".join(text.translate(_PLAIN).split())
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, plain letters) of the whole sentences of a text.
+def pieces(text: str, known: dict[str, str] | None = None) -> list[tuple[int, int, str, bool]]:
+    """(start, end, plain letters, whole) of all parts of a text that have letters.
 
-    A sentence ends with a full stop, question or exclamation mark; what has no
-    such end (titles, hashtags, cut-off lines) is none. Links, mentions, hashtags, markup
-    and short quoted or bracketed phrases are taken out before it is judged.
+    A whole sentence ends with a sentence mark of its script and has LEAST_WORDS words or LEAST_LETTERS letters of a
+    script without spaces; everything else is a fragment. Links, mentions, hashtags, markup
+    and short quoted or bracketed phrases are taken out before it is judged. ``known`` remembers the letters of
+    parts seen before.
     """
     out, at = [], 0
-    for m in END.finditer(text):
-        start, at = at, m.end()
-        raw = text[start:at]
-        letters = plain(NOISE.sub(" ", html.unescape(raw) if "&" in raw else raw))
-        if letters.count(" ") + 1 >= LEAST_WORDS or len(UNSPACED.findall(letters)) >= LEAST_LETTERS:
-            out.append((start, at, letters))
+    known = {} if known is None else known
+    ends = [m.end() for m in END.finditer(text)]
+    closed = len(ends)
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    for k, end in enumerate(ends):
+        start, at = at, end
+        raw = text[start:end]
+        letters = known.get(raw)
+        if letters is None:
+            clear = html.unescape(raw) if "&" in raw else raw
+            letters = known[raw] = plain(NOISE.sub(" ", clear) if MAYBE_NOISE.search(clear) else clear)
+        if letters:
+            enough = letters.count(" ") + 1 >= LEAST_WORDS or len(UNSPACED.findall(letters)) >= LEAST_LETTERS
+            out.append((start, end, letters, enough and k < closed))
     return out
 
 
-def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) of every character n-gram of each text, in text order per n."""
+def sentences(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, plain letters) of the whole sentences of a text."""
+    return [p[:3] for p in pieces(text) if p[3]]
+
+
+def _hashed(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of character n-grams (text number, feature) of every n-gram, in text order."""
     joined = "\n".join(f" {t} " for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     owner = np.cumsum(codes == 10)
-    rows, cols = [], []
+    out = []
     with np.errstate(over="ignore"):
         h = np.zeros(len(codes), dtype=np.uint64)
         for n in range(1, max(ORDERS) + 1):
@@ -128,14 +157,13 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             ok = owner[:k] == owner[n - 1 :]
             ok &= (codes[:k] != 10) & (codes[n - 1 :] != 10)
             mixed = (h + np.uint64(n)) * np.uint64(0xD6E8FEB86659FD93)
-            rows.append(owner[:k][ok])
-            cols.append((mixed[ok] >> np.uint64(40)).astype(np.int64) % DIMENSIONS)
-    return np.concatenate(rows), np.concatenate(cols)
+            out.append((owner[:k][ok], (mixed[ok] >> np.uint64(40)).astype(np.int64) % DIMENSIONS))
+    return out
 
 
 def matrix(texts: list[str]) -> np.ndarray:
     """Relative n-gram frequencies, one row per text."""
-    rows, cols = _hashed(texts)
+    rows, cols = (np.concatenate(x) for x in zip(*_hashed(texts)))
     x = np.bincount(rows * DIMENSIONS + cols, minlength=len(texts) * DIMENSIONS).reshape(len(texts), DIMENSIONS).astype(np.float32)
     return x / np.maximum(1, x.sum(1, keepdims=True))
 
@@ -177,18 +205,17 @@ class Duel:
             self.weights[:, k] = x[rows].T @ alpha.astype(np.float32)
             self.bias[k] = alpha.sum()
 
-    def judge(self, rows: np.ndarray, cols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(name number, confidence) of each of n texts from their n-grams."""
+    def judge(self, grams: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(name number, confidence) of each of n texts from their n-grams, which come in text order."""
         if len(self.names) == 1:
             return np.zeros(n, dtype=int), np.ones(n)
-        order = np.argsort(rows, kind="stable")
-        rows, cols = rows[order], cols[order]
-        sums = np.zeros((n, len(self.pairs)), dtype=np.float32)
-        if len(rows):
-            starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            sums[rows[starts]] = np.add.reduceat(self.weights[cols], starts, axis=0)
-        margin = sums / np.maximum(1, np.bincount(rows, minlength=n))[:, None] + self.bias
-        return self._decide(margin)
+        sums, size = np.zeros((n, len(self.pairs)), dtype=np.float32), np.zeros(n)
+        for rows, cols in grams:
+            if len(rows):
+                starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                sums[rows[starts]] += np.add.reduceat(self.weights[cols], starts, axis=0)
+                size += np.bincount(rows, minlength=n)
+        return self._decide(sums / np.maximum(1, size)[:, None] + self.bias)
 
     def _decide(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = 1 / (1 + np.exp(-SLOPE * margin))
@@ -224,15 +251,13 @@ class Model:
 
         ``folds`` keeps texts of one document together, so a wrongly labelled
         document can't vouch for itself. The models that judge labels are strongly regularised
-        first: they follow the majority of a label's texts. A label with
-        fewer than LEAST_JUDGED texts is taken as it is.
+        first: they follow the majority of a label's texts. A text is taken as it is where the other
+        folds have none of its label, and so is a label of which no text would be left.
         """
         x = matrix(texts)
         scale = (1 / np.sqrt(x.mean(0) + 1e-4)).astype(np.float32)
         x *= scale
         kernel, y = x @ x.T + 1, np.array(langs, dtype=object)
-        names, count = np.unique(y, return_counts=True)
-        few = np.isin(y, names[count < LEAST_JUDGED])
         keep = np.ones(len(texts), dtype=bool)
 
         def model(rows: np.ndarray, ridge: float) -> Model:
@@ -242,9 +267,11 @@ class Model:
             found = y.copy()
             for fold in np.unique(folds):
                 rest, mine = np.flatnonzero(keep & (folds != fold)), np.flatnonzero(folds == fold)
-                if len(rest):
+                mine = mine[np.isin(y[mine], y[rest])]
+                if len(rest) and len(mine):
                     found[mine] = model(rest, ridge).predict([texts[i] for i in mine])[0]
-            keep = (found == y) | few
+            right = found == y
+            keep = right | ~np.isin(y, y[right])
         return model(np.flatnonzero(keep) if keep.any() else np.arange(len(y)), RIDGE)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -258,15 +285,15 @@ class Model:
                 chars += len(texts[end])
                 end += 1
             part = texts[at:end]
-            rows, cols = _hashed(part)
-            family, p = self.top.judge(rows, cols, len(part))
+            grams = _hashed(part)
+            family, p = self.top.judge(grams, len(part))
             named = np.empty(len(part), dtype=object)
             for k in np.unique(family):
                 pick = family == k
                 number = np.cumsum(pick) - 1
-                mine = pick[rows]
                 duel = self.within[self.families[k]]
-                lang, q = duel.judge(number[rows[mine]], cols[mine], int(pick.sum()))
+                mine = [(number[rows[pick[rows]]], cols[pick[rows]]) for rows, cols in grams] if len(duel.names) > 1 else []
+                lang, q = duel.judge(mine, int(pick.sum()))
                 named[pick] = np.array(duel.names, dtype=object)[lang]
                 p[pick] *= q
             langs.extend(named)
@@ -281,7 +308,8 @@ def fit(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL, per_label: int =
     At most ``docs_per_label`` documents of each label, those with the smallest
     hash of their id, give at most SENTENCES_PER_DOCUMENT sentences each, of which
     at most ``per_label`` come to the driver (each cut at SENTENCE_CHARS):
-    some 43 labels at most, whatever the number of documents.
+    some 43 labels at most, whatever the number of documents. At 43 full labels the driver holds
+    10,750 sentences, their features (180 MB) and products (460 MB).
     """
     labelled = docs.select("text", "doc_id", label_code(F.col("lang")).alias("code")).where("code is not null and text is not null")
     by = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -295,7 +323,7 @@ def fit(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL, per_label: int =
                 rows += [(d, k, s[:SENTENCE_CHARS], c) for k, s in enumerate(own[:SENTENCES_PER_DOCUMENT])]
             yield pd.DataFrame(rows, columns=["doc_id", "at", "sentence", "code"])
 
-    found = some.mapInPandas(cut, "doc_id bigint, at int, sentence string, code string")
+    found = some.mapInPandas(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at int, sentence string, code string")
     by = Window.partitionBy("code").orderBy(F.xxhash64("doc_id", "at"), "doc_id", "at")
     rows = found.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= per_label).orderBy("code", "_k").collect()
     if not rows:
@@ -305,65 +333,86 @@ def fit(docs: DataFrame, docs_per_label: int = DOCS_PER_LABEL, per_label: int =
 
 
 def segments(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """One row per stretch of sentences in one language: doc_id, segment_no, start, end, lang, confidence, sentences.
-
-    ``start`` and ``end`` are character offsets. The confidence is the mean over
-    the stretch's sentences, weighted by length. A sentence below a confidence
-    of one half joins the language before it (at the beginning, the one after). Null
-    and blank texts and texts without a whole sentence give no row.
+    """One row per stretch in one language: doc_id, ``keep``, segment_no, start, end, lang, confidence, sentences.
+
+    ``start`` and ``end`` are character offsets, ``sentences`` counts the whole sentences, so it is
+    0 for a text of fragments only. The confidence is the mean over
+    the stretch's pieces, weighted by length. A sentence below a confidence
+    of one half joins the language before it (at the beginning, the one after), and so does a fragment
+    of fewer than LEAST_WORDS words beside sentences. Null
+    and blank texts and texts without letters give no row. A piece that comes
+    again in a batch is judged once. Columns of ``keep`` are handed through.
     """
-    schema = "doc_id bigint, segment_no int, start int, `end` int, lang string, confidence double, sentences int"
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null")
+    keep = keep or []
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    head = "".join(f"`{c}` {kinds[c]}, " for c in ["doc_id", *keep])
+    schema = f"{head}segment_no int, start int, `end` int, lang string, confidence double, sentences int"
     if model is None:
         return docs.sparkSession.createDataFrame([], schema)
+    rows = docs.select("doc_id", *keep, "text").where("doc_id is not null and text is not null")
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    names = ["segment_no", "start", "end", "lang", "confidence", "sentences"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = pickle.loads(shared.value)
         for b in batches:
-            cuts = [sentences(t) for t in b["text"]]
-            langs, sure = known.predict([s for c in cuts for _, _, s in c])
-            out, k = [], 0
-            for doc, spans in zip(b["doc_id"], cuts):
-                n = len(spans)
-                out.extend((doc, *seg) for seg in _runs(spans, langs[k : k + n], sure[k : k + n]))
-                k += n
-            yield pd.DataFrame(out, columns=["doc_id", "segment_no", "start", "end", "lang", "confidence", "sentences"])
+            seen: dict[str, str] = {}
+            cuts = [pieces(t, seen) for t in b["text"]]
+            texts = list(dict.fromkeys(p[2] for c in cuts for p in c))
+            langs, sure = known.predict(texts)
+            judged = dict(zip(texts, zip(langs, sure.tolist())))
+            out, at = [], []
+            for k, spans in enumerate(cuts):
+                segs = _runs(spans, [judged[p[2]] for p in spans])
+                out += segs
+                at += [k] * len(segs)
+            own = b[["doc_id", *keep]].iloc[at].reset_index(drop=True)
+            found = pd.DataFrame(out, columns=names)
+            yield pd.concat([own, found], axis=1)
 
     return rows.mapInPandas(run, schema)
 
 
-def _runs(spans: list, langs: list[str], sure: np.ndarray) -> list[tuple]:
+def _runs(spans: list, judged: list[tuple[str, float]]) -> list[tuple]:
     """Stretches of equal language."""
-    named = list(langs)
-    firm = [i for i in range(len(spans)) if sure[i] >= 0.5]
+    named = [lang for lang, _ in judged]
+    some = any(whole for *_, whole in spans)
+    firm = [
+        i for i, (_, _, letters, whole) in enumerate(spans)
+        if judged[i][1] >= 0.5 and (whole or not some or letters.count(" ") + 1 >= LEAST_WORDS)
+    ]
     if firm:
+        held = set(firm)
         for i in range(len(spans)):
-            if sure[i] < 0.5:
+            if i not in held:
                 named[i] = named[i - 1] if i > firm[0] else named[firm[0]]
     out, at = [], 0
     for i in range(1, len(spans) + 1):
         if i == len(spans) or named[i] != named[at]:
-            size = np.array([spans[j][1] - spans[j][0] for j in range(at, i)], dtype=float)
-            out.append((len(out) + 1, spans[at][0], spans[i - 1][1], named[at], float((size * sure[at:i]).sum() / size.sum()), i - at))
+            part = range(at, i)
+            size = sum(spans[j][1] - spans[j][0] for j in part)
+            sure = sum((spans[j][1] - spans[j][0]) * judged[j][1] for j in part) / size
+            out.append((len(out) + 1, spans[at][0], spans[i - 1][1], named[at], sure, sum(spans[j][3] for j in part)))
             at = i
     return out
 
 
-def languages(segs: DataFrame) -> DataFrame:
-    """(doc_id, lang, confidence, share, sentences): every language of each document."""
+def languages(segs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, keep, lang, confidence, share, sentences): every language of each document; sentences is 0 for one of fragments only."""
+    keys = ["doc_id", *(keep or [])]
     size = F.col("end") - F.col("start")
-    per = segs.groupBy("doc_id", "lang").agg(
+    per = segs.groupBy(*keys, "lang").agg(
         (F.sum(F.col("confidence") * size) / F.sum(size)).alias("confidence"), F.sum(size).alias("_size"), F.sum("sentences").alias("sentences")
     )
-    whole = Window.partitionBy("doc_id")
+    whole = Window.partitionBy(*keys)
     return per.withColumn("share", F.col("_size") / F.sum("_size").over(whole)).drop("_size")
 
 
-def doubtful(docs: DataFrame, langs: DataFrame) -> DataFrame:
-    """(doc_id, lang): the languages of documents whose label is missing or wrong, or which have several."""
-    labels = docs.select("doc_id", label_code(F.col("lang")).alias("_code"), F.col("lang").alias("_label"))
-    whole = Window.partitionBy("doc_id")
-    rows = langs.select("doc_id", "lang", F.count(F.lit(1)).over(whole).alias("_n")).join(labels, "doc_id")
-    right = (F.col("_n") == 1) & F.coalesce(F.col("_code") == F.col("lang"), F.lit(False))
+def doubtful(langs: DataFrame, label: str = "label") -> DataFrame:
+    """(doc_id, lang): the languages, with a whole sentence each, of documents whose ``label`` is missing or wrong, or which have several.
+
+    ``langs`` is ``languages`` output that keeps the label.
+    """
+    rows = langs.where("sentences > 0").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", label)))
+    right = (F.col("_n") == 1) & F.coalesce(label_code(F.col(label)) == F.col("lang"), F.lit(False))
     return rows.where(~right).select("doc_id", "lang").distinct()

@@ -341,23 +341,28 @@ QUERIES = {
 SQL = {**P3_SQL, **P6_SQL, **P7_SQL, **P8_SQL, **P9_SQL}
 
 
-def _language_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _segments(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    return docs, langid.segments(docs, langid.fit(docs))
+    return langid.segments(docs.withColumnRenamed("lang", "label"), langid.fit(docs), ["label"])
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Languages of documents with a missing or wrong label or in several languages."""
-    docs, segs = _language_rows(spark, d)
-    return langid.doubtful(docs, langid.languages(segs))
+    return langid.doubtful(langid.languages(_segments(spark, d), ["label"]))
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Every stretch in one language with its confidence."""
-    return _language_rows(spark, d)[1].withColumn("confidence", F.round("confidence", 6))
+    """Every stretch in one language with its confidence; sentences is 0 for one of fragments only."""
+    return _segments(spark, d).drop("label").withColumn("confidence", F.round("confidence", 6))
 
 
-QUERIES |= {"p10_found": p10_found, "p10_segments": p10_segments}
+def p10_lettered(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that got a language: all that have a letter outside links, tags and markup; how much of their text lies in a stretch."""
+    segs = _segments(spark, d)
+    return segs.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("chars"), F.count(F.lit(1)).alias("stretches"), F.round(F.min("confidence"), 6).alias("least_confidence"))
+
+
+QUERIES |= {"p10_found": p10_found, "p10_segments": p10_segments, "p10_lettered": p10_lettered}
 
 SURROUNDINGS = [*range(6, 15), *range(18, 31)]
 
