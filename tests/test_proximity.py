@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from waymark.operators.proximity import great_circle_m, inside_ring, near_rows, near_spots, points_in_regions
+from waymark.operators import proximity
+from waymark.operators.proximity import great_circle_m, inside_ring, near_counts, near_rows, near_spots, points_in_regions
 
 SCHEMA = "k string, lng double, lat double, a string, metres string, _cell string"
 
@@ -31,6 +32,11 @@ def test_near_rows_as_brute_force(spark, per_cell):
     rows += [("n", None, 50.0), ("m", 10.0, None), ("off", 999.0, 50.0), ("nan", float("nan"), 50.0), (None, 10.0, 50.0)]
     got = [(r["a"], r["b"]) for r in near_rows(frame(spark, rows), "k", 20.0, per_cell).collect()]
     assert len(got) == len(set(got)) and set(got) == brute([r for r in rows if r[1] is None or not math.isnan(r[1])], 20.0)
+    single = [r for r in rows if r[2:] != (50.0,) or r[0] not in ("hot1", "hot2")]
+    want = {}
+    for a, b in brute([r for r in single if r[1] is None or not math.isnan(r[1])], 20.0):
+        want[a], want[b] = want.get(a, 0) + 1, want.get(b, 0) + 1
+    assert {r["k"]: r["neighbours"] for r in near_counts(frame(spark, single), "k", 20.0, per_cell).collect()} == want
 
 
 def test_antimeridian_and_pole(spark):
@@ -51,7 +57,17 @@ def square(x, y, s):
     return [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
 
 
-def test_regions_as_brute_force(spark):
+def test_grid_follows_the_points(spark):
+    rng = random.Random(6)
+    rows = [(f"r{i}", rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(2000)] + [(f"h{i}", 5.0, 5.0) for i in range(500)]
+    grid = proximity.build_grid(frame(spark, rows).select("lng", "lat"), 50)
+    sizes = [r["count"] for r in proximity._cells_of_points(frame(spark, rows), grid, "k").groupBy("_cell").count().collect()]
+    assert max(sizes) <= 150 and sum(sizes) == 2500
+
+
+@pytest.mark.parametrize("tiles", [50, 1_000_000])
+def test_regions_as_brute_force(spark, monkeypatch, tiles):
+    monkeypatch.setattr(proximity, "TILES", tiles)
     rng = random.Random(5)
     rings = {
         "sq": square(0, 0, 1), "rev": square(0.5, 0.5, 1)[::-1], "closed": square(-1, -1, 3) + [(-1, -1)],

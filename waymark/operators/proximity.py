@@ -1,8 +1,8 @@
 """Points near other points or inside regions, by latitude strips and a longitude sweep.
 
 The plane is cut into latitude strips at quantiles of the points, each strip
-into segments at quantiles of their longitude, so cells hold about equally many
-points wherever those lie. A point belongs to exactly one cell. A target (the
+into as many segments, at quantiles of their longitude, as its points need, so cells hold
+about equally many points wherever those lie. A point belongs to exactly one cell. A target (the
 search box around a point, or the bounding box of a region) is copied to
 every cell it overlaps. A pair is therefore met in one cell only, that of its
 point: no pair is lost at a border and none is found twice.
@@ -23,9 +23,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.lineage import cut
+
 EARTH_RADIUS_M = 6_371_008.8
 #: Pairs tested in one NumPy step.
 STEP = 1_000_000
+TILES = 1_000_000
+
+
+#: Depths of the searches for a strip and a segment: at most 2**20 cells, whose bounds are a broadcast row of 9 MB.
+MAX_DEPTH = (10, 10)
 
 
 class Grid:
@@ -34,8 +41,13 @@ class Grid:
     def __init__(self, lat: list[float], lng: list[list[float]], salts: list[list[int]], depth: tuple[int, int]):
         self.lat, self.lng, self.salts, self.depth = lat, lng, salts, depth
 
+    def beside(self, df: DataFrame) -> DataFrame:
+        """``df`` with the grid's arrays _lat, _lng and _salts in every row, from one broadcast row."""
+        row = df.sparkSession.createDataFrame([(self.lat, self.lng, self.salts)], "_lat array<double>, _lng array<array<double>>, _salts array<array<int>>")
+        return df.join(F.broadcast(row))
 
-def _search(df: DataFrame, value: Column, bounds, depth: int, out: str) -> DataFrame:
+
+def _search(df: DataFrame, value: Column, bounds: Column, depth: int, out: str) -> DataFrame:
     """Adds ``out``: how many of the 2**depth - 1 sorted bounds are <= value; unrolled binary search, all in codegen."""
     df = df.withColumn(out, F.lit(0))
     for level in reversed(range(depth)):
@@ -44,21 +56,18 @@ def _search(df: DataFrame, value: Column, bounds, depth: int, out: str) -> DataF
     return df
 
 
-def _doubles(rows: list) -> Column:
-    return F.array(*[F.lit(float(x)) for x in rows])
-
+def _thinned(bounds: list[float] | None, parts: int, size: int, rows: int, per_cell: int) -> tuple[list[float], list[int]]:
+    """``size`` sorted bounds of which up to ``parts`` - 1 are finite, picked from equally spaced quantiles, and the salts of their cells.
 
-def _literal(values: list) -> Column:
-    """A literal array, folded to one constant by the optimizer."""
-    if isinstance(values[0], list):
-        return F.array(*[_literal(v) for v in values])
-    return F.array(*[F.lit(v) for v in values])
-
-
-def _spread(bounds: list[float] | None, size: int) -> list[float]:
-    """``size`` sorted bounds; missing ones are infinite (their cells stay empty)."""
-    have = sorted(set(bounds or []))[:size]
-    return [float(b) for b in have] + [math.inf] * (size - len(have))
+    A value that fills several quantiles is one bound; its cell gets as many salts as those quantiles' share of ``rows`` needs.
+    """
+    every = bounds or []
+    picked = [every[len(every) * k // parts] for k in range(1, parts)] if every else []
+    have = sorted(set(picked))
+    repeats = [1] + [picked.count(b) for b in have]
+    salts = [max(1, math.ceil(rows * n / parts / (2 * per_cell))) for n in repeats]
+    lacking = size - len(have)
+    return [float(b) for b in have] + [math.inf] * lacking, salts + [1] * lacking
 
 
 def located(df: DataFrame) -> DataFrame:
@@ -67,55 +76,55 @@ def located(df: DataFrame) -> DataFrame:
     return df.where(ok & ~F.isnan("lng") & ~F.isnan("lat")).withColumns({c: F.col(c) + F.lit(0.0) for c in ("lng", "lat")})
 
 
-def build_grid(points: DataFrame, per_cell: int = 20_000, max_depth: tuple[int, int] = (6, 5)) -> Grid:
-    """Quantile grid of ``points`` (lng, lat), from mergeable sketches over all of them.
+def build_grid(points: DataFrame, per_cell: int = 20_000, max_depth: tuple[int, int] = MAX_DEPTH) -> Grid:
+    """Quantile grid of ``points`` (lng, lat), from mergeable sketches over all of them, in two passes.
 
-    What comes to the driver is at most 2**(sum of max_depth) bounds and counts,
-    whatever the number of points. Cells that stay larger than twice ``per_cell``
-    (many points on one spot, or more points than cells) get salts.
+    What comes to the driver is at most 2**(sum of max_depth) bounds,
+    whatever the number of points. Cells that hold many points of one position, or more
+    than twice ``per_cell`` at the greatest depths, get salts.
     """
-    n = points.count()
-    bits = max(0, math.ceil(math.log2(max(1.0, n / per_cell))))
-    ds = min(max_depth[0], (bits + 1) // 2 + 1)
-    dg = min(max_depth[1], bits // 2 + 1)
-    cuts = [i / (1 << ds) for i in range(1, 1 << ds)]
-    lat = _spread(points.agg(F.percentile_approx("lat", cuts, 2_000)).first()[0], (1 << ds) - 1)
-    strips = _search(points, F.col("lat"), _doubles(lat), ds, "_s")
-    cuts = [i / (1 << dg) for i in range(1, 1 << dg)]
-    found = dict(strips.groupBy("_s").agg(F.percentile_approx("lng", cuts, 1_000)).collect())
-    lng = [_spread(found.get(s), (1 << dg) - 1) for s in range(1 << ds)]
-    grid = Grid(lat, lng, [[1] * (1 << dg) for _ in range(1 << ds)], (ds, dg))
-    for s, g, c in _place(points, grid).groupBy("_s", "_g").count().collect():
-        grid.salts[s][g] = max(1, math.ceil(c / (2 * per_cell)))
-    return grid
-
-
-def _place(points: DataFrame, grid: Grid) -> DataFrame:
-    ds, dg = grid.depth
-    df = _search(points, F.col("lat"), _doubles(grid.lat), ds, "_s")
-    return _search(df, F.col("lng"), F.get(_literal(grid.lng), F.col("_s")), dg, "_g")
+    levels = [1 << x for x in max_depth]
+    steps = [[i / n for i in range(1, n)] for n in levels]
+    n, quantiles = points.agg(F.count(F.lit(1)), F.percentile_approx("lat", steps[0], 10_000)).first()
+    cells = max(1.0, n / per_cell)
+    ds = min(max_depth[0], math.ceil(math.log2(cells) / 2) + 1)
+    lat = _thinned(quantiles, 1 << ds, (1 << ds) - 1, 0, per_cell)[0]
+    bounds = points.sparkSession.createDataFrame([(lat,)], "_lat array<double>")
+    strips = _search(points.join(F.broadcast(bounds)), F.col("lat"), F.col("_lat"), ds, "_s")
+    few = [i / k for k in [min(levels[1], 4 << math.ceil(math.log2(cells)))] for i in range(1, k)]
+    found = {r[0]: r[1:] for r in strips.groupBy("_s").agg(F.count(F.lit(1)), F.percentile_approx("lng", few, 10_000)).collect()}
+    parts = {s: min(levels[1], len(few) + 1, max(1, math.ceil(c / per_cell))) for s, (c, _) in found.items()}
+    dg = math.ceil(math.log2(max(parts.values(), default=1)))
+    lng, salts = [], []
+    for s in range(1 << ds):
+        c, q = found.get(s, (0, None))
+        inner, salted = _thinned(q, parts.get(s, 1), (1 << dg) - 1, c, per_cell)
+        lng.append(inner)
+        salts.append(salted)
+    return Grid(lat, lng, salts, (ds, dg))
 
 
 def _cells_of_points(points: DataFrame, grid: Grid, by: str) -> DataFrame:
     """Adds _cell; a salted cell's points are spread over its salts by a hash of ``by``."""
-    df = _place(points, grid)
-    salts = F.get(F.get(_literal(grid.salts), F.col("_s")), F.col("_g"))
-    salt = F.pmod(F.xxhash64(by), salts.cast("bigint"))
-    return df.withColumn("_cell", F.concat_ws("/", "_s", "_g", salt)).drop("_s", "_g")
+    ds, dg = grid.depth
+    df = _search(grid.beside(points), F.col("lat"), F.col("_lat"), ds, "_s")
+    df = _search(df, F.col("lng"), F.get("_lng", F.col("_s")), dg, "_g")
+    salt = F.pmod(F.xxhash64(by), F.get(F.get("_salts", F.col("_s")), F.col("_g")).cast("bigint"))
+    return df.withColumn("_cell", F.concat_ws("/", "_s", "_g", salt)).drop("_s", "_g", "_lat", "_lng", "_salts")
 
 
 def _cells_of_boxes(boxes: DataFrame, grid: Grid) -> DataFrame:
     """One row for each cell and salt that the box (x0, x1, y0, y1) overlaps."""
     ds, dg = grid.depth
-    df = _search(boxes, F.col("y0"), _doubles(grid.lat), ds, "_s0")
-    df = _search(df, F.col("y1"), _doubles(grid.lat), ds, "_s1")
-    df = df.withColumn("_s", F.explode(F.sequence("_s0", "_s1"))).drop("_s0", "_s1")
-    df = df.withColumn("_bounds", F.get(_literal(grid.lng), F.col("_s")))
-    df = _search(df, F.col("x0"), F.col("_bounds"), dg, "_g0")
-    df = _search(df, F.col("x1"), F.col("_bounds"), dg, "_g1")
-    df = df.withColumn("_g", F.explode(F.sequence("_g0", "_g1"))).drop("_g0", "_g1", "_bounds")
-    salts = F.get(F.get(_literal(grid.salts), F.col("_s")), F.col("_g"))
-    df = df.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    df = _search(grid.beside(boxes), F.col("y0"), F.col("_lat"), ds, "_s0")
+    df = _search(df, F.col("y1"), F.col("_lat"), ds, "_s1").drop("_lat", "_lng", "_salts")
+    df = grid.beside(df.withColumn("_s", F.explode(F.sequence("_s0", "_s1"))).drop("_s0", "_s1"))
+    bounds = F.get("_lng", F.col("_s"))
+    df = _search(df, F.col("x0"), bounds, dg, "_g0")
+    df = _search(df, F.col("x1"), bounds, dg, "_g1")
+    df = df.withColumn("_all", F.get("_salts", F.col("_s"))).drop("_lat", "_lng", "_salts")
+    df = df.withColumn("_g", F.explode(F.sequence("_g0", "_g1"))).drop("_g0", "_g1")
+    df = df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.get("_all", F.col("_g")) - 1))).drop("_all")
     return df.withColumn("_cell", F.concat_ws("/", "_s", "_g", "_salt")).drop("_s", "_g", "_salt")
 
 
@@ -167,7 +176,7 @@ def near_spots(points: DataFrame, radius_m: float, per_cell: int = 20_000) -> Da
     rows on one spot costs one row here. Each pair comes once, with
     (lng_a, lat_a) < (lng_b, lat_b). The antimeridian and the poles are no borders.
     """
-    spots = located(points.select("lng", "lat")).distinct()
+    spots = cut(located(points.select("lng", "lat")).distinct())
     grid = build_grid(spots, per_cell)
     boxes = _boxes(spots, radius_m, [])
     placed = _cells_of_points(spots.withColumn("_id", F.col("lng")), grid, "_id").drop("_id")
@@ -211,6 +220,23 @@ def near_rows(points: DataFrame, key: str, radius_m: float, per_cell: int = 20_0
     return apart.unionByName(same.select(F.col("p.k").alias("a"), F.col("q.k").alias("b"))).distinct()
 
 
+def near_counts(points: DataFrame, key: str, radius_m: float, per_cell: int = 20_000) -> DataFrame:
+    """(key, neighbours) of each row with other rows at most ``radius_m`` away: how many these are.
+
+    Rows are different (key, position); nulls and impossible positions are left out. Spots carry
+    the number of their rows, so rows of one spot are never paired.
+    """
+    rows = cut(located(points.select(F.col(key).alias("_k"), "lng", "lat").dropna()).distinct())
+    here = rows.groupBy("lng", "lat").agg(F.count(F.lit(1)).alias("_n"))
+    spots = near_spots(rows, radius_m, per_cell)
+    ends = [("lng_a", "lat_a", "lng_b", "lat_b"), ("lng_b", "lat_b", "lng_a", "lat_a")]
+    both = [spots.select(*[F.col(c).alias(n) for c, n in zip(e, ("lng", "lat", "x", "y"))]) for e in ends]
+    beside = both[0].unionByName(both[1]).join(here.select(F.col("lng").alias("x"), F.col("lat").alias("y"), "_n"), ["x", "y"])
+    around = beside.groupBy("lng", "lat").agg(F.sum("_n").alias("_m"))
+    total = here.join(around, ["lng", "lat"], "left").select("lng", "lat", (F.col("_n") - 1 + F.coalesce("_m", F.lit(0))).alias("neighbours"))
+    return rows.join(total.where("neighbours > 0"), ["lng", "lat"]).select(F.col("_k").alias(key), "neighbours")
+
+
 def ball_sums(centres: DataFrame, points: DataFrame, radius_m: float, scale: float | None = None, per_cell: int = 50_000) -> DataFrame:
     """(key, bin, near, weight): for each centre and bin the points at most ``radius_m`` away.
 
@@ -222,7 +248,7 @@ def ball_sums(centres: DataFrame, points: DataFrame, radius_m: float, scale: flo
     neighbours gives no row.
     """
     spots = located(points.dropna(subset=["lng", "lat", "bin", "n"]))
-    spots = spots.groupBy("lng", "lat", "bin").agg(F.sum("n").cast("double").alias("n"))
+    spots = cut(spots.groupBy("lng", "lat", "bin").agg(F.sum("n").cast("double").alias("n")))
     middles = located(centres.select("key", "lng", "lat").dropna()).distinct()
     grid = build_grid(spots.select("lng", "lat"), per_cell)
     cells = _cells_of_boxes(_boxes(middles, radius_m, ["key"]), grid)
@@ -263,6 +289,18 @@ def inside_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return inside
 
 
+def _on_tiles(rows: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The rows on the tiles that some box touches; tiles of 1/64 degree, or larger so that boxes have about TILES together."""
+    area = boxes.agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))).first()[0] or 0.0
+    side = max(1 / 64, math.sqrt(area / TILES))
+
+    def tile(c: str) -> Column:
+        return F.floor(F.col(c) / side)
+
+    tiles = boxes.select("y0", "y1", F.explode(F.sequence(tile("x0"), tile("x1"))).alias("_tx")).select("_tx", F.explode(F.sequence(tile("y0"), tile("y1"))).alias("_ty"))
+    return rows.withColumns({"_tx": tile("lng"), "_ty": tile("lat")}).join(tiles.distinct(), ["_tx", "_ty"], "left_semi").drop("_tx", "_ty")
+
+
 def points_in_regions(points: DataFrame, regions: DataFrame, per_cell: int = 50_000) -> DataFrame:
     """Each point's containing regions: columns of ``points`` except lng and lat, plus region.
 
@@ -283,6 +321,7 @@ def points_in_regions(points: DataFrame, regions: DataFrame, per_cell: int = 50_
         "region", "rx", "ry", F.array_min("rx").alias("x0"), F.array_max("rx").alias("x1"),
         F.array_min("ry").alias("y0"), F.array_max("ry").alias("y1"),
     )
+    rows = cut(_on_tiles(rows, boxes))
     grid = build_grid(rows.select("lng", "lat"), per_cell)
     cells = _cells_of_boxes(boxes, grid)
     placed = _cells_of_points(rows.withColumn("_by", F.struct("lng", "lat", *ids)), grid, "_by").drop("_by")

@@ -65,9 +65,8 @@ def _places(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("b"), F.col("loc.lng").alias("lng"), F.col("loc.lat").alias("lat"))
 
 
-def _venue_pairs(spark: SparkSession, d: str) -> DataFrame:
-    venues = _in_some_box(_places(table(spark, d, "venue"), "_id"), table(spark, d, "city_box"))
-    return proximity.near_rows(venues, "b", NEAR_M)
+def _boxed_venues(spark: SparkSession, d: str) -> DataFrame:
+    return _in_some_box(_places(table(spark, d, "venue"), "_id"), table(spark, d, "city_box"))
 
 
 def _in_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -80,15 +79,13 @@ def _in_regions(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Venues on the same spot, and the gold regions of every venue, photo and check-in."""
-    near = _venue_pairs(spark, d).select(F.lit("near").alias("kind"), "a", "b")
+    near = proximity.near_rows(_boxed_venues(spark, d), "b", NEAR_M).select(F.lit("near").alias("kind"), "a", "b")
     return near.unionByName(_in_regions(spark, d))
 
 
 def p4_spots(spark: SparkSession, d: str) -> DataFrame:
     """How many other venues are within 5 m of each venue that has any."""
-    pairs = _venue_pairs(spark, d)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("venue"))
-    return ends.groupBy("venue").agg(F.count(F.lit(1)).alias("neighbours"))
+    return proximity.near_counts(_boxed_venues(spark, d), "b", NEAR_M).select(F.col("b").alias("venue"), "neighbours")
 
 
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
