@@ -41,3 +41,17 @@ def test_empty(spark):
     df = spark.createDataFrame([], "k string, v int")
     freq = hk.compress(df, ["k"], "v")
     assert hk.profile(freq, ["k"]).count() == 0 and hk.percentiles(freq, ["k"], [0.5]).count() == 0
+
+
+def test_percentiles_of_many_keys_and_long_tails(spark, monkeypatch):
+    import math
+    import random
+
+    monkeypatch.setattr(hk, "BROADCAST_KEYS", 1)
+    rng = random.Random(3)
+    rows = [(k, math.exp(rng.gauss(0, 6))) for k in "abc" for _ in range(200)] + [("hot", 1.0)] * 300 + [("hot", 5.0)]
+    freq = hk.compress(spark.createDataFrame(rows, "k string, v double"), ["k"], "v")
+    got = {(r["k"], r["fraction"]): r["value"] for r in hk.percentiles(freq, ["k"], [0.0, 0.1, 0.5, 0.9, 1.0], buckets=8).collect()}
+    for k in ("a", "b", "c", "hot"):
+        own = sorted(v for x, v in rows if x == k)
+        assert {f: got[k, f] for f in (0.0, 0.1, 0.5, 0.9, 1.0)} == {f: own[max(1, math.ceil(round(f * len(own), 9))) - 1] for f in (0.0, 0.1, 0.5, 0.9, 1.0)}

@@ -11,6 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.lineage import cut
+
+#: Keys whose value bounds are broadcast (20,000 times 64 numbers are 10 MB), and parts of a key beyond.
+BROADCAST_KEYS = 20_000
+SALTS = 16
+
 
 def compress(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, n): how often each value occurs under each key. Null values are kept."""
@@ -42,24 +48,31 @@ def heavy(prof: DataFrame, within: str, least_percent: dict[str, int]) -> DataFr
     return out.where(F.col("records") * 100 >= F.col("group_records") * F.try_element_at(limits, F.col(within)))
 
 
-def percentiles(freq: DataFrame, keys: list[str], fractions: list[float], buckets: int = 1024) -> DataFrame:
+def percentiles(freq: DataFrame, keys: list[str], fractions: list[float], buckets: int = 64) -> DataFrame:
     """Exact nearest-rank percentiles of numeric values for each key: (keys, fraction, value).
 
     The value of fraction f is the smallest one with at least ceil(f * records)
     weighted records at or below it (f = 0 gives the minimum). Null values are
     left out; keys without values give no row.
 
-    Two steps keep a hot key from being sorted in one task: equal-width value
-    buckets between the key's extremes are counted first (at most ``buckets`` rows
-    per key), which names for each fraction the one bucket that holds its rank;
-    only the values of those buckets are then ordered.
+    Two steps keep a hot key from being sorted in one task. A mergeable sketch names ``buckets``
+    quantiles of each key's different values, so buckets hold about equally many of them however they lie;
+    their exact counts name for each fraction the one bucket that holds its rank;
+    only the values of those buckets are then ordered. A key's bounds reach its rows
+    by broadcast, or beyond ``BROADCAST_KEYS`` keys by a join on the key and a salt.
     """
     rows = freq.where(F.col("value").isNotNull()).select(*keys, F.col("value").cast("double").alias("value"), "n")
     rows = rows.where(~F.isnan("value"))
-    span = rows.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    bucket = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("_lo")) / width * buckets), F.lit(buckets - 1))).otherwise(0)
-    placed = rows.join(span, keys).select(*keys, "value", "n", bucket.cast("int").alias("_b"))
+    cuts = [i / buckets for i in range(1, buckets)]
+    bounds = cut(rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("value", cuts, 4 * buckets)).alias("_q")))
+    if bounds.count() <= BROADCAST_KEYS:
+        near = rows.join(F.broadcast(bounds), keys)
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(SALTS)).cast("int"))
+        near = salted.join(bounds.withColumn("_salt", salts), [*keys, "_salt"]).drop("_salt")
+    bucket = F.size(F.filter("_q", lambda q: q < F.col("value")))
+    placed = near.select(*keys, "value", "n", bucket.alias("_b"))
     sums = placed.groupBy(*keys, "_b").agg(F.sum("n").alias("_bn"))
     up_to = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.lineage import cut
+
 
 def earliest(df: DataFrame, key: str, order: Column) -> DataFrame:
     """One row per ``key``, the one with the smallest ``order`` (nulls last, then by all columns); null keys are left out."""
@@ -92,8 +94,17 @@ def last_known(df: DataFrame, key: str, at: str, tie: str, value: str, chunk: Co
 
 
 def chunks_of(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """Adds ``chunk``: rows numbered in ``order`` in groups of n. For small tables; the numbering is one ordered run."""
-    return df.withColumn("chunk", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / n))
+    """Adds ``chunk``: rows numbered in ``order`` in groups of n.
+
+    The rows are sorted by range once; a row's number is its place in its range and the rows of
+    the ranges before, so no task sees them all. Ties may go either way.
+    """
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    out = ranged.withColumn("_p", part).join(F.broadcast(before), "_p")
+    return out.withColumn("chunk", F.floor((F.col("_before") + place) / n)).select(*df.columns, "chunk")
 
 
 def in_all(lists: list[DataFrame], key: str, rank: str) -> DataFrame:

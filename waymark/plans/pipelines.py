@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions import clock
 from waymark.functions.geo import gaussian_weight, haversine_m
 from waymark.functions.text import folded, letters
-from waymark.lineage import checkpoint_dir
+from waymark.lineage import scratch
 from waymark.operators import features as ft
 from waymark.operators import models, proximity
 from waymark.operators import profiles as pr
@@ -91,7 +91,7 @@ def design_matrix(spark: SparkSession, d: str) -> DataFrame:
 @query(with_(V) + "select city, cast(t as date) as day, count(*) as n from v where city is not null and t >= '2000-01-01' group by all")
 def stream_dedup_window(spark: SparkSession, d: str) -> DataFrame:
     """Check-ins as a file stream, deduplicated in a watermark of 40 days, then counted per city and day."""
-    out = f"{checkpoint_dir(spark)}/landed-{uuid4().hex}"
+    out = scratch(spark, "landed")
     raw = table(spark, d, "checkin")
     stream = ingest.file_stream(spark, f"{d.rstrip('/')}/checkin.parquet*", raw.schema)
     stream = stream.where(F.col("time") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("_id", "city", "time")
@@ -105,7 +105,7 @@ def time_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Five daily patterns of the venues with more than five visits."""
     rows = visits(spark, d, "lid", "t")
     busy = rows.dropna().groupBy("lid").agg(F.count(F.lit(1)).alias("n")).where("n > 5").select("lid")
-    return models.time_patterns(pr.day_profile(rows.join(busy, "lid", "left_semi"), ["lid"], "t"), "lid", 6, 5, 3)[0]
+    return models.time_patterns(pr.day_profile(rows.join(busy, "lid", "left_semi"), ["lid"], "t"), "lid", 6, 5, 7)[0]
 
 
 @query()
@@ -117,9 +117,9 @@ def feature_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tag_topics(spark: SparkSession, d: str) -> DataFrame:
-    """Ten topics of the photo tags."""
+    """Eighty topics of the photo tags."""
     bags = tagged(spark, d).groupBy("id").agg(F.collect_list("tag").alias("tags"))
-    return models.topics(bags, "tags", k=10, least=10, passes=5)
+    return models.topics(bags, "tags", k=80, least=30, passes=5)
 
 
 @query()

@@ -17,7 +17,7 @@ def insert_new(df: DataFrame, path: str, key: str) -> int:
     spark = df.sparkSession
     best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*df.columns)).alias("_w"))
     rows = best.select(*[F.col(f"_w.{c}").alias(c) for c in df.columns])
-    if _exists(spark, path):
+    if exists(spark, path):
         rows = new_rows(rows, key, spark.read.parquet(path))
     rows = cut(rows)
     n = rows.count()
@@ -26,7 +26,7 @@ def insert_new(df: DataFrame, path: str, key: str) -> int:
     return n
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
@@ -64,6 +64,22 @@ def feature(ring: Column, properties: dict[str, Column]) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*[c.alias(n) for n, c in properties.items()]).alias("properties")))
 
 
+def write_collections(features: DataFrame, path: str, name: str, feature: str, order: str) -> None:
+    """One GeoJSON file ``<name>.json`` for each ``name`` with its features in ``order``.
+
+    For outlines drawn by hand, of which a name has at most a few hundred: each file is one task's work.
+    """
+    made = features.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(order, feature))).alias("_f"))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("_f", lambda x: x[feature]), ","), F.lit("]}"))
+    spark = features.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in made.select(name, text.alias("_t")).toLocalIterator():
+        out = system.create(spark._jvm.org.apache.hadoop.fs.Path(target, f"{row[0]}.json"), True)
+        out.write(bytearray(row[1].encode()))
+        out.close()
+
+
 def cell_ring(ix: Column, iy: Column, k: int) -> Column:
     """The corners of a grid cell in the box columns lat_bl, lng_bl, lat_ur, lng_ur."""
     x = lambda i: F.col("lng_bl") + (F.col("lng_ur") - F.col("lng_bl")) * i / k

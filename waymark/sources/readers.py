@@ -105,7 +105,7 @@ def category_tree(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_log(spark: SparkSession, path: str) -> DataFrame:
-    """(at, starting, source, target, district, radius, metric) of a log of searches; other lines are left out.
+    """(log, at, starting, source, target, district, radius, metric) of logs of searches; other lines are left out.
 
     A line is ``yyyy-MM-dd HH:mm:ss,SSS [...] [will write:] comparaison_<source>/<target>_<district>_<radius>_<metric>.my``.
     """
@@ -114,14 +114,15 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
     part = lambda i: F.regexp_extract("value", pattern, i)
     when = F.try_to_timestamp(F.trim(F.substring_index("value", "[", 1)), F.lit("yyyy-MM-dd HH:mm:ss,SSS")).cast("timestamp_ntz")
     return x.select(
-        when.alias("at"), F.col("value").contains("will write").alias("starting"), part(1).alias("source"), part(2).alias("target"),
+        F.col("_metadata.file_path").alias("log"), when.alias("at"), F.col("value").contains("will write").alias("starting"), part(1).alias("source"), part(2).alias("target"),
         part(3).alias("district"), part(4).cast("int").alias("radius"), part(5).alias("metric"),
     ).where("at is not null")
 
 
 def durations(log: DataFrame) -> DataFrame:
-    """Seconds of each search: a finishing line takes the last starting line before it. A log is one ordered run."""
-    since = F.last(F.when(F.col("starting"), F.col("at")), ignorenulls=True).over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    """Seconds of each search: a finishing line takes the last starting line before it in its log, which one process wrote."""
+    run = Window.partitionBy("log").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    since = F.last(F.when(F.col("starting"), F.col("at")), ignorenulls=True).over(run)
     rows = log.withColumn("_s", since).where("not starting and _s is not null")
     return rows.withColumn("seconds", (epoch_us(F.col("at")) - epoch_us(F.col("_s"))) / 1e6).drop("_s", "starting")
 
