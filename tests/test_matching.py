@@ -32,10 +32,14 @@ def test_nearest_of_one_frame_with_itself(spark):
 
 
 def test_loops(spark):
-    f = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 1.0), ("c", "y", 3.0)], "q string, t string, distance double")
-    b = spark.createDataFrame([("x", "b", 1.0), ("y", "b", 2.0)], "q string, t string, distance double")
-    got = {r["start"]: (r["steps"], r["length"]) for r in knn.loops(f, b).collect()}
-    assert got == {"a": (2, 1.25), "b": (1, 1.5), "c": (2, 2.0)}
+    shape = "q string, t string, distance double, size int, same boolean"
+    f = spark.createDataFrame([("a", "x", 1.0, 9, True), ("b", "y", 1.0, 9, False), ("c", "y", 3.0, 7, True), ("z", "gone", 1.0, 1, True)], shape)
+    b = spark.createDataFrame([("x", "b", 1.0, 5, True), ("y", "b", 2.0, 6, False)], shape)
+    got = {r["start"]: tuple(r)[1:] for r in knn.loops(f, b).collect()}
+    assert got == {"a": (4, 1.25, 5, 2), "b": (2, 1.5, 6, 0), "c": (3, 2.0, 6, 1)}
+    # y comes again on the third step, before an origin venue does
+    b = spark.createDataFrame([("y", "b", 2.0, 6, True)], shape)
+    assert {r["start"]: r["steps"] for r in knn.loops(f.where("q <> 'a'"), b).collect()} == {"b": 2, "c": 3}
 
 
 def brute_transport(cost, fraction, parts):

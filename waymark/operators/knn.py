@@ -136,23 +136,27 @@ def candidates(found: DataFrame, at_least: int, at_most: int, per_query: int) ->
 
 
 def loops(forward: DataFrame, backward: DataFrame) -> DataFrame:
-    """(start, steps, length): alternate nearest neighbours there and back until a venue comes again.
-
-    ``forward`` and ``backward``: q, t, distance of the single nearest neighbours.
-    All starts walk at the same time, one join per step, until the last has ended; length is the mean distance of the steps.
+    """(start, steps, length, size, matched): alternate nearest neighbours there and back until any venue comes again.
+
+    ``forward`` and ``backward``: q, t, distance of the single nearest neighbours, size (how many it was chosen from)
+    and same (whether both have one category). All starts walk at the same time, one join per step, until the last
+    has ended. Distances never rise along a walk, so it ends at the first pair of mutual neighbours, after a few steps;
+    only ties of equal distance can lengthen it, and a walk cannot be longer than there are venues. length is the mean
+    distance of the steps, size the smallest choice, matched the number of steps within one category. A walk that meets
+    a venue without neighbours gives no row.
     """
-    there = forward.select(F.col("q").alias("at"), F.col("t").alias("over"), F.col("distance").alias("d1"))
-    back = backward.select(F.col("q").alias("over"), F.col("t").alias("next"), F.col("distance").alias("d2"))
-    hop = there.join(back, "over").select("at", "next", (F.col("d1") + F.col("d2")).alias("d"))
-    hop = checkpointed(hop)
-    walk = hop.select(F.col("at").alias("start"), F.col("at"), F.array("at").alias("seen"), F.lit(0.0).alias("sum"))
+    parts = ["q", "t", "distance", F.col("size").cast("bigint").alias("_size"), F.col("same").cast("int").alias("_same")]
+    hops = [checkpointed(x.select(*parts).withColumnsRenamed({"q": "at", "t": "next", "distance": "d"})) for x in (forward, backward)]
+    walk = hops[0].select(F.col("at").alias("start"), "at", F.array("at").alias("seen"), F.lit(0.0).alias("sum"), F.lit(None).cast("bigint").alias("size"), F.lit(0).alias("matched"))
     done = None
     for step in count(1):
-        moved = walk.join(hop, "at").select("start", F.col("next").alias("at"), "seen", (F.col("sum") + F.col("d")).alias("sum"))
+        moved = walk.join(hops[1 - step % 2], "at").select(
+            "start", F.col("next").alias("at"), "seen", (F.col("sum") + F.col("d")).alias("sum"), F.least("size", "_size").alias("size"), (F.col("matched") + F.col("_same")).alias("matched"),
+        )
         moved = checkpointed(moved.withColumn("again", F.array_contains("seen", F.col("at"))))
-        over = moved.where("again").select("start", F.lit(step).alias("steps"), (F.col("sum") / (2 * step)).alias("length"))
+        over = moved.where("again").select("start", F.lit(step).alias("steps"), (F.col("sum") / step).alias("length"), "size", "matched")
         done = over if done is None else done.unionByName(over)
-        walk = moved.where("not again").select("start", "at", F.concat("seen", F.array("at")).alias("seen"), "sum")
+        walk = moved.where("not again").select("start", "at", F.concat("seen", F.array("at")).alias("seen"), "sum", "size", "matched")
         if not walk.limit(1).count():
             break
     return done

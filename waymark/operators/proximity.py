@@ -237,6 +237,12 @@ def near_counts(points: DataFrame, key: str, radius_m: float, per_cell: int = 20
     return rows.join(total.where("neighbours > 0"), ["lng", "lat"]).select(F.col("_k").alias(key), "neighbours")
 
 
+def on_shared_tiles(centres: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
+    """The centres on a tile that the search box of some point touches; the others have no neighbour. For centres laid over areas that are mostly empty."""
+    spots = located(points.select("lng", "lat").dropna()).distinct()
+    return _on_tiles(centres, _boxes(spots, radius_m, []))
+
+
 def ball_sums(centres: DataFrame, points: DataFrame, radius_m: float, scale: float | None = None, per_cell: int = 50_000) -> DataFrame:
     """(key, bin, near, weight): for each centre and bin the points at most ``radius_m`` away.
 

@@ -121,9 +121,9 @@ def grown(cluster: np.ndarray, xy: np.ndarray, steps: int = 4) -> list[np.ndarra
     return out
 
 
-def circle_centres(boxes: DataFrame, radius_m: float) -> DataFrame:
-    """(city, key, lng, lat): centres in steps of the radius over each city's box."""
-    step = radius_m / 111_195.0
+def circle_centres(boxes: DataFrame, radius_m: float, step_m: float | None = None) -> DataFrame:
+    """(city, key, lng, lat): centres in steps of ``step_m`` (a third of the radius by default) over each city's box."""
+    step = (step_m or radius_m / 3) / 111_195.0
     lats = F.sequence(F.lit(0), F.floor((F.col("lat_ur") - F.col("lat_bl")) / step).cast("int"))
     wide = step / F.cos(F.radians((F.col("lat_bl") + F.col("lat_ur")) / 2))
     rows = boxes.withColumn("_w", wide).withColumn("i", F.explode(lats))

@@ -32,11 +32,12 @@ def query(sql: str | None = None):
     return add
 
 
-@query("""with m as (select distinct _id, trim(msg) as m from checkin where msg is not null and _id is not null), w as (select _id, regexp_extract(m, '(\\S+)$', 1) as w from m)
+@query("""with m as (select distinct _id, trim(msg) || case when uid % 2 = 0 then ' http://t.example/' || right(_id, uid % 9) else '' end as m from checkin where msg is not null and _id is not null), w as (select _id, regexp_extract(m, '(\\S+)$', 1) as w from m)
 select distinct _id, w as link from w where starts_with(w, 'htt') and length(w) <= 23""")
 def message_links(spark: SparkSession, d: str) -> DataFrame:
-    """The short link at the end of a check-in's message."""
-    rows = table(spark, d, "checkin").select("_id", text.trailing_url(F.col("msg")).alias("link"))
+    """The short link at the end of check-ins' messages, to half of which one is added."""
+    end = F.when(F.col("uid") % 2 == 0, F.concat(F.lit(" http://t.example/"), F.expr("right(_id, cast(uid % 9 as int))"))).otherwise("")
+    rows = table(spark, d, "checkin").select("_id", text.trailing_url(F.concat(F.trim("msg"), end)).alias("link"))
     return rows.dropna().distinct()
 
 

@@ -14,7 +14,7 @@ from waymark.lineage import cut, fresh
 from waymark.operators import features as ft
 from waymark.operators import grids, knn, proximity, regions, scan, transport
 from waymark.operators.profiles import score_table
-from waymark.plans.common import places, with_
+from waymark.plans.common import L, places, with_
 from waymark.sources.tables import table
 
 QUERIES: dict = {}
@@ -151,12 +151,24 @@ def knn_candidates(spark: SparkSession, d: str) -> DataFrame:
     return knn.candidates(near, 1, 300, 300).withColumn("distance", F.round("distance", 4))
 
 
-@query()
+@query("with recursive " + with_(_Z)[5:] + f""", o as materialized (select * from w where city = '{FROM}'), e as materialized (select * from w where city = '{TO}'),
+f as materialized (select q.venue as q, t.venue as t, q.sub = t.sub as same, round(list_distance(q.v, t.v), 9) as d, row_number() over (partition by q.venue order by round(list_distance(q.v, t.v), 9), t.venue) as k, count(*) over (partition by q.venue) as size from o q join e t on t.top = q.top),
+b as materialized (select q.venue as q, t.venue as t, q.sub = t.sub as same, round(list_distance(q.v, t.v), 9) as d, row_number() over (partition by q.venue order by round(list_distance(q.v, t.v), 9), t.venue) as k, count(*) over (partition by q.venue) as size from e q join o t on t.top = q.top),
+h as materialized (select 1 as odd, * from f where k = 1 union all select 0, * from b where k = 1),
+x as (select venue as start, venue as at, [venue] as path, 0 as step, cast(0 as double) as s, cast(1000000000 as bigint) as size, 0 as matched, false as closed from o
+ union all select start, h.t, list_append(path, h.t), step + 1, s + h.d, least(x.size, h.size), matched + cast(h.same as int), list_contains(path, h.t) from x join h on h.q = x.at and h.odd = (step + 1) % 2 where not closed)
+select start, step as steps, round(s / step, 4) as length, size, matched from x where closed""")
 def nn_loops(spark: SparkSession, d: str) -> DataFrame:
-    """Walks along nearest neighbours between two cities until a venue comes again."""
-    a, b = _sides(spark, d)
-    a, b = a.select("top", "id", "v"), b.select("top", "id", "v")
-    return knn.loops(knn.nearest(a, b, ["top"], 1), knn.nearest(b, a, ["top"], 1)).withColumn("length", F.round("length", 4))
+    """Walks along nearest neighbours of one category between two cities until a venue comes again."""
+    sides = _sides(spark, d)
+
+    def hop(q: DataFrame, t: DataFrame) -> DataFrame:
+        near = knn.nearest(q.select("top", "id", "v"), t.select("top", "id", "v"), ["top"], 1)
+        size = t.groupBy("top").agg(F.count(F.lit(1)).alias("size"))
+        both = near.join(size, "top").join(q.select(F.col("id").alias("q"), F.col("sub").alias("a")), "q").join(t.select(F.col("id").alias("t"), F.col("sub").alias("b")), "t")
+        return both.select("q", "t", "distance", "size", (F.col("a") == F.col("b")).alias("same"))
+
+    return knn.loops(hop(*sides), hop(*sides[::-1])).withColumn("length", F.round("length", 4))
 
 
 @query(with_(_Z) + f""", q as (select * from w where city = '{FROM}'), t as (select * from w where city = '{TO}'),
@@ -301,10 +313,22 @@ def gold_region_emd(spark: SparkSession, d: str) -> DataFrame:
     return full.join(part, ["a", "b"]).select("a", "b", F.round("distance", 6).alias("distance"), F.round("partial", 6).alias("partial"))
 
 
-@query()
+_NEAR_M = "2 * 6371008.8 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))"
+
+
+@query("with recursive " + with_(L)[5:] + f""", q as materialized (select id, lng, lat from l where lng between -180 and 180 and lat between -90 and 90), s as materialized (select lng, lat, count(*) as n from q group by all),
+n as materialized (select a.lng as ax, a.lat as ay, b.lng as tx, b.lat as ty, b.n from s a join s b on b.lat between a.lat - 0.002 and a.lat + 0.002 where {_NEAR_M} <= 150),
+c as materialized (select ax as x, ay as y from n group by ax, ay having sum(n) >= 8),
+e as materialized (select ax, ay, tx, ty from n join c p on p.x = ax and p.y = ay join c r on r.x = tx and r.y = ty),
+w as (select x, y, x as cx, y as cy from c union select tx, ty, cx, cy from w join e on ax = x and ay = y),
+m as materialized (select x, y, min(struct_pack(x := cx, y := cy)) as label from w group by x, y),
+g as (select ax as x, ay as y, min(label) as border from n join m on m.x = tx and m.y = ty group by ax, ay)
+select s.lng, s.lat, m.label is not null as core, struct_extract(coalesce(m.label, border), 'x') as cluster_lng, struct_extract(coalesce(m.label, border), 'y') as cluster_lat from s left join m on m.x = s.lng and m.y = s.lat left join g on g.x = s.lng and g.y = s.lat""")
 def venue_dbscan(spark: SparkSession, d: str) -> DataFrame:
-    """Density clusters of venue positions: eight venues within 150 m."""
-    return regions.density_clusters(places(spark, d, "lng", "lat"), 150.0, 8)
+    """Density clusters of venue positions: eight venues within 150 m; a cluster is named by its first core position."""
+    found = regions.density_clusters(places(spark, d, "lng", "lat"), 150.0, 8)
+    name = F.split("cluster", ",")
+    return found.select("lng", "lat", "core", F.get(name, 0).cast("double").alias("cluster_lng"), F.get(name, 1).cast("double").alias("cluster_lat"))
 
 
 def _query_region(spark: SparkSession, d: str, members: DataFrame) -> str:
@@ -313,31 +337,98 @@ def _query_region(spark: SparkSession, d: str, members: DataFrame) -> str:
     return n["region"] if n else ""
 
 
-@query()
-def region_circle_search(spark: SparkSession, d: str) -> DataFrame:
-    """The five best disjoint circles of 500 m in each city by the divergence of their feature histograms from a gold region's."""
-    z = _z(spark, d)
-    m = cut(_members(spark, d))
-    region = _query_region(spark, d, m)
-    flat = z.select("venue", F.posexplode("z").alias("dim", "x"))
+#: The radii of the survey's searches in metres, and the least venues of a circle.
+RADII, LEAST_VENUES = (200.0, 275.0, 350.0, 425.0, 500.0), 5
+BINS = 10
+
+
+def _binned(spark: SparkSession, d: str) -> DataFrame:
+    """(city, venue, bins): the number of the bin of each feature, dimension times BINS plus bin, between the extremes over all venues."""
+    flat = _z(spark, d).select("city", "venue", F.posexplode("z").alias("dim", "x"))
     support = F.broadcast(flat.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))
     span = F.col("hi") - F.col("lo")
-    code = F.col("dim") * 10 + F.when(span > 0, F.least(F.floor((F.col("x") - F.col("lo")) / span * 10), F.lit(9))).otherwise(9).cast("int")
-    binned = flat.join(support, "dim").select("venue", code.cast("int").alias("bin"))
-    points = binned.join(places(spark, d, "lng", "lat").withColumnRenamed("id", "venue"), "venue").select("lng", "lat", "bin", F.lit(1).alias("n"))
-    centres = regions.circle_centres(table(spark, d, "city_box"), 500.0)
-    sums = proximity.ball_sums(centres, points, 500.0).select("key", "bin", F.col("weight").alias("n"))
-    size = sums.where("bin < 10").groupBy("key").agg(F.sum("n").alias("size")).where("size >= 5")
-    want = binned.join(m.where(F.col("region") == region).select("venue"), "venue", "left_semi").groupBy("bin").agg(F.count(F.lit(1)).alias("w"))
-    total = want.where("bin < 10").agg(F.sum("w").alias("tw"))
-    both = sums.join(size, "key").join(F.broadcast(want.join(total)), "bin", "left")
-    p, q = F.col("n") / F.col("size"), F.coalesce(F.col("w") / F.col("tw"), F.lit(0.0))
-    # query bins that a circle lacks add q ln 2 / 2 each, which is the whole query mass less the shared one
+    code = F.col("dim") * BINS + F.when(span > 0, F.least(F.floor((F.col("x") - F.col("lo")) / span * BINS), F.lit(BINS - 1))).otherwise(BINS - 1).cast("int")
+    return flat.join(support, "dim").select("city", "venue", code.cast("int").alias("bin"))
+
+
+def _asked(spark: SparkSession, d: str, members: DataFrame) -> DataFrame:
+    """(district, region): the region of each district with at least 20 described venues whose number is nearest to 150, ties by name; without such, the nearest to 150 of all."""
+    n = members.groupBy("district", "region").agg(F.count_distinct("venue").alias("n"))
+    best = n.groupBy("district").agg(F.min(F.struct((F.col("n") < 20).alias("few"), F.abs(F.col("n") - 150).alias("off"), "region")).alias("b"))
+    return best.select("district", F.col("b.region").alias("region"))
+
+
+def _circle_distances(spark: SparkSession, d: str, theta: list[float] | None = None) -> DataFrame:
+    """(district, city, radius, key, lng, lat, venues, distance) of every circle against the asked region of every district.
+
+    The distance is the sum over the features, weighted by ``theta`` (all 1 by default), of the divergence of the circle's and the
+    region's histograms. Circles are counted once for all districts; only sums per circle and bin leave a task.
+    """
+    binned = cut(_binned(spark, d))
+    members = cut(_members(spark, d).select("district", "region", "venue").distinct())
+    asked = members.join(_asked(spark, d, members), ["district", "region"])
+    weight = lambda c: F.lit(1.0) if theta is None else F.get(F.array(*[F.lit(float(t)) for t in theta]), F.floor(F.col(c) / BINS).cast("int"))
+    want = asked.join(binned.select("venue", "bin"), "venue").groupBy("district", "bin").agg(F.count(F.lit(1)).alias("w"))
+    total = asked.groupBy("district").agg(F.count(F.lit(1)).alias("tw"))
+    want = cut(want.join(total, "district").withColumn("q", F.col("w") / F.col("tw")).withColumn("t", weight("bin")))
+    mass = want.groupBy("district").agg(F.sum(F.col("q") * F.col("t")).alias("mass"))
+    points = cut(binned.join(places(spark, d, "lng", "lat").withColumnRenamed("id", "venue"), "venue").select("lng", "lat", "bin", F.lit(1).alias("n")))
     h = lambda x: F.when(x > 0, -x * F.log(x)).otherwise(0.0)
-    per = both.groupBy("key").agg(F.sum(h((p + q) / 2) - (h(p) + h(q)) / 2).alias("s"), F.sum(q).alias("met"), F.count(F.lit(1)).alias("bins"))
-    dist = per.withColumn("distance", F.round(F.col("s") + (len(ft.MEASURES) - F.col("met")) * (np.log(2) / 2), 6))
-    rows = dist.join(centres, "key").select("city", "key", (F.col("lng") * 111_195 * F.cos(F.radians("lat"))).alias("x"), (F.col("lat") * 111_195).alias("y"), F.lit(500.0).alias("radius"), "distance")
-    return regions.disjoint_circles(rows, ["city"]).select("city", "key", "rank", "radius", "distance")
+    out = None
+    for radius in RADII:
+        centres = cut(proximity.on_shared_tiles(regions.circle_centres(table(spark, d, "city_box"), radius), points, radius))
+        sums = cut(proximity.ball_sums(centres, points, radius).select("key", "bin", F.col("near").alias("n")))
+        size = sums.where(F.col("bin") < BINS).groupBy("key").agg(F.sum("n").alias("venues")).where(F.col("venues") >= LEAST_VENUES)
+        both = sums.join(size, "key").join(F.broadcast(mass)).join(F.broadcast(want.select("district", "bin", "q")), ["district", "bin"], "left")
+        p, q = F.col("n") / F.col("venues"), F.coalesce("q", F.lit(0.0))
+        # bins of the region that a circle lacks add q ln 2 / 2 each: all its mass less the shared one
+        per = both.groupBy("district", "key", "venues", "mass").agg(
+            F.sum(weight("bin") * (h((p + q) / 2) - (h(p) + h(q)) / 2)).alias("s"), F.sum(q * weight("bin")).alias("met")
+        )
+        found = per.withColumn("distance", F.round(F.col("s") + (F.col("mass") - F.col("met")) * (np.log(2) / 2), 6)).join(centres, "key")
+        found = found.select("district", "city", F.lit(radius).alias("radius"), "key", "lng", "lat", "venues", "distance")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_CIRCLES = with_(_F) + f""", u as (select city, venue, dim, x from (select city, venue, dim, case when dim = 17 then x when s > 1e-12 then (x - m) / s else 0 end as x from (select u.*, avg(x) over (partition by city, dim) as m, stddev_pop(x) over (partition by city, dim) as s
+ from (select city, venue, i - 1 as dim, case when i <= 3 then case when f[i] > 0 then ln(f[i]) else 0 end else f[i] end as x from ff, range(1, 32) r(i) where i <> 6) u))),
+k as (select distinct dim, dense_rank() over (order by dim) - 1 as k from (select distinct dim from u)), lim as (select dim, min(x) as lo, max(x) as hi from u group by dim),
+bn as materialized (select city, venue, k * 10 + case when hi > lo then least(floor((x - lo) / (hi - lo) * 10), 9) else 9 end as bin from u join lim using (dim) join k using (dim)),
+loc as (select distinct _id as venue, loc.lng as lng, loc.lat as lat from venue where _id is not null and loc.lng between -180 and 180 and loc.lat between -90 and 90),
+g as (select district, concat_ws('/', district, city, region_no) as region, ring from gold_region), e as (select region, unnest(ring) as p, unnest(list_concat([ring[len(ring)]], ring[1:len(ring)-1])) as q from g),
+inr as (select region, venue from (select region, venue, sum(case when ((q.lat > lat) <> (p.lat > lat)) and lng < (p.lng - q.lng) * (lat - q.lat) / (p.lat - q.lat) + q.lng then 1 else 0 end) as n from loc, e group by region, venue, lng, lat) where n % 2 = 1),
+mem as (select distinct split_part(region, '/', 1) as district, region, venue from inr where venue in (select venue from bn)),
+ask as (select district, region from (select district, region, row_number() over (partition by district order by count(*) < 20, abs(count(*) - 150), region) as r from mem group by district, region) where r = 1),
+wn as (select district, bin, count(*) as w from mem join ask using (district, region) join bn using (venue) group by district, bin), tw as (select district, count(*) as tw from mem join ask using (district, region) group by district),
+rad as (select unnest([200.0, 275.0, 350.0, 425.0, 500.0])::double as radius),
+ax as (select city, radius, lng_bl, lat_bl, lng_ur, lat_ur, radius / 3 / 111195.0 as st from city_box, rad),
+cen as (select city, radius, lat_bl + i * st as lat, lng_bl + j * (st / cos(radians((lat_bl + lat_ur) / 2))) as lng, concat_ws('/', city, i, j) as key from ax, range(0, 700) a(i), range(0, 1400) b(j)
+ where i <= floor((lat_ur - lat_bl) / st) and j <= floor((lng_ur - lng_bl) / (st / cos(radians((lat_bl + lat_ur) / 2))))),
+pts as materialized (select venue, lng, lat from loc where venue in (select venue from bn)),
+inn as materialized (select a.city, radius, key, a.lng, a.lat, b.venue from cen a join pts b on floor(a.lat * 100) - floor(b.lat * 100) between -1 and 1 and abs(a.lat - b.lat) < 0.005 and {_NEAR_M} <= radius),
+sz as (select city, radius, key, count(distinct venue) as venues from inn group by all having count(distinct venue) >= 5),
+hs as materialized (select inn.city, radius, key, bn.bin, count(*) as n, any_value(venues) as venues from inn join sz using (city, radius, key) join bn using (venue) group by inn.city, radius, key, bn.bin),
+jj as (select district, city, radius, key, bin, n / venues as p, coalesce(w / tw, 0) as q from (select hs.*, tw.district, tw.tw, wn.w from hs cross join tw left join wn on wn.district = tw.district and wn.bin = hs.bin)),
+dd as (select district, city, radius, key, sum(-(p + q) / 2 * ln((p + q) / 2) - (-p * ln(p) + case when q > 0 then -q * ln(q) else 0 end) / 2) as s, sum(q) as met from jj group by all),
+ds as (select *, round(s + ((select count(*) from k) - met) * ln(2) / 2, 6) as distance from dd)
+"""
+
+
+@query(_CIRCLES + "select district, city, radius, min(distance) as distance, count(*) as circles from ds group by district, city, radius")
+def circle_search_best(spark: SparkSession, d: str) -> DataFrame:
+    """The best circle of each radius in each city for the region asked of each district, among how many with five venues."""
+    found = _circle_distances(spark, d)
+    return found.groupBy("district", "city", "radius").agg(F.min("distance").alias("distance"), F.count(F.lit(1)).alias("circles"))
+
+
+@query()
+def region_circle_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five best disjoint circles of any radius in each city for the region asked of each district."""
+    found = _circle_distances(spark, d)
+    x, y = F.col("lng") * 111_195 * F.cos(F.radians("lat")), F.col("lat") * 111_195
+    rows = found.select("district", "city", F.concat_ws("/", "key", F.col("radius").cast("int")).alias("key"), x.alias("x"), y.alias("y"), "radius", "distance")
+    return regions.disjoint_circles(rows, ["district", "city"]).select("district", "city", "key", "rank", "radius", "distance")
 
 
 @query()
