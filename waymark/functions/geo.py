@@ -20,6 +20,19 @@ def haversine_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colum
     return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+def geodesic_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
+    """Metres along the ellipsoid by Andoyer's formula, first order in the flattening: right to some 1e-5 but for nearly antipodal points."""
+    f, g, half = F.radians((lat1 + lat2) / 2), F.radians((lat1 - lat2) / 2), F.radians((lng1 - lng2) / 2)
+    sq = lambda x: x * x
+    s = sq(F.sin(g)) * sq(F.cos(half)) + sq(F.cos(f)) * sq(F.sin(half))
+    c = sq(F.cos(g)) * sq(F.cos(half)) + sq(F.sin(f)) * sq(F.sin(half))
+    w = F.atan2(F.sqrt(s), F.sqrt(c))
+    r = F.sqrt(s * c) / w
+    up, down = (3 * r - 1) / (2 * c), (3 * r + 1) / (2 * s)
+    bent = 1 + WGS84_F * up * sq(F.sin(f)) * sq(F.cos(g)) - WGS84_F * down * sq(F.cos(f)) * sq(F.sin(g))
+    return F.when((s == 0) | (w == 0), 0.0).otherwise(2 * w * WGS84_A * bent)
+
+
 def geocentric(lat: Column, lng: Column, height: float = 0.0) -> tuple[Column, Column, Column]:
     """Earth-centred coordinates of a point on the ellipsoid."""
     p, q = F.radians(lat), F.radians(lng)

@@ -122,6 +122,17 @@ def gravity(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return off
 
 
+def pair_moments(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, pairs, mean_d2): the number of pairs of a key's points and their mean squared distance.
+
+    Half the sum of all squared pair distances is n times the squares about the mean, so no pair is formed; null coordinates are left out.
+    """
+    some = rows.dropna(subset=[key, x, y])
+    per = some.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"))
+    n = F.col("_n")
+    return per.where(n > 1).select(key, (n * (n - 1) / 2).cast("bigint").alias("pairs"), (2 * n / (n - 1) * (F.col("_vx") + F.col("_vy"))).alias("mean_d2"))
+
+
 def category_summary(venues: DataFrame, categories: DataFrame, depth: int) -> DataFrame:
     """(category, name, venues, likes, share): venues and likes of each category, rolled up to its ancestor at ``depth``.
 

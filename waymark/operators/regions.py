@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.lineage import cut
 from waymark.operators.graph import components
-from waymark.operators.proximity import ball_sums, located, near_spots
+from waymark.operators.proximity import ball_sums, located, near_spots, points_in_regions
 
 
 def density_clusters(points: DataFrame, eps_m: float, least: int) -> DataFrame:
@@ -183,27 +183,104 @@ def cluster_f1(labels: np.ndarray, rows: list, golds: list[set], beta: float = 2
     return float(np.mean(scores)) if scores else 0.0
 
 
+def greedy_choice(candidates: DataFrame, want: dict[int, int], k: int, bins: int, share: float = 1.0, seed: int = 1, theta: list[float] | None = None) -> DataFrame:
+    """(venue, step, distance): k candidates chosen one by one, each the one that brings the histogram of all chosen nearest to ``want``.
+
+    ``candidates``: venue and bins, one number (dimension times ``bins`` plus bin) per dimension; ``want``: bin number
+    to count. What adding a venue costs depends on its bins alone, so a step is one table of (dimension, bin) costs
+    and one pass over the candidates for the smallest sum; ties by venue. With ``share`` below 1 a seeded random part of
+    the candidates stands for election in each step.
+    """
+    spark = candidates.sparkSession
+    dims = max(want, default=-1) // bins + 1
+    goal = np.zeros((dims, bins))
+    for b, n in want.items():
+        goal[divmod(b, bins)] += n
+    goal /= np.maximum(1, goal.sum(1, keepdims=True))
+    weight = np.ones(dims) if theta is None else np.asarray(theta, dtype=float)
+    entropy = lambda p: -np.where(p > 0, p * np.log(np.where(p > 0, p, 1)), 0).sum(-1)
+    have, out = np.zeros((dims, bins)), []
+    for step in range(1, k + 1):
+        # cost[dim, bin]: the divergence of the dimension once a venue of that bin is added
+        p = (have[:, None, :] + np.eye(bins)[None]) / step
+        cost = weight[:, None] * (entropy((p + goal[:, None, :]) / 2) - (entropy(p) + entropy(goal)[:, None]) / 2)
+        table = F.array(*[F.lit(float(x)) for x in cost.ravel()])
+        rest = candidates.where(~F.col("venue").isin([v for v, _, _ in out])) if out else candidates
+        if share < 1:
+            rest = rest.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "venue"), F.lit(1_000_000)) < share * 1_000_000)
+        total = F.aggregate("bins", F.lit(0.0), lambda s, b: s + F.get(table, b))
+        best = rest.select(F.round(total, 9).alias("d"), "venue", "bins").groupBy().agg(F.min(F.struct("d", "venue", "bins")).alias("b")).first()["b"]
+        if best is None:
+            break
+        out.append((best["venue"], step, best["d"]))
+        for b in best["bins"]:
+            have[divmod(b, bins)] += 1
+    return spark.createDataFrame(out, "venue string, step int, distance double")
+
+
+def joined_shapes(shapes: DataFrame, points: DataFrame) -> DataFrame:
+    """(part, shapes, points): shapes that share a point, directly or through others, made one, with the points inside any of them.
+
+    ``shapes``: region and ring, ``points``: key, lng, lat. The union is that of the point sets: two shapes
+    belong together if a point lies in both, so outlines that only overlap in empty ground stay apart.
+    """
+    inside = cut(points_in_regions(points.select("key", "lng", "lat"), shapes).distinct())
+    first = inside.groupBy("key").agg(F.min("region").alias("a"))
+    links = inside.join(first, "key").where(F.col("a") < F.col("region")).select("a", F.col("region").alias("b")).distinct()
+    labels = components(inside.select(F.col("region").alias("node")).distinct(), links)
+    named = inside.join(labels, inside["region"] == labels["node"]).select(F.col("label").alias("part"), "region", "key")
+    return named.groupBy("part").agg(F.count_distinct("region").alias("shapes"), F.count_distinct("key").alias("points"))
+
+
+def distance_surface(circles: DataFrame, keys: list[str], k: int = 100, power: float = 2.0) -> DataFrame:
+    """(keys, ix, iy, distance): distances of circles (keys, x, y, distance) interpolated on a k x k grid between their extremes.
+
+    Inverse-distance weights over the circles in a cell and its eight neighbours; cells without such circles have no row.
+    """
+    ends = circles.groupBy(*keys).agg(*[f(c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+    rows = circles.join(ends, keys)
+    step = {c: (F.col(f"_hi{c}") - F.col(f"_lo{c}")) / (k - 1) for c in "xy"}
+    place = {c: F.when(step[c] > 0, F.round((F.col(c) - F.col(f"_lo{c}")) / step[c])).otherwise(0).cast("int") for c in "xy"}
+    near = F.array(*[F.struct((place["x"] + i).alias("ix"), (place["y"] + j).alias("iy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    spread = rows.withColumn("_c", F.explode(near)).where(F.col("_c.ix").between(0, k - 1) & F.col("_c.iy").between(0, k - 1))
+    off = {c: F.col(c) - F.col(f"_lo{c}") - F.col(f"_c.i{c}") * step[c] for c in "xy"}
+    weight = 1 / F.greatest(F.pow(F.sqrt(off["x"] * off["x"] + off["y"] * off["y"]), F.lit(power)), F.lit(1e-6))
+    return spread.groupBy(*keys, F.col("_c.ix").alias("ix"), F.col("_c.iy").alias("iy")).agg((F.sum(F.col("distance") * weight) / F.sum(weight)).alias("distance"))
+
+
 def random_hexagon(rng: np.random.Generator, x: float, y: float, sides: int = 6) -> np.ndarray:
-    """A random convex polygon of radius 150 to 600 m around a point."""
-    radius = rng.uniform(150, 600)
-    angles = np.sort((np.arange(sides) + rng.uniform(-0.3, 0.3, sides)) * 2 * math.pi / sides)
+    """The convex hull of corners around a point, each with its own radius of 150 to 600 m and a jittered angle."""
+    radius = rng.integers(150, 601, sides)
+    angles = (np.arange(sides) + rng.uniform(-0.16, 0.15, sides)) * 2 * math.pi / sides
     return hull(np.column_stack([x + radius * np.cos(angles), y + radius * np.sin(angles)]))
 
 
-def random_baseline(xy: np.ndarray, golds: list[set], draws: int = 100, top: int = 5, seed: int = 1) -> list[float]:
-    """Gains of ``top`` disjoint random polygons per draw, by their likeness to the gold sets of row numbers."""
+def weighted_index(rng: np.random.Generator, weights: np.ndarray) -> int:
+    """A random row number, row k with the probability of its weight."""
+    sums = np.cumsum(weights)
+    return int(np.searchsorted(sums, rng.uniform(0, sums[-1]), "right"))
+
+
+def random_baseline(xy: np.ndarray, golds: list[set], weights: np.ndarray | None = None, draws: int = 100, top: int = 5, seed: int = 1, least: int = 20, most: int = 750, tries: int = 10_000) -> list[float]:
+    """Gains of ``top`` disjoint random polygons per draw, by their likeness to the gold sets of row numbers.
+
+    Polygons are laid around venues drawn by weight; one counts if more than ``least`` and fewer than
+    ``most`` venues lie in it and none of these in an earlier one. A draw ends early after ``tries`` polygons.
+    """
     rng, out = np.random.default_rng(seed), []
+    weights = np.ones(len(xy)) if weights is None else weights
     for _ in range(draws):
         used: set = set()
-        score = 0.0
-        for rank in range(1, top + 1):
-            for _ in range(100):
-                ring = random_hexagon(rng, *xy[rng.integers(len(xy))])
-                rows = set(np.flatnonzero(hull_distance(ring, xy) == 0).tolist())
-                if rows and not rows & used:
-                    used |= rows
-                    rel = max((len(rows & g) / len(rows | g) for g in golds), default=0.0)
-                    score += rel * rel / math.log2(rank + 1)
-                    break
+        score, rank = 0.0, 1
+        for _ in range(tries):
+            if rank > top:
+                break
+            ring = random_hexagon(rng, *xy[weighted_index(rng, weights)])
+            rows = set(np.flatnonzero(hull_distance(ring, xy) == 0).tolist())
+            if least < len(rows) < most and not rows & used:
+                used |= rows
+                rel = max((len(rows & g) / len(rows | g) for g in golds), default=0.0)
+                score += rel * rel / math.log2(rank + 1)
+                rank += 1
         out.append(score)
     return out

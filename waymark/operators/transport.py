@@ -8,6 +8,7 @@ from itertools import permutations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from waymark.lineage import fresh
 
@@ -76,6 +77,61 @@ def mahalanobis(inverse: np.ndarray) -> Callable:
     return lambda x, y: euclidean(x @ factor, y @ factor)
 
 
+def venue_weights(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds ``w``: each row's share of the scaled fifth root of ``value`` in its group, at least 1e-6.
+
+    The root is scaled to 0 ... 1 between the group's extremes; a group of equal values weighs 1e-6 each. Negative and null values count as 0.
+    """
+    root = F.pow(F.greatest(F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.2))
+    rooted = rows.withColumn("_u", root)
+    bounds = rooted.groupBy(*keys).agg(F.min("_u").alias("_lo"), F.sum("_u").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    share = F.try_divide(F.col("_u") - F.col("_lo"), F.col("_s") - F.col("_n") * F.col("_lo"))
+    joined = rooted.join(bounds, keys)
+    return joined.withColumn("w", F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(1e-6))).drop("_u", "_lo", "_s", "_n")
+
+
+#: Names of the distances between regions that ``region_distance`` takes.
+METRICS = ("jsd", "emd", "partial", "cluster")
+
+
+def region_distance(metric: str, x: np.ndarray, y: np.ndarray, wx: np.ndarray | None = None, wy: np.ndarray | None = None, theta: np.ndarray | None = None, support: np.ndarray | None = None) -> float:
+    """The distance of two regions' venue vectors by name.
+
+    ``jsd``: weighted divergence of their histograms in ten bins between ``support`` (2 rows: least and largest);
+    ``emd``: least cost of moving all mass, ``partial``: of 0.8 of it; ``cluster``: cheapest assignment of
+    three weighted centroids of each (k-means from the three vectors farthest apart). ``theta`` weighs the features.
+    """
+    wx, wy = (np.ones(len(v)) if w is None else w for v, w in ((x, wx), (y, wy)))
+    if metric == "jsd":
+        lo, hi = support if support is not None else (np.minimum(x.min(0), y.min(0)), np.maximum(x.max(0), y.max(0)))
+        span = np.where(hi > lo, hi - lo, 1.0)
+        total = 0.0
+        for k in range(x.shape[1]):
+            shares = []
+            for v, w in ((x, wx), (y, wy)):
+                at = np.minimum((v[:, k] - lo[k]) / span[k] * 10, 9).astype(int) if hi[k] > lo[k] else np.full(len(v), 9)
+                shares.append(np.bincount(np.maximum(at, 0), w, 10) / w.sum())
+            h = [-(s[s > 0] * np.log(s[s > 0])).sum() for s in (*shares, (shares[0] + shares[1]) / 2)]
+            total += (1.0 if theta is None else theta[k]) * (h[2] - (h[0] + h[1]) / 2)
+        return float(total)
+    if metric in ("emd", "partial"):
+        return moved(euclidean(x, y, theta), wx, wy, 1.0 if metric == "emd" else 0.8)
+    if metric == "cluster":
+        return best_assignment(euclidean(_three_centroids(x, wx), _three_centroids(y, wy), theta))
+    raise ValueError(f"unknown metric {metric}; known are {', '.join(METRICS)}")
+
+
+def _three_centroids(v: np.ndarray, w: np.ndarray, steps: int = 20) -> np.ndarray:
+    centres = [v[0]]
+    for _ in range(2):
+        centres.append(v[np.min([((v - c) ** 2).sum(1) for c in centres], axis=0).argmax()])
+    centres = np.array(centres)
+    for _ in range(steps):
+        label = ((v[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.array([(v[label == k] * w[label == k, None]).sum(0) / w[label == k].sum() if (label == k).any() else centres[k] for k in range(3)])
+    return centres
+
+
 def best_assignment(cost: np.ndarray) -> float:
     """Mean cost of the cheapest one-to-one assignment of k clusters (k small: all orders are tried)."""
     k = len(cost)

@@ -12,7 +12,7 @@ from waymark.functions.stats import jensen_shannon
 from waymark.functions.text import letters
 from waymark.lineage import cut, fresh
 from waymark.operators import features as ft
-from waymark.operators import grids, knn, proximity, regions, scan, transport
+from waymark.operators import grids, knn, learning, proximity, regions, scan, transport
 from waymark.operators.profiles import score_table
 from waymark.plans.common import L, places, with_
 from waymark.sources.tables import table
@@ -265,10 +265,8 @@ def kmeans_centroids(rows: DataFrame, k: int = 3, steps: int = 5, tries: int = 5
 def cluster_kmeans_distance(spark: SparkSession, d: str) -> DataFrame:
     """Cheapest assignment of the weighted centroids of three k-means clusters of all venues of one city to those of every city; weights are shares of the scaled fifth root of the venues' users."""
     z = _z(spark, d).select("city", F.col("venue").alias("id"), F.col("z").alias("v"))
-    users = _features(spark, d).select("city", F.col("venue").alias("id"), F.pow(F.greatest(F.get("f", 1), F.lit(0.0)), 0.2).alias("u"))
-    bounds = users.groupBy("city").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.sum("u").alias("s"), F.count(F.lit(1)).alias("n"))
-    share = F.greatest(F.coalesce(F.try_divide(F.col("u") - F.col("lo"), F.col("s") - F.col("n") * F.col("lo")), F.lit(0.0)), F.lit(1e-6))
-    weights = users.join(F.broadcast(bounds), "city").select("city", "id", share.alias("w"))
+    users = _features(spark, d).select("city", F.col("venue").alias("id"), F.get("f", 1).alias("users"))
+    weights = transport.venue_weights(users, ["city"], "users").select("city", "id", "w")
     c = kmeans_centroids(z.join(weights, ["city", "id"]))
     if FROM not in c:
         return spark.createDataFrame([], "city string, distance double")
@@ -276,6 +274,14 @@ def cluster_kmeans_distance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, round(float(cost(b)), 6)) for n, b in sorted(c.items())], "city string, distance double")
 
 
+@query(with_(_F) + """, u as (select city, venue, pow(greatest(f[2], 0), 0.2) as u from ff), b as (select city, min(u) as lo, sum(u) as s, count(*) as n from u group by city)
+select city, venue, round(greatest(coalesce((u - lo) / nullif(s - n * lo, 0), 0), 1e-6), 9) as w from u join b using (city)""")
+def venue_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The weight of each venue in its city by the fifth root of its users."""
+    users = _features(spark, d).select("city", "venue", F.get("f", 1).alias("users"))
+    return transport.venue_weights(users, ["city"], "users").select("city", "venue", F.round("w", 9).alias("w"))
+
+
 def _members(spark: SparkSession, d: str) -> DataFrame:
     """(region, district, venue, z) of the venues in each gold region that have features."""
     gold = table(spark, d, "gold_region").select(F.concat_ws("/", "district", "city", "region_no").alias("region"), "ring")
@@ -431,6 +437,52 @@ def region_circle_search(spark: SparkSession, d: str) -> DataFrame:
     return regions.disjoint_circles(rows, ["district", "city"]).select("district", "city", "key", "rank", "radius", "distance")
 
 
+@query(_CIRCLES.split("rad as (select")[0] + """al as (select mem.*, count(*) over (partition by region) as rn from mem), rb as (select district, region, rn, bin, count(*) as n from al join bn using (venue) group by all),
+rp as (select distinct a.district, a.region as a, b.region as b from mem a join mem b on a.district = b.district and a.region < b.region), bb as (select distinct bin, cast(floor(bin / 10) as int) as k from bn),
+jv as (select rp.a, rp.b, bb.k, coalesce(x.n / x.rn, 0) as p, coalesce(y.n / y.rn, 0) as q from rp cross join bb left join rb x on x.region = rp.a and x.bin = bb.bin left join rb y on y.region = rp.b and y.bin = bb.bin)
+select a, b, cast(k as int) as dim, round(sum(case when p + q > 0 then -(p + q) / 2 * ln((p + q) / 2) else 0 end - (case when p > 0 then -p * ln(p) else 0 end + case when q > 0 then -q * ln(q) else 0 end) / 2), 6) as jsd from jv group by a, b, k""")
+def region_divergences(spark: SparkSession, d: str) -> DataFrame:
+    """The divergence of each feature between every two gold regions of a district (about 50 regions): the vectors that weights are learned from."""
+    binned = cut(_binned(spark, d).select("venue", "bin"))
+    members = cut(_members(spark, d).select("district", "region", "venue").distinct())
+    size = members.groupBy("region").agg(F.count(F.lit(1)).alias("rn"))
+    per = members.join(binned, "venue").groupBy("region", "bin").agg(F.count(F.lit(1)).alias("n")).join(size, "region").select("region", "bin", (F.col("n") / F.col("rn")).alias("p"))
+    pairs = _region_pairs(members).join(F.broadcast(binned.select("bin").distinct()))
+    side = lambda c, n: per.select(F.col("region").alias(c), "bin", F.col("p").alias(n))
+    both = pairs.join(side("a", "p"), ["a", "bin"], "left").join(side("b", "q"), ["b", "bin"], "left").fillna(0.0, ["p", "q"])
+    return both.groupBy("a", "b", F.floor(F.col("bin") / BINS).cast("int").alias("dim")).agg(F.round(jensen_shannon(F.col("p"), F.col("q")), 6).alias("jsd"))
+
+
+@query()
+def learned_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Feature weights learned from the regions of each district, once without each region: by bounded least squares, with the lengths of the region's vectors under them and under equal weights."""
+    v = region_divergences(spark, d).groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "jsd"))), lambda x: x["jsd"]).alias("v"))
+    pairs = v.orderBy("a", "b").collect()
+    names = sorted({r[c] for r in pairs for c in "ab"})
+    schema = "region string, theta array<double>, learned double, equal double"
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    rows = np.array([r["v"] for r in pairs])
+    own = {n: np.array([n in (r["a"], r["b"]) for r in pairs]) for n in names}
+    found = learning.leave_one_out(lambda keep: learning.bounded_weights(rows[keep] if keep.any() else rows), len(names), lambda k: own[names[k]], rows)
+    return spark.createDataFrame([(n, [round(float(x), 6) for x in w], round(a, 6), round(b, 6)) for n, (w, a, b) in zip(names, found)], schema)
+
+
+@query()
+def greedy_venues(spark: SparkSession, d: str) -> DataFrame:
+    """For the region asked of each district the eight venues of another city whose joint histogram comes nearest to it, chosen one by one."""
+    binned = cut(_binned(spark, d))
+    members = cut(_members(spark, d).select("district", "region", "venue").distinct())
+    asked = members.join(_asked(spark, d, members), ["district", "region"])
+    cand = cut(binned.where(F.col("city") == TO).groupBy("venue").agg(F.array_sort(F.collect_list("bin")).alias("bins")))
+    out = None
+    for district in [r[0] for r in asked.select("district").distinct().orderBy("district").collect()]:
+        want = asked.where(F.col("district") == district).join(binned.select("venue", "bin"), "venue").groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+        chosen = regions.greedy_choice(cand, {r["bin"]: r["n"] for r in want.collect()}, 8, BINS).withColumn("district", F.lit(district))
+        out = chosen if out is None else out.unionByName(chosen)
+    return out if out is not None else spark.createDataFrame([], "venue string, step int, distance double, district string")
+
+
 @query()
 def region_search(spark: SparkSession, d: str) -> DataFrame:
     """The five best disjoint venue sets of each city for a gold region: neighbours in feature space, density clusters of them, grown hulls, earth mover's distance."""

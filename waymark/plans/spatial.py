@@ -9,6 +9,7 @@ from waymark.functions import geo
 from waymark.functions.clock import hour_chunk
 from waymark.functions.text import letters
 from waymark.operators import grids, proximity, scan
+from waymark.operators.profiles import pair_moments
 from waymark.plans.activity import r6
 from waymark.plans.common import L, P, T, V, places, shots, tagged, visits, with_
 from waymark.sources.tables import table
@@ -203,6 +204,52 @@ def venue_density(spark: SparkSession, d: str) -> DataFrame:
     return s.join(F.broadcast(most)).select(F.col("key").alias("venue"), "near", F.round(F.col("weight") / F.col("_m"), 6).alias("density"))
 
 
+PEAK_CELLS = 128
+
+
+@query(with_(L) + f""", q as materialized (select * from l where lng between -180 and 180 and lat between -90 and 90),
+ends as (select c.city, min(lng) as x0, max(lng) as x1, min(lat) as y0, max(lat) as y1 from q join city_box c on lat between lat_bl and lat_ur and lng between lng_bl and lng_ur group by c.city),
+a as (select city, x0 + (x1 - x0) * i / 127 as lng, y0 + (y1 - y0) * j / 127 as lat from ends, range(0, 128) r(i), range(0, 128) s(j)),
+j as (select city, a.lng, a.lat, {_DIST} as m from a join q b on floor(a.lat * 100) - floor(b.lat * 100) between -1 and 1 and b.lat between a.lat - 0.0081 and a.lat + 0.0081),
+k as (select city, lng, lat, sum(exp(-m * m / 61250)) as w from j where m <= 875 group by city, lng, lat) select city, round(max(w), 6) as peak from k group by city""")
+def density_peak(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest kernel density of venues on a grid of 128 x 128 points over each city's venues, unnormalised."""
+    rows = places(spark, d, "lng", "lat")
+    box = table(spark, d, "city_box").select("city", "lat_bl", "lng_bl", "lat_ur", "lng_ur")
+    inside = F.col("lat").between(F.col("lat_bl"), F.col("lat_ur")) & F.col("lng").between(F.col("lng_bl"), F.col("lng_ur"))
+    ends = rows.join(box, inside).groupBy("city").agg(*[f(c).alias(f"{n}{c}") for c in ("lng", "lat") for n, f in (("lo", F.min), ("hi", F.max))])
+    steps = F.sequence(F.lit(0), F.lit(PEAK_CELLS - 1))
+    grid = ends.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    at = lambda c, k: F.col(f"lo{c}") + (F.col(f"hi{c}") - F.col(f"lo{c}")) * F.col(k) / (PEAK_CELLS - 1)
+    centres = grid.select(F.struct("city", "i", "j").alias("key"), at("lng", "i").alias("lng"), at("lat", "j").alias("lat"))
+    centres = centres.withColumn("key", F.concat_ws("/", "key.city", "key.i", "key.j"))
+    points = rows.select("lng", "lat", F.lit(0).alias("bin"), F.lit(1).alias("n"))
+    sums = proximity.ball_sums(proximity.on_shared_tiles(centres, points, 875.0), points, 875.0, 2 * 175.0**2)
+    return sums.groupBy(F.split_part("key", F.lit("/"), F.lit(1)).alias("city")).agg(F.round(F.max("weight"), 6).alias("peak"))
+
+
+@query(with_(L) + """, q as (select id, cat, lng, lat from l where cat is not null and lng is not null and lat is not null)
+select a.cat, count(*) as pairs, round(avg(pow(a.lng - b.lng, 2) + pow(a.lat - b.lat, 2)), 6) as mean_d2 from q a join q b on a.cat = b.cat and (a.id, a.lng, a.lat) < (b.id, b.lng, b.lat) group by a.cat""")
+def category_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The mean squared distance, in degrees, of all pairs of venues of one category."""
+    rows = places(spark, d, "cat", "lng", "lat")
+    return pair_moments(rows, "cat", "lng", "lat").select("cat", "pairs", F.round("mean_d2", 6).alias("mean_d2"))
+
+
+@query("""with q as (select distinct _id as venue, loc.lng as x1, loc.lat as y1, (lat_bl + lat_ur) / 2 as y2, (lng_bl + lng_ur) / 2 as x2 from venue v
+ join city_box c on c.city = nullif(regexp_replace(lower(v.city), '[^a-z]', '', 'g'), '') where _id is not null and loc.lng between -180 and 180 and loc.lat between -90 and 90),
+r as (select *, radians((y1 + y2) / 2) as f, radians((y1 - y2) / 2) as g, radians((x1 - x2) / 2) as h from q),
+s as (select *, pow(sin(g) * cos(h), 2) + pow(cos(f) * sin(h), 2) as s, pow(cos(g) * cos(h), 2) + pow(sin(f) * sin(h), 2) as c from r),
+w as (select *, atan(sqrt(s / c)) as w, sqrt(s * c) / atan(sqrt(s / c)) as r from s where s > 0)
+select venue, round(2 * w * 6378137.0 * (1 + (3 * r - 1) / (2 * c) / 298.257223563 * pow(sin(f) * cos(g), 2) - (3 * r + 1) / (2 * s) / 298.257223563 * pow(cos(f) * sin(g), 2)), 3) as metres from w""")
+def geodesic_to_centre(spark: SparkSession, d: str) -> DataFrame:
+    """Metres along the ellipsoid from each venue to the middle of its city's box."""
+    v = table(spark, d, "venue").select(F.col("_id").alias("venue"), letters(F.col("city")).alias("city"), F.col("loc.lng").alias("lng"), F.col("loc.lat").alias("lat"))
+    v = proximity.located(v.dropna()).join(table(spark, d, "city_box"), "city")
+    metres = geo.geodesic_m(F.col("lng"), F.col("lat"), (F.col("lng_bl") + F.col("lng_ur")) / 2, (F.col("lat_bl") + F.col("lat_ur")) / 2)
+    return v.select("venue", F.round(metres, 3).alias("metres")).where("metres > 0").distinct()
+
+
 @query("""with q as (select distinct _id as venue, loc.lng as lng, loc.lat as lat, (lat_bl + lat_ur) / 2 as lat0, (lng_bl + lng_ur) / 2 as lng0 from venue v
  join city_box c on c.city = nullif(regexp_replace(lower(v.city), '[^a-z]', '', 'g'), '') where _id is not null and loc.lng between -180 and 180 and loc.lat between -90 and 90),
 n as (select *, 6378137.0 as a, 1 / 298.257223563 as f from q), e as (select *, f * (2 - f) as e2 from n),
