@@ -79,3 +79,21 @@ def to_city_time(utc: Column, zone: Column) -> Column:
 def to_utc(local: Column, zone: Column) -> Column:
     """The UTC reading of a city's wall-clock reading (both zone-free)."""
     return F.convert_timezone(zone, F.lit("UTC"), local)
+
+
+# Names of the weekdays and of the 8-hour shifts.
+DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+SHIFTS = ["morning", "afternoon", "evening"]
+
+
+def bin_labels(kind: str, chunk: int = 3, offset: int = 0) -> list[str]:
+    """Labels of the bins of ``kind``: ``day`` (slices of ``chunk`` hours from ``offset``), ``week`` (weekdays) or ``mix`` (weekday and shift)."""
+    if kind == "day":
+        if 24 % chunk:
+            raise ValueError("the chunk must divide 24")
+        return [f"{h % 24}:00--{(h + chunk) % 24}:00" for h in range(offset, 24 + offset, chunk)]
+    if kind == "week":
+        return list(DAYS)
+    if kind == "mix":
+        return [f"{day} {shift}" for day in DAYS for shift in SHIFTS]
+    raise ValueError(f"unknown kind {kind}")

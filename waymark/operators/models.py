@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.lineage import cut
+
 
 def time_patterns(profiles: DataFrame, key: str, bins: int, k: int = 5, runs: int = 7) -> tuple[DataFrame, list]:
     """((key, pattern), centres): k-means of share profiles (key, bin, share), the best of several seeds.
@@ -22,7 +24,8 @@ def time_patterns(profiles: DataFrame, key: str, bins: int, k: int = 5, runs: in
     centres = [c.tolist() for c in best.clusterCenters()]
     order = sorted(range(len(centres)), key=lambda i: centres[i])
     rank = F.array(*[F.lit(order.index(i)) for i in range(len(centres))])
-    out = best.transform(data).select(key, F.get(rank, F.col("prediction")).alias("pattern"))
+    out = cut(best.transform(data).select(key, F.get(rank, F.col("prediction")).alias("pattern")))
+    data.unpersist()
     return out, sorted(centres)
 
 

@@ -138,8 +138,8 @@ def best_assignment(cost: np.ndarray) -> float:
     return min(sum(cost[i, p[i]] for i in range(k)) for p in permutations(range(k))) / k
 
 
-def pair_distances(pairs: DataFrame, members: DataFrame, fraction: float = 1.0, ground: Callable = euclidean) -> DataFrame:
-    """(a, b, distance) of pairs (a, b) of sets; ``members``: set, v, w.
+def pair_distances(pairs: DataFrame, members: DataFrame, fraction: float = 1.0, ground: Callable = euclidean, metric: str | None = None) -> DataFrame:
+    """(a, b, distance) of pairs (a, b) of sets; ``members``: set, v, w. With ``metric`` by ``region_distance``, else the earth mover's.
 
     A set is what one region holds; both sets of a pair are one task's input.
     """
@@ -151,6 +151,8 @@ def pair_distances(pairs: DataFrame, members: DataFrame, fraction: float = 1.0,
         if not len(x) or not len(y):
             return pd.DataFrame(columns=["a", "b", "distance"], dtype=object)
         p, q = np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())
-        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "distance": [moved(ground(p, q), x["w"].to_numpy(float), y["w"].to_numpy(float), fraction)]})
+        wp, wq = x["w"].to_numpy(float), y["w"].to_numpy(float)
+        far = region_distance(metric, p, q, wp, wq) if metric else moved(ground(p, q), wp, wq, fraction)
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "distance": [far]})
 
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(solve, f"a {kinds['a']}, b {kinds['b']}, distance double")

@@ -437,6 +437,18 @@ def region_circle_search(spark: SparkSession, d: str) -> DataFrame:
     return regions.disjoint_circles(rows, ["district", "city"]).select("district", "city", "key", "rank", "radius", "distance")
 
 
+@query()
+def gold_region_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """The distance of each two gold regions of a district (about 50 regions) by every named metric; all that weigh venues weigh them alike."""
+    m = cut(_members(spark, d))
+    sets = m.select(F.col("region").alias("set"), "v", F.lit(1.0).alias("w"))
+    out = None
+    for metric in transport.METRICS:
+        found = transport.pair_distances(_region_pairs(m), sets, metric=metric).withColumn("metric", F.lit(metric))
+        out = found if out is None else out.unionByName(found)
+    return out.select("a", "b", "metric", F.round("distance", 6).alias("distance"))
+
+
 @query(_CIRCLES.split("rad as (select")[0] + """al as (select mem.*, count(*) over (partition by region) as rn from mem), rb as (select district, region, rn, bin, count(*) as n from al join bn using (venue) group by all),
 rp as (select distinct a.district, a.region as a, b.region as b from mem a join mem b on a.district = b.district and a.region < b.region), bb as (select distinct bin, cast(floor(bin / 10) as int) as k from bn),
 jv as (select rp.a, rp.b, bb.k, coalesce(x.n / x.rn, 0) as p, coalesce(y.n / y.rn, 0) as q from rp cross join bb left join rb x on x.region = rp.a and x.bin = bb.bin left join rb y on y.region = rp.b and y.bin = bb.bin)

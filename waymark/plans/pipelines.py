@@ -108,6 +108,14 @@ def time_patterns(spark: SparkSession, d: str) -> DataFrame:
     return models.time_patterns(pr.day_profile(rows.join(busy, "lid", "left_semi"), ["lid"], "t"), "lid", 6, 5, 7)[0]
 
 
+@query()
+def venue_cluster_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Cost and silhouette of three to fifteen clusters of the standardised venue features."""
+    z = ft.standardised(ft.cleaned(table(spark, d, "venue_feature"), letters(F.col("city")), "venue_id", "f"))
+    rows = models.cluster_numbers(z.select("z"), "z", range(3, 16))
+    return spark.createDataFrame([(k, round(c, 4), round(q, 6)) for k, c, q in rows], "k int, cost double, silhouette double")
+
+
 @query()
 def feature_components(spark: SparkSession, d: str) -> DataFrame:
     """Two principal components of the standardised venue features."""
