@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import local_xy
 from waymark.functions.stats import jensen_shannon
 from waymark.functions.text import letters
-from waymark.lineage import cut, fresh
+from waymark.lineage import cut
 from waymark.operators import features as ft
 from waymark.operators import grids, knn, learning, proximity, regions, scan, transport
 from waymark.operators.profiles import score_table
@@ -337,12 +337,6 @@ def venue_dbscan(spark: SparkSession, d: str) -> DataFrame:
     return found.select("lng", "lat", "core", F.get(name, 0).cast("double").alias("cluster_lng"), F.get(name, 1).cast("double").alias("cluster_lat"))
 
 
-def _query_region(spark: SparkSession, d: str, members: DataFrame) -> str:
-    """The gold region whose number of described venues is nearest to 150 (ties by name)."""
-    n = members.groupBy("region").agg(F.count(F.lit(1)).alias("n")).orderBy(F.abs(F.col("n") - 150), "region").first()
-    return n["region"] if n else ""
-
-
 #: The radii of the survey's searches in metres, and the least venues of a circle.
 RADII, LEAST_VENUES = (200.0, 275.0, 350.0, 425.0, 500.0), 5
 BINS = 10
@@ -497,86 +491,105 @@ def greedy_venues(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def region_search(spark: SparkSession, d: str) -> DataFrame:
-    """The five best disjoint venue sets of each city for a gold region: neighbours in feature space, density clusters of them, grown hulls, earth mover's distance."""
+    """The five best disjoint venue sets of each city for the region asked of each district: neighbours in feature space, density clusters of them, grown hulls, earth mover's distance."""
     z = _z(spark, d)
-    m = cut(_members(spark, d))
-    region = _query_region(spark, d, m)
-    wanted = m.where(F.col("region") == region).select(F.col("venue").alias("id"), "v").distinct()
-    asked = [np.array(r["v"]) for r in wanted.orderBy("id").collect()]
-    cities = z.select("city").distinct()
-    near = knn.nearest(wanted.join(F.broadcast(cities)), z.select("city", F.col("venue").alias("id"), F.col("z").alias("v")), ["city"], 60)
-    cand = near.select("city", F.col("t").alias("venue")).distinct()
+    members = cut(_members(spark, d))
+    wanted = cut(members.join(_asked(spark, d, members), ["district", "region"]).select("district", F.col("venue").alias("id"), "v").distinct())
+    # what is asked of a district is one outlined region, the query itself
+    asked: dict[str, list] = {}
+    for r in wanted.orderBy("district", "id").collect():
+        asked.setdefault(r["district"], []).append(r["v"])
+    cand = _neighbours(z, wanted).withColumnRenamed("t", "venue")
     box = table(spark, d, "city_box").select("city", "lat_bl", "lng_bl", "lat_ur", "lng_ur")
     here = places(spark, d, "lng", "lat").withColumnRenamed("id", "venue").join(z, "venue").join(F.broadcast(box), "city")
     east, north = local_xy(F.col("lat"), F.col("lng"), (F.col("lat_bl") + F.col("lat_ur")) / 2, (F.col("lng_bl") + F.col("lng_ur")) / 2)
-    here = here.select("city", "venue", east.alias("x"), north.alias("y"), "z")
-    spots = here.join(cand, ["city", "venue"], "left_semi").select("city", "venue", "x", "y")
+    here = cut(here.select("city", "venue", east.alias("x"), north.alias("y"), "z"))
+    spots = cand.join(here.select("city", "venue", "x", "y"), ["city", "venue"])
 
     def areas(pdf: pd.DataFrame) -> pd.DataFrame:
         xy = pdf[["x", "y"]].to_numpy()
         out = []
         for k, part in enumerate(regions.good_clusters(xy, 250.0, 10, 1_500.0, 250)):
-            ring = regions.hull(xy[part])
             radius = float(np.sqrt(((xy[part] - xy[part].mean(0)) ** 2).sum(1).max()))
-            out += [(pdf["city"].iloc[0], k, step, ring.ravel().tolist(), radius * step / 4) for step in range(5)]
-        return pd.DataFrame(out, columns=["city", "area", "step", "ring", "reach"])
+            out.append((pdf["district"].iloc[0], pdf["city"].iloc[0], k, regions.hull(xy[part]).ravel().tolist(), radius))
+        return pd.DataFrame(out, columns=["district", "city", "area", "ring", "radius"])
+
+    shapes = cut(spots.groupBy("district", "city").applyInPandas(areas, "district string, city string, area int, ring array<double>, radius double"))
 
-    grown = spots.groupBy("city").applyInPandas(areas, "city string, area int, step int, ring array<double>, reach double")
-    grown = fresh(grown)
+    # one task for each area and its venues; a venue lies near few areas
+    edge = lambda keep, best: best(F.filter("ring", lambda v, i: i % 2 == keep))
+    boxed = shapes.select(
+        "*", (edge(0, F.array_min) - F.col("radius")).alias("x0"), (edge(0, F.array_max) + F.col("radius")).alias("x1"),
+        (edge(1, F.array_min) - F.col("radius")).alias("y0"), (edge(1, F.array_max) + F.col("radius")).alias("y1"),
+    )
+    near = here.join(boxed, "city").where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
 
-    def score(pdf: pd.DataFrame, shapes: pd.DataFrame) -> pd.DataFrame:
-        cols = ["city", "venues", "distance", "rank"]
-        if not len(pdf) or not len(shapes) or not asked:
-            return pd.DataFrame(columns=cols, dtype=object)
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("venue", ignore_index=True)
         xy, v, names = pdf[["x", "y"]].to_numpy(), np.stack(pdf["z"].to_numpy()), pdf["venue"].to_numpy()
-        query_v = np.stack(asked)
-        scored, seen = [], set()
-        for s in shapes.sort_values(["area", "step"]).itertuples():
-            rows = np.flatnonzero(regions.hull_distance(np.array(s.ring).reshape(-1, 2), xy) <= s.reach)
-            mark = tuple(rows.tolist())
-            if len(rows) >= 5 and mark not in seen:
-                seen.add(mark)
-                w = np.ones(len(rows))
-                scored.append((round(transport.moved(transport.euclidean(query_v, v[rows]), np.ones(len(query_v)), w), 6), mark))
+        district, city, query = pdf["district"].iloc[0], pdf["city"].iloc[0], np.array(asked[pdf["district"].iloc[0]])
+        off = regions.hull_distance(np.array(pdf["ring"].iloc[0]).reshape(-1, 2), xy)
+        out, seen = [], 0
+        for step in range(5):
+            rows = np.flatnonzero(off <= pdf["radius"].iloc[0] * step / 4)
+            if len(rows) >= 5 and len(rows) != seen:
+                seen = len(rows)
+                out.append((district, city, names[rows].tolist(), round(transport.region_distance("emd", query, v[rows]), 6)))
+        return pd.DataFrame(out, columns=["district", "city", "venues", "distance"])
+
+    columns = ["district", "city", "area", "ring", "radius", "venue", "x", "y", "z"]
+    scored = near.select(columns).groupBy("district", "city", "area").applyInPandas(score, "district string, city string, venues array<string>, distance double")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list = []
-        for dist, mark in sorted(scored):
-            if len(kept) < 5 and not any(set(mark) & set(o) for _, o in kept):
-                kept.append((dist, mark))
-        return pd.DataFrame([(pdf["city"].iloc[0], names[list(mk)].tolist(), dist, i + 1) for i, (dist, mk) in enumerate(kept)], columns=cols)
+        for row in sorted(pdf.itertuples(index=False), key=lambda r: (r.distance, list(r.venues))):
+            if len(kept) < 5 and not any(set(row.venues) & set(o.venues) for o in kept):
+                kept.append(row)
+        return pd.DataFrame([(*r, i + 1) for i, r in enumerate(kept)], columns=["district", "city", "venues", "distance", "rank"])
 
-    return here.groupBy("city").cogroup(grown.groupBy("city")).applyInPandas(lambda a, b: score(a, b), "city string, venues array<string>, distance double, rank int")
+    return scored.groupBy("district", "city").applyInPandas(choose, "district string, city string, venues array<string>, distance double, rank int")
+
+
+def _neighbours(z: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(district, city, t): the 60 nearest venues of every city to each venue of the district's region."""
+    cities = F.broadcast(z.select("city").distinct())
+    near = knn.nearest(wanted.join(cities), z.select("city", F.col("venue").alias("id"), F.col("z").alias("v")).join(F.broadcast(wanted.select("district").distinct())), ["district", "city"], 60)
+    return cut(near.select("district", "city", "t").distinct())
 
 
 def _candidates(spark: SparkSession, d: str, z: DataFrame) -> DataFrame:
-    """(city, venue): the 60 nearest venues of every city to each venue of the query region."""
-    m = cut(_members(spark, d))
-    wanted = m.where(F.col("region") == _query_region(spark, d, m)).select(F.col("venue").alias("id"), "v").distinct()
-    cities = F.broadcast(table(spark, d, "city_box").select("city").distinct())
-    near = knn.nearest(wanted.join(cities), z.select("city", F.col("venue").alias("id"), F.col("z").alias("v")), ["city"], 60)
-    return cut(near.select("city", F.col("t").alias("venue")).distinct())
+    """(district, city, venue): the candidates of the region asked of each district."""
+    members = cut(_members(spark, d))
+    wanted = members.join(_asked(spark, d, members), ["district", "region"]).select("district", F.col("venue").alias("id"), "v").distinct()
+    return _neighbours(z, wanted).withColumnRenamed("t", "venue")
 
 
 @query()
 def discrepancy_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Regions where candidate venues are denser than the others: a scan of candidates against the rest on 50 x 50 cells per city, merged."""
+    """Regions where the candidates of a district are denser than other venues: a scan of candidates against all on 50 x 50 cells per city, merged."""
     z = _z(spark, d)
     good = _candidates(spark, d, z)
     spots = z.select("city", "venue").join(places(spark, d, "lng", "lat").withColumnRenamed("id", "venue"), "venue")
-    cells = grids.placed(spots, table(spark, d, "city_box"), "city", 50)
-    marked = cells.join(good.withColumn("g", F.lit(1)), ["city", "venue"], "left")
-    two = grids.both(grids.frequency(marked.where("g = 1"), ["city"]), grids.frequency(marked, ["city"]), ["city"])
-    found = scan.merge(scan.rectangles(two, ["city"], 50, 10, 8, 500), ["city"], 50)
-    return found.select("city", "region_no", F.round("value", 6).alias("value"), "parts", F.size("cells").alias("size"))
+    cells = cut(grids.placed(spots, table(spark, d, "city_box"), "city", 50))
+    marked = cells.join(good, ["city", "venue"])
+    every = grids.frequency(cells, ["city"]).join(good.select("district", "city").distinct(), "city")
+    two = grids.both(grids.frequency(marked, ["district", "city"]), every, ["district", "city"])
+    found = scan.merge(scan.rectangles(two, ["district", "city"], 50, 10, 8, 500), ["district", "city"], 50)
+    return found.select("district", "city", "region_no", F.round("value", 6).alias("value"), "parts", F.size("cells").alias("size"))
 
 
 @query()
 def density_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """Density clusters of the candidate venues: eight within 150 m."""
+    """Density clusters of all candidate venues: eight within 150 m; while there is none, up to five times 1.3 times as far and 1.4 times fewer."""
     z = _z(spark, d)
     good = _candidates(spark, d, z).select("venue").distinct()
-    spots = places(spark, d, "lng", "lat").withColumnRenamed("id", "venue").join(good, "venue", "left_semi")
-    found = regions.density_clusters(spots, 150.0, 8).where("cluster is not null")
+    spots = cut(places(spark, d, "lng", "lat").withColumnRenamed("id", "venue").join(good, "venue", "left_semi"))
+    eps, least = 150.0, 8.0
+    for _ in range(6):
+        found = cut(regions.density_clusters(spots, eps, max(2, round(least))).where("cluster is not null"))
+        if found.limit(1).count():
+            break
+        eps, least = eps * 1.3, least / 1.4
     return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("spots"), F.sum(F.col("core").cast("int")).alias("core"))
 
 

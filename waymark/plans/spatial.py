@@ -293,3 +293,14 @@ def tags_of_centre(spark: SparkSession, d: str) -> DataFrame:
     merged = scan.merge(_tag_regions(spark, d, SCAN_TOP, "vellmare"), ["tag"], SCAN_K)
     near = range(SCAN_K // 2 - SCAN_K // 20, SCAN_K // 2 + SCAN_K // 20)
     return scan.tags_of_area(merged, "tag", [(x, y) for x in near for y in near]).withColumn("value", F.round("value", 6))
+
+
+@query()
+def tags_by_area(spark: SparkSession, d: str) -> DataFrame:
+    """For each tenth by tenth of a city's box the tags of which a merged region covers more than 0.6 of it, with the best value."""
+    merged = scan.merge(_tag_regions(spark, d, SCAN_TOP), ["city", "tag"], SCAN_K)
+    side = SCAN_K // 10
+    cells = merged.select("city", "tag", "region_no", "value", F.explode("cells").alias("c"))
+    area = [F.floor(F.col(f"c.{c}") / side).cast("int").alias(f"area_{c}") for c in "xy"]
+    covered = cells.groupBy("city", "tag", "region_no", "value", *area).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 0.6 * side * side)
+    return covered.groupBy("city", "area_x", "area_y", "tag").agg(F.round(F.max("value"), 6).alias("value"))
