@@ -2,10 +2,9 @@
 
 Vectors are turned to their principal axes and quantised there, a few axes at a
 time. At each level the cells are counted (however many rows share a cell, it is one
-row from here on) and keep their bounding boxes over all dimensions. Adjacent cells are
-joined by equal keys: the children of two linked cells are linked if they differ
-by at most one step in every axis of the level and their boxes come within the
-similarity radius. A rotation keeps distances, so no two similar rows lie in cells that
+row from here on). Adjacent cells are joined by equal keys: the children of two linked cells
+are linked if they differ by at most one step in every axis of the level, and at the last level
+if also their bounding boxes over all dimensions come within the similarity radius. A rotation keeps distances, so no two similar rows lie in cells that
 are not linked; cells with too few rows around them are dropped. Minimum labels run along
 the last level's links to convergence. Rows of different components are never similar,
 so a component is a cluster if all its rows are within half the radius of
@@ -16,13 +15,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.lineage import cut
+from waymark.lineage import cut, shuffle_width
 from waymark.operators.graph import components
 
 #: Rows compared with each other in one task, and entries of a distance block.
@@ -30,6 +30,8 @@ BLOCK_ROWS = 4_096
 BLOCK_ENTRIES = 4_000_000
 #: Axes quantised at one level, and levels; a set no wider than the radius meets at most 2 ** (axes * levels) cells.
 AXES, LEVELS = 3, 3
+#: Further axes that are not quantised into cells but keep cells apart before their boxes are compared.
+MORE_AXES = 4
 
 
 def vectors(df: DataFrame, item: str, f: str, length: int, dims: list[int]) -> DataFrame:
@@ -64,51 +66,82 @@ def _along(axis: np.ndarray) -> Column:
     return sum((F.get("v", i) * F.lit(float(c)) for i, c in enumerate(axis)), F.lit(0.0))
 
 
-def _gap(width: int) -> Column:
-    """The square of the distance between the boxes (lo_a, hi_a) and (lo_b, hi_b)."""
-    zero = F.lit(0.0)
-    apart = [F.greatest(zero, F.get("lo_a", i) - F.get("hi_b", i), F.get("lo_b", i) - F.get("hi_a", i)) for i in range(width)]
-    return sum((x * x for x in apart), zero)
+def _close(radius: float) -> Column:
+    """Whether the boxes (lo_a, hi_a) and (lo_b, hi_b) come within ``radius``."""
+    low, high = F.zip_with("lo_a", "lo_b", lambda a, b: F.greatest(a, b)), F.zip_with("hi_a", "hi_b", lambda a, b: F.least(a, b))
+    between = F.zip_with(low, high, lambda a, b: F.greatest(F.lit(0.0), a - b))
+    return F.aggregate(between, F.lit(0.0), lambda s, x: s + x * x) <= (radius + 1e-6) ** 2
 
 
 def _dense(cells: DataFrame, links: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """The cells that have ``least`` rows in themselves and their linked cells, and the links between such."""
-    sizes = cells.select(F.col("cell").alias("b"), "n")
-    around = links.join(sizes, "b").groupBy(F.col("a").alias("cell")).agg(F.sum("n").alias("_n")).where(F.col("_n") >= least).select("cell")
+    sizes = cells.select("cell", "n")
+    ends = [links.select(F.col(x).alias("cell"), F.col(y).alias("other")) for x, y in (("a", "b"), ("b", "a"))]
+    other = ends[0].unionByName(ends[1]).distinct().join(sizes.withColumnRenamed("cell", "other"), "other")
+    around = other.groupBy("cell").agg(F.sum("n").alias("_n")).where(F.col("_n") >= least).select("cell")
     kept = cut(cells.join(around, "cell", "left_semi"))
-    ends = kept.select("cell")
     for end in ("a", "b"):
-        links = links.join(ends.withColumnRenamed("cell", end), end, "left_semi")
+        links = links.join(kept.select(F.col("cell").alias(end)), end, "left_semi")
     return kept, links.select("a", "b")
 
 
+def _candidates(cells: DataFrame, links: DataFrame, axes: int, parents: int, rest: int) -> DataFrame:
+    """(a, b), each pair once: the children of linked parents that differ by at most one step in every axis.
+
+    Where parents have more children than there are offsets, children are found by their key and
+    offset, else among all of the linked parent; a level's work is bounded by links times offsets either way.
+    ``rest`` further axes are known by the steps that a cell spans (low, high), which must come as near.
+    """
+    spans = ["low", "high"] if rest else []
+    left, right = (
+        cells.select(F.col("parent").alias(f"p{x}"), F.col("cell").alias(x), F.col("q").alias(f"q{x}"), *[F.col(c).alias(f"{c}_{x}") for c in spans]) for x in "ab"
+    )
+    # few bytes make many pairs: a fixed number of partitions keeps them spread
+    wide = links.select(F.col("a").alias("pa"), F.col("b").alias("pb")).repartition(shuffle_width(cells.sparkSession), "pa", "pb")
+    if cells.count() <= parents * 3**axes:
+        near = [F.abs(F.get("qa", i) - F.get("qb", i)) <= 1 for i in range(axes)]
+        pairs = left.join(wide, "pa").join(right, "pb").where(reduce(Column.__and__, near))
+    else:
+        offsets = itertools.product((-1, 0, 1), repeat=axes)
+        beside = F.array(*[F.array(*[F.get("qa", i) + o for i, o in enumerate(off)]) for off in offsets])
+        pairs = left.withColumn("qb", F.explode(beside)).join(wide, "pa").join(right, ["pb", "qb"])
+    for x, y in ("ab", "ba"):
+        for i in range(rest):
+            pairs = pairs.where(F.get(f"low_{x}", i) - F.get(f"high_{y}", i) <= 1)
+    return pairs.where((F.col("pa") != F.col("pb")) | (F.col("a") <= F.col("b"))).select("a", "b")
+
+
 def linked_cells(rows: DataFrame, width: int, radius: float, least: int, axes: int = AXES, levels: int = LEVELS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with their cell, cells, links): the dense cells of the last level and both directions of their links, a cell with itself included.
+    """(rows with their cell, cells, links): the dense cells of the last level and their links, each once, a cell with itself included.
 
     ``rows`` has item and v. A level joins each linked pair of the level before with its
-    children by equal keys, one per offset of the level's axes. What two cells of one
-    parent can be paired with is bounded by the offsets, not by the rows.
+    children, by ids and integers alone; the boxes of those adjacent at the last level are compared.
     """
-    turned = principal_axes(rows, width, min(width, axes * levels))
-    steps = [turned[:, k : k + axes] for k in range(0, turned.shape[1], axes)]
-    keys = [F.array(*[F.floor(_along(s[:, k]) / radius).cast("int") for k in range(s.shape[1])]).alias(f"q{n}") for n, s in enumerate(steps)]
-    placed = cut(rows.select("item", "v", *keys, F.lit(0).cast("bigint").alias("cell")))
-    links = rows.sparkSession.createDataFrame([(0, 0)], "a bigint, b bigint")
+    split = min(width, axes * levels)
+    turned = principal_axes(rows, width, min(width, split + MORE_AXES))
+    steps, others = [turned[:, k : min(k + axes, split)] for k in range(0, split, axes)], turned[:, split:]
+    number = lambda s: F.array(*[F.floor(_along(s[:, k]) / radius).cast("int") for k in range(s.shape[1])])
+    keys = [number(s).alias(f"q{n}") for n, s in enumerate(steps)]
+    rest = others.shape[1]
+    placed = cut(rows.select("item", "v", *keys, number(others).alias("rest"), F.lit(0).cast("bigint").alias("cell")))
+    links, parents = rows.sparkSession.createDataFrame([(0, 0)], "a bigint, b bigint"), 1
     lo = F.array(*[F.min(F.get("v", i)) for i in range(width)]).alias("lo")
     hi = F.array(*[F.max(F.get("v", i)) for i in range(width)]).alias("hi")
+    spans = [F.array(*[f(F.get("rest", i)) for i in range(rest)]).alias(c) for c, f in (("low", F.min), ("high", F.max))]
     for n, step in enumerate(steps):
-        q = F.col(f"q{n}")
-        cells = placed.groupBy(F.col("cell").alias("parent"), q.alias("q")).agg(F.count(F.lit(1)).alias("n"), lo, hi)
+        q, last = F.col(f"q{n}"), n == len(steps) - 1
+        boxes = [lo, hi, *spans] if last else []
+        cells = placed.groupBy(F.col("cell").alias("parent"), q.alias("q")).agg(F.count(F.lit(1)).alias("n"), *boxes)
         cells = cut(cells.withColumn("cell", F.monotonically_increasing_id() + 1))
-        left = cells.select(F.col("parent").alias("pa"), F.col("cell").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), "q")
-        offsets = itertools.product((-1, 0, 1), repeat=step.shape[1])
-        beside = F.array(*[F.array(*[F.get("q", i) + o for i, o in enumerate(off)]) for off in offsets])
-        left = left.withColumn("q", F.explode(beside)).join(links.select(F.col("a").alias("pa"), F.col("b").alias("pb")), "pa")
-        right = cells.select(F.col("parent").alias("pb"), F.col("cell").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), "q")
-        pairs = left.join(right, ["pb", "q"]).where(_gap(width) <= (radius + 1e-6) ** 2)
-        pairs = cut(pairs.select("a", "b"))
+        pairs = _candidates(cells, links, step.shape[1], parents, rest if last else 0)
+        if last:
+            for end in ("a", "b"):
+                pairs = pairs.join(cells.select(F.col("cell").alias(end), F.col("lo").alias(f"lo_{end}"), F.col("hi").alias(f"hi_{end}")), end)
+            pairs = pairs.where(_close(radius)).select("a", "b")
+        pairs = cut(pairs)
         found = placed.withColumnRenamed("cell", "parent").withColumn("q", q)
         cells, links = _dense(cells, pairs, least)
+        parents = max(1, cells.count())
         placed = found.join(cells.select("parent", "q", "cell"), ["parent", "q"]).drop("parent", "q")
     return placed.select("item", "v", "cell"), cells, links
 
@@ -171,7 +204,7 @@ def clusters(rows: DataFrame, width: int, radius: float, least: int, axes: int =
     rows. Rows in no cluster are left out; an empty input gives none.
     """
     placed, cells, links = linked_cells(rows, width, radius, least, axes, levels)
-    labels = components(cells.select(F.col("cell").alias("node")), links.where("a < b")).withColumnRenamed("node", "cell")
+    labels = components(cells.select(F.col("cell").alias("node")), links.where("a <> b")).withColumnRenamed("node", "cell")
     large = labels.join(cells.select("cell", "n"), "cell").groupBy("label").agg(F.sum("n").alias("rows")).where(F.col("rows") >= least)
     members = cut(placed.join(labels.join(large.select("label"), "label", "left_semi"), "cell").withColumn("id", F.monotonically_increasing_id()))
     centre = members.groupBy("label").agg(F.array(*[F.avg(F.get("v", i)) for i in range(width)]).alias("centre"))
