@@ -94,7 +94,11 @@ def grid_cell(lat: Column, lng: Column, south: Column, west: Column, north: Colu
     return F.when(inside, ix.cast("int")), F.when(inside, iy.cast("int"))
 
 
-def gaussian_weight(metres: Column, scale: float = 112_000.0) -> Column:
+# The scale of the weights of neighbours.
+NEIGHBOUR_SCALE = 112_000.0
+
+
+def gaussian_weight(metres: Column, scale: float = NEIGHBOUR_SCALE) -> Column:
     """exp(-d^2 / scale): the weight of a neighbour at a distance."""
     return F.exp(-(metres * metres) / scale)
 

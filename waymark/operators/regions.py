@@ -133,9 +133,13 @@ def circle_centres(boxes: DataFrame, radius_m: float, step_m: float | None = Non
     )
 
 
+# Circles nearer than this many times the sum of their radii are close.
+CLOSE = 1.3
+
+
 def close_circles(x1, y1, r1, x2, y2, r2) -> bool:
     """Nearer than 1.3 times the sum of the radii."""
-    return math.hypot(x1 - x2, y1 - y2) < 1.3 * (r1 + r2)
+    return math.hypot(x1 - x2, y1 - y2) < CLOSE * (r1 + r2)
 
 
 def disjoint_circles(ranked: DataFrame, keys: list[str], top: int = 5) -> DataFrame:

@@ -117,7 +117,11 @@ def tags_of_area(merged: DataFrame, tag: str, cells: list[tuple[int, int]], shar
     return hit.groupBy(tag).agg(F.max("value").alias("value")).orderBy(F.desc("value"), tag)
 
 
+# Greatest number of events and the support asked up to it; above the last, MOST_SUPPORT.
+SUPPORT = [(500, 20), (2_000, 40)]
+MOST_SUPPORT = 250
+
+
 def support_of(total: int) -> int:
     """Least events of a region by the number of events: 20 up to 500, 40 up to 2,000, then 250."""
-    return 20 if total <= 500 else 40 if total <= 2_000 else 250
-
+    return next((least for most, least in SUPPORT if total <= most), MOST_SUPPORT)

@@ -20,6 +20,8 @@ from waymark.sources.tables import table
 QUERIES: dict = {}
 SQL: dict = {}
 FROM, TO = "vellmare", "santorvo"
+# The gain of a neighbour of the same top category but another category.
+HALF_GAIN = 0.3195079
 
 
 def query(sql: str | None = None):
@@ -173,9 +175,9 @@ def nn_loops(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(_Z) + f""", q as (select * from w where city = '{FROM}'), t as (select * from w where city = '{TO}'),
 k as (select q.venue as q, q.sub, q.top, t.sub as tsub, t.top as ttop, row_number() over (partition by q.venue order by round(list_distance(q.v, t.v), 9), t.venue) as rank from q, t),
-g as (select q, sub, top, sum(case when sub = tsub then 1.0 when top = ttop then 0.3195079 else 0 end / log2(rank + 1)) as dcg from k where rank <= 5 group by q, sub, top),
+g as (select q, sub, top, sum(case when sub = tsub then 1.0 when top = ttop then {HALF_GAIN} else 0 end / log2(rank + 1)) as dcg from k where rank <= 5 group by q, sub, top),
 c as (select g.*, (select count(*) from t where t.sub = g.sub) as ns, (select count(*) from t where t.top = g.top and t.sub <> g.sub) as nt from g),
-i as (select c.*, (select sum(case when r <= ns then 1.0 when r <= ns + nt then 0.3195079 else 0 end / log2(r + 1)) from range(1, 6) x(r)) as ideal from c)
+i as (select c.*, (select sum(case when r <= ns then 1.0 when r <= ns + nt then {HALF_GAIN} else 0 end / log2(r + 1)) from range(1, 6) x(r)) as ideal from c)
 select q, round(coalesce(dcg / nullif(ideal, 0), 0), 6) as ndcg from i""")
 def ndcg_labels(spark: SparkSession, d: str) -> DataFrame:
     """How well the five nearest venues keep the category: full gain for the same one, a part for the same top category."""
@@ -183,12 +185,12 @@ def ndcg_labels(spark: SparkSession, d: str) -> DataFrame:
     one = lambda x: x.select(F.lit(1).alias("g"), "id", "v")
     near = knn.nearest(one(a), one(b), ["g"], 5)
     x = near.join(a.select(F.col("id").alias("q"), "sub", "top"), "q").join(b.select(F.col("id").alias("t"), F.col("sub").alias("tsub"), F.col("top").alias("ttop")), "t")
-    rel = F.when(F.col("sub") == F.col("tsub"), 1.0).when(F.col("top") == F.col("ttop"), 0.3195079).otherwise(0.0)
+    rel = F.when(F.col("sub") == F.col("tsub"), 1.0).when(F.col("top") == F.col("ttop"), HALF_GAIN).otherwise(0.0)
     got = x.groupBy("q", "sub", "top").agg(F.sum(knn.gain(rel, F.col("rank"))).alias("dcg"))
     subs = b.groupBy("sub").agg(F.count(F.lit(1)).alias("ns"))
     tops = b.groupBy("top").agg(F.count(F.lit(1)).alias("nt"))
     got = got.join(subs, "sub", "left").join(tops, "top", "left").fillna(0, ["ns", "nt"])
-    ideal = sum((knn.gain(F.when(F.col("ns") >= r, 1.0).when(F.col("nt") >= r, 0.3195079).otherwise(0.0), F.lit(r)) for r in range(1, 6)), F.lit(0.0))
+    ideal = sum((knn.gain(F.when(F.col("ns") >= r, 1.0).when(F.col("nt") >= r, HALF_GAIN).otherwise(0.0), F.lit(r)) for r in range(1, 6)), F.lit(0.0))
     return got.select("q", F.round(F.coalesce(F.try_divide(F.col("dcg"), ideal), F.lit(0.0)), 6).alias("ndcg"))
 
 

@@ -17,6 +17,7 @@ from waymark.sources.tables import table
 QUERIES: dict = {}
 SQL: dict = {}
 K = 20
+# Radius of a surrounding in metres and the scale of its weights, exp(-d^2 / scale).
 RADIUS_M = 350.0
 SCALE = 112_000.0
 

@@ -66,8 +66,12 @@ def run_available(stream: DataFrame, name: str, sink: Callable[[DataFrame, int],
     query.awaitTermination()
 
 
+# The factor between two waiting times.
+BACKOFF_FACTOR = 1.618
+
+
 class Backoff:
-    """Waiting times after failures: each is 1.618 times the last; old failures are forgotten."""
+    """Waiting times after failures: each is BACKOFF_FACTOR times the last; old failures are forgotten."""
 
     def __init__(self, first_s: float = 120, window_s: float = 3_600, most: int = 5, clock: Callable[[], float] = time.monotonic):
         self.first, self.window, self.most, self.clock = first_s, window_s, most, clock
@@ -80,7 +84,7 @@ class Backoff:
         """Notes a failure; the seconds to wait now."""
         now = self.clock()
         self.failures = [t for t in self.failures if now - t < self.window] + [now]
-        out, self.wait = self.wait, self.wait * 1.618
+        out, self.wait = self.wait, self.wait * BACKOFF_FACTOR
         return out
 
     def give_up(self) -> bool:
