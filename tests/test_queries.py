@@ -22,7 +22,6 @@ CHECKS = {
     "region_search": lambda rows: all(len(set(r["venues"])) == len(r["venues"]) >= 5 for r in rows),
     "greedy_venues": lambda rows: len({(r["district"], r["venue"]) for r in rows}) == len(rows),
     "spatial_scan_merged": lambda rows: all(1 <= r["parts"] <= 3 for r in rows),
-    "tag_scan_best": lambda rows: all(r["m"] >= 20 and r["x0"] <= r["x1"] for r in rows),
     "tags_of_centre": lambda rows: True,
     "tags_by_area": lambda rows: all(0 <= r["area_x"] < 10 and 0 <= r["area_y"] < 10 for r in rows),
     "discrepancy_seeds": lambda rows: all(r["size"] > 0 for r in rows),

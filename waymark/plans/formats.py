@@ -328,3 +328,39 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     stream = ingest.timed(ingest.file_stream(spark, f"{landed}/*.parquet", clean.schema, files_per_batch=100_000), "time", "40 days")
     ingest.run_available(ingest.session_counts(stream, "2 hours", ["uid"]), scratch(spark, "s").rsplit("/", 1)[1], lambda batch, _: batch.write.mode("overwrite").parquet(out), "complete")
     return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("records"))
+
+
+@query("""select g.district, city, region_no from gold_region g join (select district from gold_region group by district having count(*) >= 2) using (district)""")
+def timeline_files(spark: SparkSession, d: str) -> DataFrame:
+    """Gold regions (about 50) as one JSON array for each district, read again; arrays of one record are skipped."""
+    per = table(spark, d, "gold_region").groupBy("district").agg(F.to_json(F.array_sort(F.collect_list(F.struct("district", "city", "region_no")))).alias("value"))
+    out = scratch(spark, "timelines")
+    per.select(F.col("district").alias("part"), "value").repartition("part").write.partitionBy("part").text(out)
+    return readers.timelines(spark, f"{out}/part=*").select("district", "city", F.col("region_no").cast("int").alias("region_no"))
+
+
+@query("""with m as (select distinct tid, cast(uid as varchar) as uid, loc.lng as lng, loc.lat as lat, date_trunc('second', "time") as time, 'https://venue.example/' || lid as lid from checkin
+ where tid is not null and uid is not null and lid is not null and "time" is not null and loc.lng is not null and loc.lat is not null)
+select tid, m.uid, c.city, m.time, m.lid from m join city_box c on m.lat between lat_bl and lat_ur and m.lng between lng_bl and lng_ur""")
+def message_json(spark: SparkSession, d: str) -> DataFrame:
+    """Check-ins as posted messages with coordinates and links; those inside a city's box are read again."""
+    c = table(spark, d, "checkin").where("tid is not null and uid is not null and lid is not null and time is not null and loc.lng is not null and loc.lat is not null")
+    links = F.array(F.struct(F.lit("https://other.example/a").alias("expanded_url")), F.struct(F.concat(F.lit("https://venue.example/"), "lid").alias("expanded_url")))
+    made = F.to_json(F.struct(
+        F.col("tid").alias("id_str"), F.struct(F.array("loc.lng", "loc.lat").alias("coordinates")).alias("coordinates"), F.struct(links.alias("urls")).alias("entities"),
+        F.struct(F.col("uid").cast("string").alias("id_str")).alias("user"), F.date_format("time", "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at"), F.col("msg").alias("text"),
+    ))
+    boxes = table(spark, d, "city_box").withColumn("zone", F.lit("UTC"))
+    return parse.message(c.select(made.alias("j")), "j", boxes, ["venue.example"]).select("tid", "uid", "city", "time", "lid").distinct()
+
+
+@query(with_(V) + """, u as (select _id, min(trim("shortUrl")) as url from venue where trim("shortUrl") <> '' and _id is not null group by _id), b as (select url, min(_id) as new from u group by url)
+select distinct id, case when uid % 2 = 0 then lid when u.url is null then 'bad-' || lid else b.new end as lid from v left join u on u._id = v.lid left join b on b.url = u.url where lid is not null and uid is not null""")
+def repaired_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Venue ids of check-ins, half of them bad, repaired through the links of the bad ids and the venues of the links."""
+    v = table(spark, d, "venue").select("_id", F.trim("shortUrl").alias("url")).where("_id is not null and url <> ''")
+    first = v.groupBy("_id").agg(F.min("url").alias("new"))
+    links = first.select(F.concat(F.lit("bad-"), "_id").alias("old"), "new")
+    owners = first.groupBy(F.col("new").alias("old")).agg(F.min("_id").alias("new"))
+    rows = visits(spark, d, "lid", "uid").dropna().select("id", F.when(F.col("uid") % 2 == 0, F.col("lid")).otherwise(F.concat(F.lit("bad-"), "lid")).alias("lid"))
+    return rec.translated(rec.translated(rows, "lid", links), "lid", owners).select("id", "lid").distinct()

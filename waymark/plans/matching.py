@@ -194,6 +194,17 @@ def ndcg_labels(spark: SparkSession, d: str) -> DataFrame:
     return got.select("q", F.round(F.coalesce(F.try_divide(F.col("dcg"), ideal), F.lit(0.0)), 6).alias("ndcg"))
 
 
+@query(_K + """, r as (select k.q, k.rank, case when a.sub = b.sub then 1.0 else 0.5 end as rel from k join w a on a.venue = k.q and a.city = '""" + FROM + """' join w b on b.venue = k.t and b.city = '""" + TO + """' where rank <= 5)
+select q, round(sum((pow(2, rel) - 1) / log2(rank + 1)), 6) as dcg, round(sum((rel * rel - 1) / log2(rank + 1)), 6) as square_dcg from r group by q""")
+def gains_of_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Both discounted gains of the five nearest venues, relevant by 1 with the same category and by half with the same top category."""
+    a, b = _sides(spark, d)
+    near = knn.nearest(a.select("top", "id", "v"), b.select("top", "id", "v"), ["top"], 5)
+    x = near.join(a.select(F.col("id").alias("q"), F.col("sub").alias("sq")), "q").join(b.select(F.col("id").alias("t"), F.col("sub").alias("st")), "t")
+    rel = F.when(F.col("sq") == F.col("st"), 1.0).otherwise(0.5)
+    return x.groupBy("q").agg(F.round(regions.dcg(rel, F.col("rank")), 6).alias("dcg"), F.round(regions.square_dcg(rel, F.col("rank")), 6).alias("square_dcg"))
+
+
 @query(with_(_Z) + f""", c as (select city, top, dim, avg(z) as m from z where top in (1, 2, 3) group by city, top, dim), n as (select city from c group by city having count(distinct top) = 3),
 d as (select b.city, a.top as i, b.top as j, sqrt(sum((a.m - b.m) * (a.m - b.m))) as d from c a join c b on a.city = '{FROM}' and b.dim = a.dim and b.city in (select city from n) group by b.city, a.top, b.top),
 p as (select city, sum(case when i = 1 and j = 1 then d end) as a, sum(case when i = 1 and j = 2 then d end) as b, sum(case when i = 1 and j = 3 then d end) as c, sum(case when i = 2 and j = 1 then d end) as e, sum(case when i = 2 and j = 2 then d end) as f, sum(case when i = 2 and j = 3 then d end) as g,
@@ -304,6 +315,19 @@ def gold_region_venues(spark: SparkSession, d: str) -> DataFrame:
     return found.join(known, "id", "left").groupBy("region").agg(F.count(F.lit(1)).alias("venues"), F.count("k").alias("described"))
 
 
+@query("with recursive " + """g as (select concat_ws('/', district, city, region_no) as region, ring from gold_region), e as (select region, unnest(ring) as p, unnest(list_concat([ring[len(ring)]], ring[1:len(ring)-1])) as q from g),
+l as (select distinct _id as id, loc.lng as x, loc.lat as y from venue where _id is not null and loc.lng between -180 and 180 and loc.lat between -90 and 90),
+h as (select region, id, sum(case when ((q.lat > y) <> (p.lat > y)) and x < (p.lng - q.lng) * (y - q.lat) / (p.lat - q.lat) + q.lng then 1 else 0 end) as k from l, e group by region, id, x, y),
+i as materialized (select distinct region, id from h where k % 2 = 1), t as materialized (select distinct a.region as a, b.region as b from i a join i b using (id)),
+w as (select a as region, b as other from t union select w.region, t.b from w join t on t.a = w.other),
+m as materialized (select region, min(other) as part from w group by region)
+select part, count(distinct region) as shapes, count(distinct id) as points from i join m using (region) group by part""")
+def joined_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Gold regions that share venues, of whatever district, made one, with their venues."""
+    gold = table(spark, d, "gold_region").select(F.concat_ws("/", "district", "city", "region_no").alias("region"), "ring")
+    return regions.joined_shapes(gold, places(spark, d, "lng", "lat").withColumnRenamed("id", "key"))
+
+
 def _region_pairs(members: DataFrame) -> DataFrame:
     r = members.select("district", "region").distinct()
     a = r.select("district", F.col("region").alias("a"))

@@ -281,7 +281,22 @@ def _tag_regions(spark: SparkSession, d: str, top: int, city: str | None = None)
     return scan.rectangles(two, ["city", "tag"], SCAN_K, SCAN_SIDE, None, top, stripes=1)
 
 
-@query()
+_TAG_SCAN = with_(T, P) + f""", ct as ({_cells_sql('g', SCAN_K, 'tag,')}), cp as ({_cells_sql('p', SCAN_K)}),
+tm as (select city, tag, ix, iy, count(*) as m from ct group by all), tt as (select city, tag, sum(m) as total from tm group by city, tag having sum(m) >= 20), bm as (select city, ix, iy, count(*) as b from cp group by all),
+ax as (select city, tag, cast(x as int) as x, cast(y as int) as y from tt, range(-1, {SCAN_K}) r(x), range(-1, {SCAN_K}) s(y)),
+z as (select ax.city, ax.tag, x, y, coalesce(m, 0) as m, coalesce(b, 0) as b from ax left join tm on tm.city = ax.city and tm.tag = ax.tag and tm.ix = x and tm.iy = y left join bm on bm.city = ax.city and bm.ix = x and bm.iy = y),
+s1 as (select city, tag, x, y, sum(m) over (partition by city, tag, x order by y) as m, sum(b) over (partition by city, tag, x order by y) as b from z),
+s2 as materialized (select city, tag, x, y, sum(m) over (partition by city, tag, y order by x) as m, sum(b) over (partition by city, tag, y order by x) as b from s1),
+col as materialized (select a.city, a.tag, a.x + 1 as x0, b.x as x1, a.y, b.m - a.m as m, b.b - a.b as b from s2 a join s2 b on b.city = a.city and b.tag = a.tag and b.y = a.y and b.x - a.x between 1 and {SCAN_SIDE}),
+tot as (select city, tag, m as tm, b as tb, case when m <= 500 then 20 when m <= 2000 then 40 else 250 end as least from s2 where x = {SCAN_K - 1} and y = {SCAN_K - 1}),
+rc as (select a.city, a.tag, a.x0, a.x1, a.y + 1 as y0, b.y as y1, b.m - a.m as m, b.b - a.b as b from col a join col b on b.city = a.city and b.tag = a.tag and b.x0 = a.x0 and b.x1 = a.x1 and b.y - a.y between 1 and {SCAN_SIDE} where b.m - a.m >= 20 and b.b - a.b >= 20),
+st as (select rc.*, m / tm as pm, b / tb as pb from rc join tot using (city, tag) where m >= least and b >= least),
+v as (select *, round(pm * ln(pm / pb) + case when pm < 1 then (1 - pm) * ln((1 - pm) / (1 - pb)) else 0 end, 9) as value from st where pm > pb and pb < 1),
+k as (select *, row_number() over (partition by city, tag order by value desc, x0, y0, x1, y1) as rank from v)
+"""
+
+
+@query(_TAG_SCAN + "select city, tag, round(value, 6) as value, x0, x1, y0, y1, cast(m as bigint) as m, cast(b as bigint) as b from k where rank = 1")
 def tag_scan_best(spark: SparkSession, d: str) -> DataFrame:
     """The most unusual region of every tag with at least twenty photos in a city, best tags first; cells of an 80 x 80 grid."""
     best = _tag_regions(spark, d, 1).select("city", "tag", F.round("value", 6).alias("value"), "x0", "x1", "y0", "y1", "m", "b")
