@@ -303,6 +303,57 @@ def test_clusters_as_brute_force(spark, monkeypatch, block):
     assert sizes == {c: (n, min(n, sizes[c][1])) for c, n in Counter(a for a, _ in want).items()}
 
 
+@pytest.mark.parametrize("leaf", [8, 8192])
+def test_clusters_beside_noise_in_many_leaves(spark, monkeypatch, leaf):
+    monkeypatch.setattr(clusters, "LEAF_CELLS", leaf)
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(11)
+    rows = [(f"n{k:03}", v.tolist()) for k, v in enumerate(rng.random((300, 6)))]
+    for k, c in enumerate(rng.random((6, 6)) + [3.0, 0, 0, 0, 0, 0]):
+        rows += [(f"i{k}-{j:02}", (c + rng.normal(0, 0.01, 6)).tolist()) for j in range(60)]
+        # a row near all, near some and near none of them
+        rows += [(f"i{k}-z", (c + [0, 0, 0, 0, 0, [0.12, 0.19, 0.3][k % 3]]).tolist())]
+    df = spark.createDataFrame(rows, "item string, v array<double>")
+    got = {(r["cluster"], r["item"]) for r in clusters.clusters(df, 6, 0.2, 5).collect()}
+    assert got == brute_clusters(rows, 0.2, 5) and {"i0-z", "i3-z"} <= {b for _, b in got}
+
+
+def test_a_row_with_few_neighbours_still_breaks_a_cluster(spark):
+    # the last row is near the fifth only, whose cell it does not share
+    line = [0.05, 0.051, 0.052, 0.053, 0.21, 0.405]
+    rows = [(f"r{k}", [x, 0.0, 0.0]) for k, x in enumerate(line)]
+    for some in (rows[:5], rows):
+        df = spark.createDataFrame(some, "item string, v array<double>")
+        assert {(r["cluster"], r["item"]) for r in clusters.clusters(df, 3, 0.2, 5).collect()} == brute_clusters(some, 0.2, 5)
+    assert brute_clusters(rows[:5], 0.2, 5) and not brute_clusters(rows, 0.2, 5)
+
+
+def test_noise_makes_no_links(spark):
+    rng = np.random.default_rng(12)
+    noise, core = rng.random((1500, 10)), 4 + rng.normal(0, 0.01, (200, 10))
+    df = spark.createDataFrame([(f"i{k}", v.tolist()) for k, v in enumerate(np.vstack([noise, core]))], "item string, v array<double>")
+    _, cells, links = clusters.linked_cells(df, 10, 0.2, 5)
+    assert cells.count() < 300 and links.count() < cells.count()
+    assert sum(r["n"] for r in cells.collect()) >= 200
+
+
+def test_meeting_boxes_as_brute_force():
+    rng = np.random.default_rng(13)
+    for shift, blocks in ((0.0, 1), (1e4, 1), (0.0, 3)):
+        lo = rng.random((700 * blocks, 5)) * 1.5 + shift
+        hi = lo + rng.random(lo.shape) * 0.1 * (rng.random((len(lo), 1)) < 0.3)
+        gap = np.maximum(0, np.maximum(lo[:, None], lo[None]) - np.minimum(hi[:, None], hi[None]))
+        want = {(a, b) for a, b in np.argwhere((gap**2).sum(2) <= 0.04).tolist() if a < b}
+        got = [tuple(sorted(x)) for i, j in clusters._meeting(lo, hi, 0.2) for x in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_repeated_rows_count_once_in_a_cluster(spark):
+    df = spark.createDataFrame([(f"i{k % 6}", [k % 6 / 100, 0.0]) for k in range(18)], "item string, f array<double>")
+    found = clusters.clusters(clusters.vectors(df, "item", "f", 2, [0, 1]), 2, 0.2, 5)
+    assert [(r["cluster"], r["rows"], r["items"]) for r in clusters.described(found, 2).collect()] == [("i0", 6, 6)]
+
+
 def test_clusters_empty(spark):
     df = spark.createDataFrame([], "item string, v array<double>")
     assert clusters.clusters(df, 3, 0.2, 5).count() == 0
