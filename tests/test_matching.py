@@ -1,6 +1,8 @@
 import itertools
 import math
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -64,6 +66,26 @@ def test_transport_as_brute_force(fraction):
         assert got == pytest.approx(brute_transport(cost, fraction, parts))
 
 
+def test_transport_of_many_venues():
+    """A region against as many venues as a hull holds in larger tables: on a line the cost is the area between the shares."""
+    rng = np.random.default_rng(12)
+    began = time.process_time()
+    for decimals, equal in ((6, True), (1, True), (6, False)):
+        a, b = np.round(rng.random(150), decimals), np.round(rng.random(600) * 2, decimals)
+        wa, wb = (np.ones(150), np.ones(600)) if equal else (rng.random(150) + 1e-6, rng.random(600) + 1e-6)
+        at = np.sort(np.concatenate([a, b]))
+        share = lambda x, w: np.array([w[x <= p].sum() for p in at[:-1]]) / w.sum()
+        want = (np.abs(share(a, wa) - share(b, wb)) * np.diff(at)).sum()
+        assert transport.moved(np.abs(a[:, None] - b), wa, wb) == pytest.approx(want, abs=1e-9)
+    x, y = rng.normal(size=(150, 30)), rng.normal(size=(600, 30))
+    cost = transport.euclidean(x, y)
+    assert cost == pytest.approx(np.sqrt(((x[:, None] - y[None]) ** 2).sum(2)))
+    u, v = transport.near_prices(cost, np.full(150, 1 / 150), np.full(600, 1 / 600))
+    far = transport.moved(cost, np.ones(150), np.ones(600))
+    assert (u[:, None] + v <= cost + 1e-9).all() and u.mean() + v.mean() <= far <= 1.01 * (u.mean() + v.mean())
+    assert time.process_time() - began < 10
+
+
 def test_transport_laws():
     rng = np.random.default_rng(3)
     x, y = rng.random((12, 4)), rng.random((9, 4))
@@ -113,6 +135,29 @@ def test_density_clusters_as_local_dbscan(spark):
     assert len(got) == len(rows)
 
 
+def test_local_dbscan_without_kept_neighbours():
+    rng = np.random.default_rng(13)
+    for k in range(20):
+        xy = np.round(rng.normal(size=(60, 2)) * 10)
+        xy[::17] = np.nan
+        near = ((xy[:, None] - xy[None]) ** 2).sum(2) <= 9
+        core, want, n = near.sum(1) >= 3, np.full(60, -1), 0
+        for i in range(60):
+            if core[i] and want[i] < 0:
+                part = np.arange(60) == i
+                while (more := part | near[part & core].any(0)).sum() > part.sum():
+                    part = more
+                want[part & (want < 0)] = n
+                n += 1
+        assert regions.local_dbscan(xy, 3.0, 3).tolist() == want.tolist()
+    crowd = rng.random((5_000, 2)) * 100
+    tracemalloc.start()
+    lab = regions.local_dbscan(crowd, 250.0, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (lab == 0).all() and peak < 100e6
+
+
 def test_scan_as_brute_force(spark):
     rng = np.random.default_rng(6)
     m, b = rng.integers(0, 5, (8, 8)), rng.integers(1, 6, (8, 8))

@@ -40,20 +40,46 @@ def density_clusters(points: DataFrame, eps_m: float, least: int) -> DataFrame:
 
 
 def local_dbscan(xy: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Labels from 0, -1 for noise, of a candidate set that fits one task."""
+    """Labels from 0, -1 for noise, of a candidate set that fits one task.
+
+    Rows are compared with those of the nine squares around them only, and no neighbours are kept. A row without a place is noise.
+    """
     n = len(xy)
-    near = [np.flatnonzero(((xy - p) ** 2).sum(1) <= eps * eps) for p in xy]
-    core = np.array([len(x) >= least for x in near], dtype=bool)
     label, k = np.full(n, -1), 0
+    placed = np.isfinite(xy).all(1)
+    if not placed.all():
+        label[placed] = local_dbscan(xy[placed], eps, least)
+        return label
+    if not n:
+        return label
+    square = np.floor((xy - xy.min(0)) / (eps * (1 + 1e-9))).astype(np.int64) + 1
+    wide = int(square[:, 1].max()) + 2
+    cell = square[:, 0] * wide + square[:, 1]
+    order = cell.argsort(kind="stable")
+    ranked = cell[order]
+
+    def around(c: int) -> np.ndarray:
+        ends = np.searchsorted(ranked, [c - wide - 1, c - 1, c + wide - 1]), np.searchsorted(ranked, [c - wide + 1, c + 1, c + wide + 1], "right")
+        return np.concatenate([order[lo:hi] for lo, hi in zip(*ends)])
+
+    core, beside = np.zeros(n, dtype=bool), {}
+    for c in np.unique(cell).tolist():
+        beside[c] = near = around(c)
+        own = order[np.searchsorted(ranked, c) : np.searchsorted(ranked, c, "right")]
+        step = max(1, 1_000_000 // len(near))
+        for at in range(0, len(own), step):
+            part = own[at : at + step]
+            core[part] = (((xy[near][None] - xy[part][:, None]) ** 2).sum(2) <= eps * eps).sum(1) >= least
     for i in range(n):
         if core[i] and label[i] < 0:
             todo, label[i] = [i], k
             while todo:
-                for j in near[todo.pop()]:
-                    if label[j] < 0:
-                        label[j] = k
-                        if core[j]:
-                            todo.append(j)
+                p = todo.pop()
+                free = beside[int(cell[p])]
+                free = free[label[free] < 0]
+                free = free[((xy[free] - xy[p]) ** 2).sum(1) <= eps * eps]
+                label[free] = k
+                todo += free[core[free]].tolist()
             k += 1
     return label
 

@@ -16,59 +16,143 @@ from waymark.lineage import fresh
 def moved(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray, fraction: float = 1.0) -> float:
     """The least cost of moving ``fraction`` of the mass from rows to columns, per mass moved.
 
-    Successive shortest paths with potentials: each augmentation keeps the flow
-    of its amount optimal, so a partial flow is simply one that stops earlier. Weights
-    must be positive; masses are normalised to 1.
+    Weights must be positive; masses are normalised to 1. What a partial flow leaves
+    stays at one more row and column, which all others reach for nothing.
     """
     n, m = cost.shape
+    if not n or not m or fraction <= 0:
+        return 0.0
+    alike = fraction == 1 and (supply == supply[0]).all() and (demand == demand[0]).all()
+    if alike:  # whole numbers: no rounding, as ties are many
+        return cheapest_flow(cost, [m] * n, [n] * m) / (n * m)
     s, d = supply / supply.sum(), demand / demand.sum()
-    flow, left, total, price = np.zeros((n, m)), fraction, 0.0, np.zeros(n + m)
-    s, d = s.copy(), d.copy()
-    while left > 1e-12:
-        dist = np.full(n + m, np.inf)
-        dist[:n][s > 1e-14] = 0
-        back, seen = np.full(n + m, -1), np.zeros(n + m, dtype=bool)
-        while True:
-            u = int(np.where(seen, np.inf, dist).argmin())
-            if seen[u] or not np.isfinite(dist[u]):
-                break
-            seen[u] = True
-            if u < n:
-                ahead = dist[u] + np.maximum(0, cost[u] + price[u] - price[n:])
-                better = (ahead < dist[n:] - 1e-15) & ~seen[n:]
-                dist[n:][better], back[n:][better] = ahead[better], u
-            else:
-                ahead = dist[u] + np.maximum(0, -cost[:, u - n] + price[u] - price[:n])
-                better = (flow[:, u - n] > 1e-14) & (ahead < dist[:n] - 1e-15) & ~seen[:n]
-                dist[:n][better], back[:n][better] = ahead[better], u
-        ends = np.where(d > 1e-14, dist[n:], np.inf)
-        t = int(ends.argmin())
-        if not np.isfinite(ends[t]):
+    if fraction < 1:
+        s, d = np.append(s, 1 - fraction), np.append(d, 1 - fraction)
+        cost = np.pad(cost, (0, 1))
+        cost[n, m] = 2 * cost.max() + 1
+    return cheapest_flow(cost, s.tolist(), d.tolist()) / min(1.0, fraction)
+
+
+def near_prices(cost: np.ndarray, s: np.ndarray, d: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Prices of rows and columns, of which no two sum to more than their cost, near the best: scaled for an entropic flow, then lowered to fit."""
+    width = max(float(cost.mean()) * 0.02, 1e-12)
+    least = cost.min(1)
+    kernel = np.exp((least[:, None] - cost) / width)
+    y, low = np.ones(len(d)), 1e-200
+    for _ in range(rounds):
+        x = s / np.maximum(kernel @ y, low)
+        y = d / np.maximum(x @ kernel, low)
+    u = least + width * np.log(np.maximum(x, low))
+    v = (cost - u[:, None]).min(0)
+    return (cost - v).min(1), v
+
+
+def cheapest_flow(cost: np.ndarray, supply: list, demand: list) -> float:
+    """The least cost of a flow from rows to columns of equal sums, all positive: the network simplex method.
+
+    The first flow fills the arcs of least reduced cost under ``near_prices``. Trees stay strongly feasible (an arc without
+    flow leads to the root), so that ties don't make it run in circles. An arc that would gain less than 1e-11 of the largest
+    cost is left out, which bounds the error.
+    """
+    n, m = cost.shape
+    u, v = near_prices(cost, np.array(supply, float), np.array(demand, float))
+    s, d, tiny = list(supply), list(demand), 0 if isinstance(supply[0], int) else 1e-15
+    # a node's arc to its parent: rows 0 .. n - 1, columns n .. n + m - 1, then the root
+    beside: list[list] = [[] for _ in range(n + m)]
+    open_s, open_d = np.ones(n, dtype=bool), np.ones(m, dtype=bool)
+    order = np.argsort(cost - u[:, None] - v, axis=None)
+    for at in range(0, n * m, 4096):
+        if not open_s.any() or not open_d.any():
+            break
+        i, j = np.divmod(order[at : at + 4096], m)
+        keep = open_s[i] & open_d[j]
+        for a, b in zip(i[keep].tolist(), j[keep].tolist()):
+            x = min(s[a], d[b])
+            if x > tiny:
+                beside[a].append((n + b, x))
+                beside[n + b].append((a, x))
+                s[a] -= x
+                d[b] -= x
+                open_s[a], open_d[b] = s[a] > tiny, d[b] > tiny
+    root = n + m
+    parent, flow, depth, price = [-1] * (root + 1), [0] * (root + 1), [0] * (root + 1), [0.0] * (root + 1)
+    below: list[set] = [set() for _ in range(root + 1)]
+    for top in range(root):  # each part of the first flow hangs by a row, a column that rounding left alone by itself
+        if parent[top] < 0 and (top < n or not beside[top]):
+            parent[top], depth[top], price[top] = root, 1, float(u[top] if top < n else v[top - n])
+            below[root].add(top)
+            todo = [top]
+            while todo:
+                a = todo.pop()
+                for b, x in beside[a]:
+                    if parent[b] < 0:
+                        parent[b], flow[b], depth[b] = a, x, depth[a] + 1
+                        price[b] = float(cost[min(a, b), max(a, b) - n]) - price[a]
+                        below[a].add(b)
+                        todo.append(b)
+    slack = 1e-11 * max(float(np.abs(cost).max()), 1e-300)
+    while True:
+        now = np.array(price[:root])
+        left = cost - now[:n, None] - now[n:]
+        row, col = left.argmin(0), left.argmin(1)
+        i, j = np.concatenate([row, np.arange(n)]), np.concatenate([np.arange(m), col])
+        gain = left[i, j]
+        pick = np.flatnonzero(gain < -slack)
+        if not len(pick):
             break
-        # potentials are bounded by the distance of the end, as the search may pass it
-        price += np.minimum(dist, ends[t])
-        path, v = [], n + t
-        while back[v] >= 0:
-            path.append((back[v], v))
-            v = back[v]
-        amount = min([left, s[v], d[t]] + [flow[b, a - n] for a, b in path if a >= n])
-        for a, b in path:
-            if a < n:
-                flow[a, b - n] += amount
-                total += amount * cost[a, b - n]
-            else:
-                flow[b, a - n] -= amount
-                total -= amount * cost[b, a - n]
-        s[v] -= amount
-        d[t] -= amount
-        left -= amount
-    return total / (fraction - left) if fraction > left else 0.0
+        pick = pick[gain[pick].argsort()]
+        for a, b in zip(i[pick].tolist(), (j[pick] + n).tolist()):
+            r = float(cost[a, b - n]) - price[a] - price[b]
+            if r >= -slack:
+                continue
+            # the circle of the new arc; flow shrinks on rows' arcs at its start and on columns' arcs at its end
+            x, y, way_a, way_b = a, b, [], []
+            while x != y:
+                if depth[x] >= depth[y]:
+                    way_a.append(x)
+                    x = parent[x]
+                else:
+                    way_b.append(y)
+                    y = parent[y]
+            most, out, start = float("inf"), -1, True
+            for x in way_a:
+                if x < n and flow[x] < most:
+                    most, out = flow[x], x
+            for y in way_b:
+                if y >= n and flow[y] <= most:
+                    most, out, start = flow[y], y, False
+            if most:
+                for x in way_a:
+                    flow[x] += -most if x < n else most
+                for y in way_b:
+                    flow[y] += most if y < n else -most
+            # the part cut off hangs by its end of the new arc
+            x, up, carried = (a, b, most) if start else (b, a, most)
+            head = x
+            while True:
+                old, held = parent[x], flow[x]
+                below[old].discard(x)
+                parent[x], flow[x] = up, carried
+                below[up].add(x)
+                if x == out:
+                    break
+                x, up, carried = old, x, held
+            todo, shift = [head], r if start else -r
+            while todo:
+                x = todo.pop()
+                depth[x] = depth[parent[x]] + 1
+                price[x] += shift if x < n else -shift
+                todo += below[x]
+    return float(sum(flow[x] * cost[min(x, parent[x]), max(x, parent[x]) - n] for x in range(root) if parent[x] != root))
 
 
 def euclidean(x: np.ndarray, y: np.ndarray, theta: np.ndarray | None = None) -> np.ndarray:
     """Weighted Euclidean ground distances of all rows."""
     w = np.ones(x.shape[1]) if theta is None else theta
-    return np.sqrt((((x[:, None, :] - y[None, :, :]) ** 2) * w).sum(2))
+    out, step = np.empty((len(x), len(y))), max(1, 1_000_000 // max(1, y.size))
+    for at in range(0, len(x), step):
+        out[at : at + step] = np.sqrt((((x[at : at + step, None, :] - y[None, :, :]) ** 2) * w).sum(2))
+    return out
 
 
 def mahalanobis(inverse: np.ndarray) -> Callable:

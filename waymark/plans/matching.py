@@ -533,7 +533,8 @@ def region_search(spark: SparkSession, d: str) -> DataFrame:
     spots = cand.join(here.select("city", "venue", "x", "y"), ["city", "venue"])
 
     def areas(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf[["x", "y"]].to_numpy()
+        # a border venue joins the first cluster that reaches it, so their order counts
+        xy = pdf.sort_values(["venue", "x", "y"])[["x", "y"]].to_numpy()
         out = []
         for k, part in enumerate(regions.good_clusters(xy, 250.0, 10, 1_500.0, 250)):
             radius = float(np.sqrt(((xy[part] - xy[part].mean(0)) ** 2).sum(1).max()))
